@@ -13,9 +13,12 @@ partner in a full one; one with more adds a second and a third sketch under othe
 which only such sets belong, and in the last of them empty segments are keys too. No pair is lost.
 
 Documents of one set are one class, so copies cost one row each and are never paired. The members
-of a key are not paired with one another either: all are compared with the least of them, and
-then keys whose members lie in more than one component are taken up again without that member, so
-that a key of n costs n comparisons a round; when few members are left they are compared pairwise.
+of a key are not paired with one another either: all are compared with that member which shares
+the most keys, as a rule the text that the others were made from. Keys whose members then still lie
+in more than one component are taken up again with a finer sketch of some `FINE` segments for each
+difference that a link allows. Two linked sets are equal in all but `d` of those segments, so they
+share one of the `d + 1` rarest of each (a prefix filter over segments, empty ones included), and
+only members of different components that do are compared. Both filters are exact: no link is lost.
 Candidates pass the sketches' Hamming bound before the shingles themselves are compared.
 
 Defined results: no word (null, empty or blank text) gives an empty set, linked with nothing;
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,7 +41,7 @@ from .kit import BASE, Scratch, mix, prefix_hash, shingles, signed, slices, span
 K = 4
 PERCENT = 85
 LAYERS = 3
-PAIRWISE = 24
+FINE = 4
 SKETCH_BITS = 256
 META = "doc_id long, text_hash long, n_shingles long, fp long"
 
@@ -99,51 +102,99 @@ def _describe(k: int):
     return run
 
 
-def _keys(k: int, percent: int):
-    """Each set's segments, for its own band and the one above."""
-
-    def of(x: np.ndarray, all_bands: list[tuple[int, int]]) -> np.ndarray:
-        n, out = len(x), []
-        at = next(i for i, (_, high) in enumerate(all_bands) if n <= high)
-        for band in (at, at + 1):
-            low, high = all_bands[band]
-            if band > at and 100 * n < percent * low:
-                continue
-            m, spare = segments(percent, high)
-            for layer in range(LAYERS):
-                y = np.sort(mix(x + np.uint64(layer) * BASE)) if layer else np.sort(mix(x))
-                # the position in the sketch is the top 32 bits of y; its segment is monotone in it
-                bit = y >> np.uint64(32)
-                segment = (bit * np.uint64(m)) >> np.uint64(32)
-                begins = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-                filled = segment[begins]
-                digest = np.bitwise_xor.reduceat(mix(bit + np.uint64(1)), begins)
-                empty = m - len(filled)
-                if layer == LAYERS - 1 and empty:
-                    missing = np.setdiff1d(np.arange(m, dtype=np.uint64), filled)
-                    filled, digest = np.concatenate((filled, missing)), np.concatenate((digest, np.zeros(len(missing), np.uint64)))
-                out.append(mix(mix(digest) + filled * np.uint64(0x100000001B3) + np.uint64(band * LAYERS + layer) * BASE))
-                if empty <= spare:
-                    break
-        return np.concatenate(out)
+def _bands_of(n: int, all_bands: list[tuple[int, int]], percent: int) -> Iterator[int]:
+    """The bands whose keys a set of n shingles has: its own, and the next if a link can reach it."""
+    while all_bands[-2][1] < n:
+        all_bands.extend(bands(percent, 4 * n)[len(all_bands) :])
+    at = next(i for i, (_, high) in enumerate(all_bands) if n <= high)
+    yield at
+    if 100 * n >= percent * all_bands[at + 1][0]:
+        yield at + 1
+
+
+def _cut(x: np.ndarray, m: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a sketch of 2**32 bits that are not empty, of m, and their digests."""
+    bit = np.sort(mix(x + np.uint64(layer) * BASE)) >> np.uint64(32)
+    segment = (bit * np.uint64(m)) >> np.uint64(32)  # in the order of the bits
+    begins = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    return segment[begins], np.bitwise_xor.reduceat(mix(bit + np.uint64(1)), begins)
+
+
+def _with_empty(filled: np.ndarray, digest: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    missing = np.setdiff1d(np.arange(m, dtype=np.uint64), filled)
+    return np.concatenate((filled, missing)), np.concatenate((digest, np.zeros(len(missing), np.uint64)))
+
+
+def _key(filled: np.ndarray, digest: np.ndarray, family: int) -> np.ndarray:
+    return mix(mix(digest) + filled * np.uint64(0x100000001B3) + np.uint64(family) * BASE)
 
+
+def keys(x: np.ndarray, all_bands: list[tuple[int, int]], percent: int) -> np.ndarray:
+    out = []
+    for band in _bands_of(len(x), all_bands, percent):
+        m, spare = segments(percent, all_bands[band][1])
+        for layer in range(LAYERS):
+            filled, digest = _cut(x, m, layer)
+            empty = m - len(filled)
+            if layer == LAYERS - 1 and empty:
+                filled, digest = _with_empty(filled, digest, m)
+            out.append(_key(filled, digest, band * LAYERS + layer))
+            if empty <= spare:
+                break
+    return np.concatenate(out)
+
+
+def _keys(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_bands = bands(percent, 1 << 20)
         for s in slices(batches):
             fps, found = [], []
             for x in sets(s, k):
-                if not len(x):
-                    continue
-                while all_bands[-2][1] < len(x):
-                    all_bands.extend(bands(percent, 4 * len(x))[len(all_bands) :])
-                found.append(of(x, all_bands))
-                fps.append(np.repeat(fingerprint(x), len(found[-1])))
+                if len(x):
+                    found.append(keys(x, all_bands, percent))
+                    fps.append(np.repeat(fingerprint(x), len(found[-1])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(signed(np.concatenate(fps)))], names=["key", "fp"])
 
     return run
 
 
+def _fine(k: int, percent: int):
+    """Every segment of the finer sketches: (key, fp, band, keep), of which the `keep` rarest matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_bands = bands(percent, 1 << 20)
+        for s in slices(batches):
+            for fp, x in zip(s.batch.column("fp").to_pylist(), sets(s, k), strict=True):
+                for band in _bands_of(len(x), all_bands, percent):
+                    d = differing(percent, all_bands[band][1], all_bands[band][1])
+                    m = FINE * (d + 1)
+                    key = _key(*_with_empty(*_cut(x, m, 0), m), band)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(m, fp)), pa.array(np.full(m, band, np.int32)), pa.array(np.full(m, d + 1, np.int32))], names=["key", "fp", "band", "keep"])
+
+    return run
+
+
+def _sketches(k: int, percent: int):
+    """(fp, band, size, sketch): parity sketches of at least eight bits for each difference that the band allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_bands = bands(percent, 1 << 20)
+        for s in slices(batches):
+            out = []
+            for fp, x in zip(s.batch.column("fp").to_pylist(), sets(s, k), strict=True):
+                for band in _bands_of(len(x), all_bands, percent):
+                    d = differing(percent, all_bands[band][1], all_bands[band][1])
+                    bits = 64 * max(8, 1 << (d // 8).bit_length())
+                    odd = np.bincount((mix(x + np.uint64(78)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                    out.append((fp, band, len(x), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+            if out:
+                fp, band, n, sketch = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(band, pa.int32()), pa.array(n, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["fp", "band", "size", "sketch"])
+
+    return run
+
+
 def parity(x: np.ndarray) -> np.ndarray:
     """A sketch of 256 bits: each shingle flips one."""
     odd = np.bincount((mix(x + np.uint64(77)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
@@ -186,45 +237,61 @@ def _verify(k: int, percent: int):
 
 def classes(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(one row a document: META), and (fp, root) for the classes that link with others."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     meta = scratch.keep(rows.mapInArrow(_describe(k), META))
-    keys = rows.mapInArrow(_keys(k, percent), "key long, fp long")
-    # keys of more than one class, and the least class of each
-    met = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key", "lo")
-    held = scratch.keep(met)
-    if held.isEmpty():
-        return meta, spark.createDataFrame([], "fp long, root long")
-    members = scratch.keep(keys.join(held, "key").filter("fp > lo").select("key", "fp", "lo").distinct())
+    every = rows.mapInArrow(_keys(k, percent), "key long, fp long")
+    # the keys of more than one class, then their members and how many such keys each member has
+    held = scratch.keep(every.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key"))
+    members = scratch.keep(every.join(held, "key").distinct())
     scratch.drop(held)
-    pairs = scratch.keep(members.select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct())
-    checked, links, parts = pairs, None, []
-    while True:
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        # one text of each class that has a pair to check
-        first = meta.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).select("fp", "of.*")
-        texts = scratch.keep(_texts(rows, first))
-        new = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-        parts.append(scratch.keep(new.select("a", "text_a", "b", "text_b").mapInArrow(_verify(k, percent), "a long, b long")))
-        scratch.drop(texts)
-        links = parts[0]
-        for p in parts[1:]:
-            links = links.union(p)
-        roots = scratch.keep(components(links, scratch).select(F.col("id").alias("fp"), "root"))
-        # what is left of each key: its members but the one all were compared with, if their components differ
-        left = members.join(roots, "fp", "left").select("key", "fp", "lo", F.coalesce("root", "fp").alias("root"))
-        many = left.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.min("fp").alias("next")).filter("r1 < r2")
-        rest = scratch.keep(left.join(many, "key").select("key", "fp", "root", "n", "next"))
-        scratch.drop(members)
-        few = rest.filter(F.col("n") <= PAIRWISE)
-        two = few.alias("x").join(few.alias("y"), "key").filter("x.fp < y.fp and x.root <> y.root").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        star = rest.filter((F.col("n") > PAIRWISE) & (F.col("fp") > F.col("next"))).select(F.col("next").alias("a"), F.col("fp").alias("b"))
-        pairs = scratch.keep(two.union(star).distinct().join(checked, ["a", "b"], "left_anti"))
-        members = scratch.keep(rest.filter((F.col("n") > PAIRWISE) & (F.col("fp") > F.col("next"))).select("key", "fp", F.col("next").alias("lo")))
-        scratch.drop(rest)
-        if pairs.isEmpty() and members.isEmpty():
-            return meta, roots
-        checked = checked.union(pairs)
+    known = members.join(members.groupBy("fp").agg(F.count("*").alias("n")), "fp")
+    middle = scratch.keep(known.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("m")).select("key", F.col("m.fp").alias("mid")))
+    pairs = scratch.keep(members.join(middle, "key").filter("fp <> mid").select(F.least("mid", "fp").alias("a"), F.greatest("mid", "fp").alias("b")).distinct())
+    scratch.drop(middle)
+    links = _linked(rows, meta, pairs, scratch, k, percent)
+    roots = scratch.keep(components(links, scratch).select(F.col("id").alias("fp"), "root"))
+    # members of keys that still lie in more than one component
+    rooted = members.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
+    left = scratch.keep(rooted.join(open_keys, "key").select("fp", "root").distinct())
+    scratch.drop(members)
+    if left.isEmpty():
+        return meta, roots
+    texts = scratch.keep(_texts(rows, _first(meta, left)))
+    fine = scratch.keep(texts.mapInArrow(_fine(k, percent), "key long, fp long, band int, keep int"))
+    common = fine.groupBy("key").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("fp", "band").orderBy("n", "key"))
+    rare = fine.join(common, "key").withColumn("rank", rank).filter("rank <= keep and n > 1").select("key", "fp", "band").join(left, "fp")
+    rare = scratch.keep(rare)
+    open_keys = rare.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
+    sketches = texts.mapInArrow(_sketches(k, percent), "fp long, band int, size long, sketch array<long>")
+    rare = scratch.keep(rare.join(open_keys, "key").join(sketches, ["fp", "band"]))
+    x, y = rare.alias("x"), rare.alias("y")
+    # keys of one band have sketches of one length, so the Hamming bound is part of the join
+    distance = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & ((100 + percent) * distance <= (100 - percent) * (F.col("x.size") + F.col("y.size")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    more = scratch.keep(met.join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        new = _linked(rows, meta, more, scratch, k, percent)
+        both = roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(new)
+        roots = scratch.keep(components(both, scratch).select(F.col("id").alias("fp"), "root"))
+    return meta, roots
+
+
+def _linked(rows: DataFrame, meta: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) that link, by their shingles."""
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = scratch.keep(_texts(rows, _first(meta, wanted)))
+    new = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+    out = scratch.keep(new.select("a", "text_a", "b", "text_b").mapInArrow(_verify(k, percent), "a long, b long"))
+    scratch.drop(texts)
+    return out
+
+
+def _first(meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, doc_id, text_hash) of one document of each class of wanted(fp)."""
+    return meta.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).select("fp", "of.*")
 
 
 def _texts(rows: DataFrame, first: DataFrame) -> DataFrame:
