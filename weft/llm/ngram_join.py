@@ -246,15 +246,16 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCEN
     scratch.drop(held)
     known = members.join(members.groupBy("fp").agg(F.count("*").alias("n")), "fp")
     middle = scratch.keep(known.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("m")).select("key", F.col("m.fp").alias("mid")))
-    pairs = scratch.keep(members.join(middle, "key").filter("fp <> mid").select(F.least("mid", "fp").alias("a"), F.greatest("mid", "fp").alias("b")).distinct())
-    scratch.drop(middle)
+    others = scratch.keep(members.join(middle, "key").filter("fp <> mid"))
+    scratch.drop(members, middle)
+    pairs = scratch.keep(others.select(F.least("mid", "fp").alias("a"), F.greatest("mid", "fp").alias("b")).distinct())
     links = _linked(rows, meta, pairs, scratch, k, percent)
     roots = scratch.keep(components(links, scratch).select(F.col("id").alias("fp"), "root"))
-    # members of keys that still lie in more than one component
-    rooted = members.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    # members of a key, but for the one all were compared with, that lie in more than one component
+    rooted = others.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
     left = scratch.keep(rooted.join(open_keys, "key").select("fp", "root").distinct())
-    scratch.drop(members)
+    scratch.drop(others)
     if left.isEmpty():
         return meta, roots
     texts = scratch.keep(_texts(rows, _first(meta, left)))

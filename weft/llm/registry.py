@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, quality_rules, secret_scan
+from . import decontaminate, license_scan, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 from .kit import Scratch, table
 
 WEIGHTS = {"src0": 2.0, "src1": 0.5, mixing.DEFAULT: 1.0}
@@ -18,6 +18,39 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(sf_dir, "documents", spark))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(sf_dir, "documents", spark)
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")), Scratch(spark))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(sf_dir, "documents", spark), Scratch(spark))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, the first batch is brought again, all counts are revised to another way of counting and texts of under 50 words are taken out."""
+    docs = table(sf_dir, "documents", spark)
+    rollup = token_counts.Rollup(spark, Scratch(spark).base)
+    one, two = token_counts.words(F.col("text")), token_counts.pieces(F.col("text"))
+    for version, first, then in (("words", one, two), ("pieces", two, two)):
+        rollup.apply(f"{version}-insert", token_counts.changes(docs, version, None, first))
+        rollup.apply(f"{version}-insert", token_counts.changes(docs, version, None, first))
+        rollup.apply(f"{version}-revise", token_counts.changes(docs, version, first, then))
+        rollup.apply(f"{version}-delete", token_counts.changes(docs.filter(one < 50), version, then, None))
+    rollup.compact()
+    return rollup.totals()
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(sf_dir, "pages", spark)
+    return url_filter.judge(pages, url_filter.insecure(pages), scratch=Scratch(spark))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(sf_dir, "documents", spark), Scratch(spark))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(sf_dir, "documents", spark), Scratch(spark))
 
@@ -35,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_ngram_jaccard_join, op6_secret_scans, op8_benchmark_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_suffix_array_dedup, op4_token_counts, op5_ngram_jaccard_join, op6_secret_scans, op7_url_filters, op8_benchmark_decontamination, op9_lm_scoring, op10_mixing)}
 
 
 OP10_SQL = f"""
@@ -53,5 +86,33 @@ FROM (SELECT *, unnest(range(1, n::BIGINT + 1)) AS copy_no FROM drawn WHERE n >
 """
 
 
+WORDS_SQL = "len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
+PIECES_SQL = """(length(regexp_replace(coalesce(text, ''), '[A-Za-z0-9\\x{80}-\\x{10FFFF} \\t\\n\\x0B\\f\\r]', '', 'g'))
+    + len(list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z0-9\\x{80}-\\x{10FFFF}]+'), lambda w: w <> '')))"""
+OP4_SQL = f"""
+WITH d AS (SELECT source, lang, {WORDS_SQL} AS one, {PIECES_SQL} AS two FROM documents),
+v AS (SELECT source, lang, unnest(['words', 'pieces']) AS tokenizer_version, one, two FROM d)
+SELECT source, lang, tokenizer_version, count(*) - count(*) FILTER (one < 50) AS n_docs,
+       coalesce(sum(two) FILTER (one >= 50), 0)::BIGINT AS n_tokens, count(*) AS n_inserts,
+       count(*) FILTER (one < 50) AS n_deletes, count(*) AS n_revisions
+FROM v GROUP BY ALL HAVING count(*) FILTER (one >= 50) > 0
+"""
+_REST = "(CASE WHEN position('://' in url) > 0 THEN substr(url, position('://' in url) + 3) ELSE '' END)"
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce({_REST}, '') AS rest FROM pages),
+q AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+l AS (SELECT host, NOT bool_or(coalesce(url LIKE 'https:%', false)) AS listed FROM q GROUP BY host),
+r AS (SELECT q.*, CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM q)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN l ON r.host = l.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op4_token_counts": OP4_SQL, "op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
