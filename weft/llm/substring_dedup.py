@@ -36,7 +36,7 @@ from .kit import Scratch, mix, partitions, prefix_hash, signed, slices, span_has
 
 LENGTH = 400
 GRAM = 32
-HOT = 1000
+HOT = 30_000
 CHUNK = 1 << 22  # texts are searched in pieces of so many bytes, which overlap by a window
 ROW = "row binary, p int, lo int, hi int, h long, c1 long, c2 long"
 
