@@ -423,7 +423,7 @@ def scalar_rules(spark, sf):
 @query("""WITH tm AS (SELECT o_custkey AS unit_id, o_orderkey AS id, o_orderpriority AS text, o_orderstatus = 'F' AS trusted FROM orders WHERE o_orderstatus IN ('F', 'O')),
 att AS (SELECT user_id AS unit_id, -event_id AS id, event_type AS text, false AS trusted FROM events e WHERE value > 10 AND NOT EXISTS (SELECT 1 FROM tm WHERE tm.unit_id = e.user_id)),
 u AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY trusted DESC, id DESC) AS n FROM (SELECT * FROM tm UNION ALL SELECT * FROM att))
-SELECT c_custkey AS unit_id, n_name AS locale, id, text, trusted FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN u ON unit_id = c_custkey AND n = 1""")
+SELECT c_custkey AS unit_id, n_name AS locale, coalesce(id, 0) AS id, text, coalesce(trusted, false) AS trusted FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN u ON unit_id = c_custkey AND n = 1""")
 def translation_candidates(spark, sf):
     orders = t(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
     memory = orders.select(F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), (F.col("o_orderstatus") == "F").alias("trusted"))
@@ -431,4 +431,4 @@ def translation_candidates(spark, sf):
     tries = tries.join(memory.select("unit_id"), "unit_id", "left_anti")
     first = state.latest(memory.unionByName(tries), ["unit_id"], ["trusted", "id"])
     units = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("unit_id"), F.col("n_name").alias("locale"))
-    return units.join(first, "unit_id", "left").select("unit_id", "locale", "id", "text", "trusted")
+    return units.join(first, "unit_id", "left").select("unit_id", "locale", F.coalesce("id", F.lit(0)).alias("id"), "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
