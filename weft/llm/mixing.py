@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 DEFAULT = "*"
 PIECE = 16.0
-BROADCAST_SOURCES = 50_000
+BROADCAST_SOURCES = 20_000
 # Terms of the series: beyond it, at a rate of 16, lies less than 2**-52.
 TERMS = 80
 
@@ -34,22 +34,29 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(key, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """The least k with P(X <= k) >= u, for rates up to PIECE."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+def series(rate: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ..., as far as a uniform number can reach, for rates up to PIECE."""
+    first = F.exp(-rate)
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * rate / i
-        return F.when(s["c"] >= u, s).otherwise(F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("k")))
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.concat(s["all"], F.array(s["c"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["k"])
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["all"])
+    return F.filter(steps, lambda c: c < 1 - 2.0**-49)
 
 
-def counts(rate: Column, seed: int, *identity: Column) -> Column:
-    """How often each row comes, for any rate."""
-    pieces = F.greatest(F.lit(1), F.ceil(rate / PIECE)).cast("int")
-    drawn = F.transform(F.sequence(F.lit(1), pieces), lambda i: poisson(rate / pieces, uniform(F.lit(f"draw{seed}"), i, *identity)))
-    return F.when(rate > 0, F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).otherwise(0)
+def poisson(steps: Column, u: Column) -> Column:
+    """The least k with P(X <= k) >= u."""
+    return F.size(F.filter(steps, lambda c: c < u))
+
+
+def counts(pieces: Column, steps: Column, seed: int, *identity: Column) -> Column:
+    """How often each row comes: a draw, or the sum of several for a rate above PIECE."""
+    draw = lambda i: poisson(steps, uniform(F.lit(f"draw{seed}"), i, *identity))
+    many = F.aggregate(F.transform(F.sequence(F.lit(1), pieces), draw), F.lit(0), lambda a, b: a + b)
+    return F.when(pieces == 0, 0).when(pieces == 1, draw(F.lit(1))).otherwise(many)
 
 
 def rates(docs: DataFrame, weights: dict[str, float], size: float) -> DataFrame:
@@ -68,11 +75,18 @@ def mix(docs: DataFrame, weights: dict[str, float], size: float = 1.0, seed: int
 
     Adds copy_no (from 1) and mix_key, by which the rows are sorted.
     """
-    by = rates(docs, weights, size)
+    spark = docs.sparkSession
+    pieces = F.when(F.col("rate") > 0, F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE))).otherwise(0).cast("int")
+    by = rates(docs, weights, size).select(F.col("source").alias("__of"), pieces.alias("__pieces"), F.when(pieces > 0, F.col("rate") / pieces).otherwise(0.0).alias("__rate"))
+    side = by.select("__of", "__pieces", series(F.col("__rate")).alias("__steps"))
     small = by.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = by.select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
-    named = docs.join(F.broadcast(side) if small else side, docs["source"].eqNullSafe(side["__of"])).drop("__of")
-    identity = [F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))]
-    copies = named.withColumn("__n", counts(F.col("__rate"), seed, *identity)).filter("__n > 0").drop("__rate").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col("copy_no"))))
-    return keyed.orderBy("mix_key")
+    hashed = docs.withColumn("__text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = hashed.join(F.broadcast(side) if small else side, hashed["source"].eqNullSafe(side["__of"])).drop("__of")
+    drawn = named.withColumn("__n", counts(F.col("__pieces"), F.col("__steps"), seed, F.col("doc_id"), F.col("__text"))).filter("__n > 0").drop("__pieces", "__steps")
+    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__text"), F.col("copy_no")))
+    keyed = copies.withColumn("mix_key", key).drop("__text")
+    # keys are spread evenly, so ranges of equal width are balanced without sampling the rows
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") * n / float(1 << 32)).cast("int")
+    return keyed.repartitionById(n, place).sortWithinPartitions("mix_key")
