@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 np.seterr(over="ignore")  # hashes are sums and products modulo 2**64
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 
