@@ -45,7 +45,7 @@ def _units(spark: SparkSession, sf: str, *more: str) -> DataFrame:
 UNITS = r"""
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS source, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS ordinal, source, trim(regexp_replace(source, '\s+', ' ', 'g')) AS norm FROM lines WHERE regexp_matches(source, '\S'))"""
-FP = "substr(sha256('paragraph' || chr(0) || norm), 1, 16)"
+FP = "substr(sha256('Paragraph' || chr(0) || norm), 1, 16)"
 H2 = lambda *xs: "sha256(" + " || ".join(f"unhex(lpad(hex(octet_length(encode({x}))), 16, '0')) || encode({x})" for x in xs) + ")"
 
 
@@ -149,7 +149,7 @@ def match_whole_documents(spark, sf):
 @query()
 def match_in_order(spark, sf):
     """The whole sequential rule; its results are tested against a plain reading of it."""
-    whole = lambda df: df.withColumns({"unit_kind": F.lit("paragraph"), "context": F.lit(""), "stable_id": hashing.stable_id(F.col("doc_id"), F.col("norm"), F.col("ordinal"))})
+    whole = lambda df: df.withColumns({"unit_kind": F.lit("Paragraph"), "context": F.lit(""), "stable_id": hashing.stable_id(F.col("doc_id"), F.col("norm"), F.col("ordinal"))})
     units = _units(spark, sf)
     return matching.in_order(whole(_previous(units)), whole(units.withColumn("trusted", F.lit(True))))
 

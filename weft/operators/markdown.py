@@ -53,7 +53,7 @@ def protected(text: str) -> tuple[Span, ...]:
     found = [Span("inline_code", m[0], *m.span()) for m in CODE.finditer(text)]
     found += [Span("html", m[0], *m.span()) for m in INLINE_HTML.finditer(text)]
     for m in LINK.finditer(text):
-        for g, kind in ((1, "link_destination"), (2, "link_title"), (3, "reference")):
+        for g, kind in ((1, "link_target"), (2, "link_target"), (3, "link_target")):
             if m[g]:
                 found.append(Span(kind, m[g], *m.span(g)))
     found += [Span("placeholder", m[0], *m.span()) for m in re.finditer(PLACEHOLDER, text)]
@@ -75,13 +75,23 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
         at += len(raw)
     out: list[tuple[str, int, int]] = []
     para: list[tuple[int, int]] = []
-    i = 0
+    items: list[int] = []  # places in out of the current list's texts
+    i, loose, gap, in_item = 0, False, False, False
 
-    def flush(kind: str = "paragraph") -> None:
+    def flush(kind: str = "Paragraph") -> None:
         if para:
+            if in_item:
+                items.append(len(out))
             out.append((kind, para[0][0], para[-1][1]))
             para.clear()
 
+    def end_list() -> None:
+        """A tight list's texts are items; those of one with blank lines between them are paragraphs."""
+        for k in items:
+            if not loose and out[k][0] == "Paragraph":
+                out[k] = ("ListItem", *out[k][1:])
+        items.clear()
+
     if lines and lines[0][0] in ("---", "+++"):
         end = next((k for k in range(1, len(lines)) if lines[k][0] == lines[0][0]), 0)
         i = end + 1 if end else 0
@@ -91,6 +101,17 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
         while m := QUOTE.match(line[lead:]):
             lead += m.end()
         body = line[lead:]
+        if not body.strip():
+            gap = True
+        else:
+            if gap and (items or in_item):
+                if BULLET.match(body) or body.startswith("  "):
+                    loose = True
+                else:
+                    flush()
+                    end_list()
+                    in_item = loose = False
+            gap = False
         if m := FENCE.match(body):
             flush()
             mark = m[2]
@@ -100,11 +121,11 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
         elif not body.strip():
             flush()
         elif para and SETEXT.match(body) and not lead:
-            flush("heading")
+            flush("Heading")
         elif m := HEADING.match(body):
             flush()
             if m[2]:
-                out.append(("heading", at + lead + m.start(2), at + lead + m.end(2)))
+                out.append(("Heading", at + lead + m.start(2), at + lead + m.end(2)))
         elif BREAK.match(body) or (REFERENCE.match(body) and not para):
             flush()
         elif not para and (body.startswith("    ") or body.startswith("\t")) and not BULLET.match(body.lstrip()):
@@ -121,15 +142,16 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
                         s = cell[0]
                         if s.strip():
                             a = row_at + cell.start() + len(s) - len(s.lstrip())
-                            out.append(("table_cell", a, a + len(s.strip())))
+                            out.append(("TableCell", a, a + len(s.strip())))
                 k += 1
             i = k - 1
         elif m := DEFINITION.match(body):
             if para:
-                flush("definition_term")
-            out.append(("definition", at + lead + m.start(2), at + lead + len(body.rstrip())))
+                flush("DefinitionTerm")
+            out.append(("Definition", at + lead + m.start(2), at + lead + len(body.rstrip())))
         elif m := BULLET.match(body):
             flush()
+            in_item = True
             if m.end() < len(body):
                 while n := BULLET.match(body, m.end()):
                     m = n
@@ -139,11 +161,19 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
             para.append((at + lead + inner, at + lead + len(body.rstrip())))
         i += 1
     flush()
+    end_list()
     return out
 
 
-def parse(data: bytes) -> list[Unit]:
-    """Units in order, with byte spans; ids count equal fingerprints up."""
+def _token(span: Span, nth: int, namespace: str) -> str:
+    return f"@@{namespace}_{span.kind.upper()}_{nth:04d}_{hashlib.sha256(span.value.encode()).hexdigest()[:16]}@@"
+
+
+def parse(data: bytes, namespace: str = "WEFT") -> list[Unit]:
+    """Units in order, with byte spans; ids are of kind and tokenised text, and count equal ones up.
+
+    Ids of units with protected spans depend on the tokens' namespace.
+    """
     text = data.decode()
     seen: Counter[str] = Counter()
     out, last = [], -1
@@ -152,13 +182,13 @@ def parse(data: bytes) -> list[Unit]:
         spans = protected(source)
         rest = source
         for s in reversed(spans):
-            rest = rest[: s.start] + rest[s.end :] if s.kind not in ("link_title",) else rest
+            rest = rest[: s.start] + rest[s.end :]
         if not VISIBLE.search(rest) or a < last:
             continue
         last = b
         shown = source
-        for s in reversed(spans):
-            shown = f"{shown[: s.start]}{s.value}{shown[s.end :]}"
+        for k, s in reversed(list(enumerate(spans))):
+            shown = shown[: s.start] + _token(s, k, namespace) + shown[s.end :]
         mark = hashlib.sha256(f"{kind}\0{' '.join(shown.split())}".encode()).hexdigest()[:16]
         start = len(text[:a].encode())
         out.append(Unit(kind, source, start, start + len(source.encode()), f"md-{mark}-{seen[mark]:02d}", spans))
@@ -181,7 +211,7 @@ def tokenize(unit: Unit, namespace: str = "WEFT") -> tuple[str, list[tuple[str,
     """The unit's text with tokens for its protected spans, and the tokens' values."""
     out, text = [], unit.text
     for i, s in reversed(list(enumerate(unit.spans))):
-        t = f"@@{namespace}_{s.kind.upper()}_{i:04d}_{hashlib.sha256(s.value.encode()).hexdigest()[:16]}@@"
+        t = _token(s, i, namespace)
         if t in unit.text:
             raise ValueError("a token collides with the text")
         text = text[: s.start] + t + text[s.end :]

@@ -23,7 +23,7 @@ def prose_units(docs: DataFrame) -> DataFrame:
 
 
 def fingerprinted(units: DataFrame) -> DataFrame:
-    return units.withColumn("fp", hashing.fingerprint(F.lit("paragraph"), F.col("source")))
+    return units.withColumn("fp", hashing.fingerprint(F.lit("Paragraph"), F.col("source")))
 
 
 def with_ids(units: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def with_ids(units: DataFrame) -> DataFrame:
 def _rows(path: str, kind: str, data: bytes) -> list[tuple]:
     try:
         if kind == "json":
-            return [(path, i, None, "json_string", x.pointer, x.text, x.start, x.end, 0, None) for i, x in enumerate(jsondoc.parse(data)[0])]
+            return [(path, i, None, "StringValue", x.pointer, x.text, x.start, x.end, 0, None) for i, x in enumerate(jsondoc.parse(data)[0])]
         if kind == "markdown":
             return [(path, i, u.id, u.kind, None, u.text, u.start, u.end, len(u.spans), None) for i, u in enumerate(markdown.parse(data))]
         raise ValueError(f"format {kind} is not supported")

@@ -60,7 +60,8 @@ def route(files: DataFrame, rules: list[Rule], strict: bool = True) -> DataFrame
     """files(path, ...) that a rule matches, with its name, format, relpath and template.
 
     A path that more than one rule matches is an error; so are a format that the extension denies, a path outside
-    the rule's prefix, and a single-file rule that matches not exactly one. With strict=False the errors are a column.
+    the rule's prefix, and a single-file rule that matches not exactly one. These are looked for
+    before anything else is done; with strict=False they are a column.
     """
     hits = F.filter(F.array(*[F.when(matches(F.col("path"), r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
     found = files.withColumn("_hits", hits).filter(F.size("_hits") > 0)
@@ -76,7 +77,9 @@ def route(files: DataFrame, rules: list[Rule], strict: bool = True) -> DataFrame
     out = found.withColumns({"rule": pick(lambda r: r.name), "format": pick(lambda r: r.format), "template": pick(lambda r: r.target), "relpath": rel}).withColumn("error", error).drop("_hits")
     if not strict:
         return out
-    return out.withColumn("rule", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "error", "path")).cast("string")).otherwise(F.col("rule"))).drop("error")
+    if bad := out.filter("error is not null").select("error", "path").head(1):
+        raise ValueError(f"{bad[0]['error']}: {bad[0]['path']}")
+    return out.drop("error")
 
 
 def single_violations(routed: DataFrame, rules: list[Rule]) -> DataFrame:
