@@ -100,6 +100,37 @@ def test_fuzzy_scores(spark):
         assert r.score >= 0.72
 
 
+def test_distance():
+    import random
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(80))) for _ in range(2))
+        assert matching._distance(a, b) == slow(a, b)
+
+
+def test_fuzzy_agrees_with_rules(spark):
+    """Alone with its document's units, each current unit gets what the sequential rule gives it."""
+    old = [(1, i, f"sentence number {i} about {w} and more", True) for i, w in enumerate("cats dogs birds trees stones".split())]
+    new = [(1, i, f"sentence number {i} on {w} and mere", True) for i, w in enumerate("bats hogs wolves trees".split())]
+    cols = "doc_id long, ordinal long, norm string, trusted boolean"
+    got = {r.ordinal: r for r in matching.fuzzy(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols)).collect()}
+    for _, n, norm, _ in new:
+        want = matching.sequential([unit(i, s) for _, i, s, _ in old], [unit(n, norm)])[0]
+        r = got.get(n)
+        assert want["kind"] == ("new" if r is None else "ambiguous" if r.ambiguous else "fuzzy")
+        if want["kind"] == "fuzzy":
+            assert (r.p_ordinal, r.score) == (want["previous_ordinal"], round(want["score"], 9))
+
+
 def test_reusable(spark):
     rows = [(1, 1, "old", True, False, "p", None), (1, 2, "new", False, True, "p", None), (2, 3, "", True, True, "p", None), (2, 4, "x", False, True, "q", None), (3, 5, "x", False, True, "p", "m0"), (3, 6, "y", False, True, "p", "m1")]
     df = spark.createDataFrame(rows, "unit_id long, candidate_id long, text string, trusted boolean, allowed boolean, policy string, model string")

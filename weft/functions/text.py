@@ -17,6 +17,8 @@ PLACEHOLDERS = (
 PLACEHOLDER = "|".join(PLACEHOLDERS)
 # The floor of a fuzzy match, the weights of text and place, and the margin to the runner-up.
 FUZZY_FLOOR, TEXT_WEIGHT, PLACE_WEIGHT, MARGIN = 0.72, 0.85, 0.15, 0.03
+# Place adds its full weight at most, so a text less similar than this never reaches the floor.
+LEAST_SIMILARITY = (FUZZY_FLOOR - PLACE_WEIGHT) / TEXT_WEIGHT
 
 
 def normalized(text: Column) -> Column:
@@ -29,22 +31,21 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 
 
-def similarity(a: Column, b: Column) -> Column:
+def similarity(a: Column, b: Column, distance: Column | None = None) -> Column:
     """1 - edit distance over the longer length, in characters; 1 for two empty texts."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - (F.levenshtein(a, b) if distance is None else distance) / longer)
 
 
-def fuzzy_score(a: Column, b: Column, steps: Column) -> Column:
+def fuzzy_score(a: Column, b: Column, steps: Column, distance: Column | None = None) -> Column:
     """Text similarity and nearness of place, weighted."""
-    return TEXT_WEIGHT * similarity(a, b) + PLACE_WEIGHT / (1.0 + F.abs(steps))
+    return TEXT_WEIGHT * similarity(a, b, distance) + PLACE_WEIGHT / (1.0 + F.abs(steps))
 
 
 def could_match(a: Column, b: Column) -> Column:
     """A bound on lengths alone that every pair above the floor meets; spares the edit distance."""
-    least = (FUZZY_FLOOR - PLACE_WEIGHT) / TEXT_WEIGHT
     x, y = F.char_length(a), F.char_length(b)
-    return F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-9
+    return F.abs(x - y) <= (1 - LEAST_SIMILARITY) * F.greatest(x, y) + 1e-9
 
 
 def rfind(text: Column, part: str) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FUZZY_FLOOR, MARGIN, PLACE_WEIGHT, TEXT_WEIGHT, could_match, fuzzy_score
+from ..functions.text import FUZZY_FLOOR, LEAST_SIMILARITY, MARGIN, PLACE_WEIGHT, TEXT_WEIGHT, could_match, fuzzy_score
 
 MATCHES = "doc_id long, ordinal long, kind string, score double, previous_ordinal long, stable_id string, trusted_reuse boolean"
 
@@ -48,19 +48,33 @@ def fuzzy(previous: DataFrame, current: DataFrame) -> DataFrame:
     a = current.select("doc_id", "ordinal", "norm")
     b = previous.select("doc_id", F.col("ordinal").alias("p_ordinal"), F.col("norm").alias("p_norm"))
     near = a.join(b, "doc_id").filter(could_match(F.col("norm"), F.col("p_norm")))
-    scored = near.withColumn("score", fuzzy_score(F.col("p_norm"), F.col("norm"), F.col("p_ordinal") - F.col("ordinal"))).filter(F.col("score") >= FUZZY_FLOOR)
+    # the distance is worked out only as far as a score above the floor allows; -1 means it is greater
+    within = near.withColumn("most", F.floor((1 - LEAST_SIMILARITY) * F.greatest(F.char_length("norm"), F.char_length("p_norm")) + 1e-9).cast("int"))
+    close = within.withColumn("distance", F.expr("levenshtein(p_norm, norm, most)")).filter("distance >= 0")
+    scored = close.withColumn("score", fuzzy_score(F.col("p_norm"), F.col("norm"), F.col("p_ordinal") - F.col("ordinal"), F.col("distance"))).filter(F.col("score") >= FUZZY_FLOOR)
     w = Window.partitionBy("doc_id", "ordinal").orderBy(F.desc("score"), "p_ordinal")
     ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("rank = 1")
     return ranked.select("doc_id", "ordinal", "p_ordinal", F.round("score", 9).alias("score"), F.coalesce(F.col("score") - F.col("next") < MARGIN, F.lit(False)).alias("ambiguous"))
 
 
 def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance, a column of the table at a time as the bits of two integers."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(a):
+        at[c] |= 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(across | up)), up & across
+        score += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | (full & ~(vertical | plus)), plus & vertical
+    return score
 
 
 def sequential(previous: list[dict], current: list[dict], hints: dict[int, str] | None = None) -> list[dict]:
