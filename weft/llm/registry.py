@@ -30,14 +30,17 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, the first batch is brought again, all counts are revised to another way of counting and texts of under 50 words are taken out."""
+    scratch, text = Scratch(spark), F.col("text")
     docs = table(sf_dir, "documents", spark)
-    rollup = token_counts.Rollup(spark, Scratch(spark).base)
-    one, two = token_counts.words(F.col("text")), token_counts.pieces(F.col("text"))
+    # the counts that the tokenizers report, once; the batches are made of them
+    counted = scratch.keep(docs.select("source", "lang", token_counts.words(text).alias("one"), token_counts.pieces(text).alias("two")))
+    rollup = token_counts.Rollup(spark, f"{scratch.base}-rollup")
+    one, two = F.col("one"), F.col("two")
     for version, first, then in (("words", one, two), ("pieces", two, two)):
-        rollup.apply(f"{version}-insert", token_counts.changes(docs, version, None, first))
-        rollup.apply(f"{version}-insert", token_counts.changes(docs, version, None, first))
-        rollup.apply(f"{version}-revise", token_counts.changes(docs, version, first, then))
-        rollup.apply(f"{version}-delete", token_counts.changes(docs.filter(one < 50), version, then, None))
+        rollup.apply(f"{version}-insert", token_counts.changes(counted, version, None, first))
+        rollup.apply(f"{version}-insert", token_counts.changes(counted, version, None, first))
+        rollup.apply(f"{version}-revise", token_counts.changes(counted, version, first, then))
+        rollup.apply(f"{version}-delete", token_counts.changes(counted.filter(one < 50), version, then, None))
     rollup.compact()
     return rollup.totals()
 
