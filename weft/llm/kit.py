@@ -6,6 +6,7 @@ memory of a worker follows the longest single text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -109,6 +110,19 @@ class Slice:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not every C library has it
+    _trim = None
+
+
+def settle() -> None:
+    """Hands memory that a task no longer needs back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Slice]:
     for batch in batches:
         if not batch.num_rows:
@@ -120,6 +134,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
             yield Slice(batch.slice(at, end - at), column)
             at = end
+    settle()
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -228,7 +228,7 @@ def _verify(k: int, percent: int):
                 if both and 100 * both >= percent * (n + m - both):
                     out_a.append(a)
                     out_b.append(b)
-            if sum(len(x) for x, _ in last.values()) > 4_000_000:
+            if sum(len(x) for x, _ in last.values()) > 1_000_000:
                 last.clear()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
