@@ -141,3 +141,15 @@ def test_globs():
 
     hit = lambda g, p: bool(re.match(discovery.glob_regex(g), p))
     assert hit("**/*.md", "a.md") and hit("**/*.md", "x/y/a.md") and not hit("*.md", "x/a.md") and hit("d/**", "d/x/y") and hit("{a,b}/?.md", "b/1.md") and hit("[!x]*", "abc") and not hit("[!x]*", "xbc")
+
+
+def test_edited_target_gives_its_tokens_back():
+    unit = lambda text: markdown.parse(text.encode())[0]
+    source, target = unit("Use `a` and `b` for {{name}}, then `a`."), unit("Pour {{name}} : `a`, `b` et `a`.")
+    _, tokens = markdown.tokenize(source)
+    got = markdown.recovered(source, target)
+    assert got is not None and markdown.restore(got, tokens) == target.text
+    assert not markdown.validate(source, got)
+    assert got.index(tokens[3][0]) < got.index(tokens[0][0])  # of equal spans the last takes the first token
+    assert markdown.recovered(source, unit("Pour {{name}} : `a`, `b` et `c`.")) is None
+    assert markdown.recovered(source, unit("# Use `a` and `b` for {{name}}, then `a`.")) is None

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weft import catalog
+from weft import catalog, catalog_reads  # noqa: F401  the latter adds to the former
 from weft.functions import hashing, text
 from weft.operators import matching, protect, segment, state
-from weft.plans import planner, report
+from weft.plans import planner, reads, report
 from weft.sources import discovery
 from weft.streaming import queue
 

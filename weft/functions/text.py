@@ -15,6 +15,7 @@ PLACEHOLDERS = (
     r"@@[A-Za-z_][A-Za-z0-9_.*-]*@@",
 )
 PLACEHOLDER = "|".join(PLACEHOLDERS)
+TAG = "</?[A-Za-z][^<>]*>"
 # The floor of a fuzzy match, the weights of text and place, and the margin to the runner-up.
 FUZZY_FLOOR, TEXT_WEIGHT, PLACE_WEIGHT, MARGIN = 0.72, 0.85, 0.15, 0.03
 # Place adds its full weight at most, so a text less similar than this never reaches the floor.
@@ -31,6 +32,11 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 
 
+def html_tags(text: Column) -> Column:
+    """Every opening and closing tag in order of its place."""
+    return F.regexp_extract_all(text, F.lit(TAG), F.lit(0))
+
+
 def similarity(a: Column, b: Column, distance: Column | None = None) -> Column:
     """1 - edit distance over the longer length, in characters; 1 for two empty texts."""
     longer = F.greatest(F.char_length(a), F.char_length(b))

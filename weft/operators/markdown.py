@@ -242,6 +242,25 @@ def validate(unit: Unit, target: str, namespace: str = "WEFT") -> list[str]:
     return out
 
 
+def recovered(source: Unit, target: Unit, namespace: str = "WEFT") -> str | None:
+    """The target's text with the source's tokens in place of its protected spans; None unless they pair off by kind and value.
+
+    Of equal spans the last in the target takes the first token that is left.
+    """
+    wanted = Counter((s.kind, s.value) for s in source.spans)
+    if source.kind != target.kind or wanted != Counter((s.kind, s.value) for s in target.spans):
+        return None
+    left: dict[tuple[str, str], list[str]] = {}
+    for (token, _), s in zip(tokenize(source, namespace)[1], source.spans):
+        left.setdefault((s.kind, s.value), []).append(token)
+    pieces, end = [], len(target.text)
+    for s in target.spans[::-1]:
+        pieces += [target.text[s.end : end], left[s.kind, s.value].pop(0)]
+        end = s.start
+    text = target.text[:end] + "".join(pieces[::-1])
+    return None if validate(source, text, namespace) else text
+
+
 def repair_strong(source: str, target: str) -> str:
     """A blank after a leading strong run, where the source has one and the target does not."""
     m = re.match(r"^(\*\*[^*\n]+\*\*)(\S)", target)
