@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage works on all that the one before it kept.
 
 quality: documents that the quality rules reject go. near_duplicates: one document of each group of
-linked ones stays, the one of the least doc_id. decontamination: documents into which a benchmark
+linked ones stays, the one of the least doc_id; shingles are of five words and link from a similarity of 0.8
+(op5 has a contract of its own, four words and 0.85). decontamination: documents into which a benchmark
 item leaks go. secrets: secrets are replaced by the names of their kinds. mixing: documents are
 replicated to the sources' target weights and shuffled.
 """
@@ -13,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm import decontaminate, mixing, ngram_join, quality_rules, registry, secret_scan
 from weft.llm.kit import Scratch
 
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep(docs, Scratch(spark))
+    return ngram_join.keep(docs, Scratch(spark), k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,32 @@ def test_jaccard_join(spark, docs, rows, none):
     assert 8 not in left and 7 in left and {2, 3} <= set(left)
 
 
+def test_near_duplicates_stage(spark):
+    """The pipeline's stage against a brute force at five words and 0.8: pairs in the gap to op5's rule go as well."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for g in range(40):
+        w = prose(rng, rng.randrange(50, 160)).split()
+        rows.append((3 * g, " ".join(w)))
+        for i in (1, 2):
+            v = list(w)
+            for at in rng.sample(range(len(v)), rng.randrange(1, 5)):
+                v[at] = f"w{rng.randrange(1000)}"
+            rows.append((3 * g + i, " ".join(v)))
+    sets = {k: [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)] for k in (4, 5)}
+    linked = lambda k, percent: {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[k][i] & sets[k][j]) >= percent * len(sets[k][i] | sets[k][j])}
+    assert linked(5, 80) - linked(4, 85)
+    root = list(range(len(rows)))
+    for i, j in sorted(linked(5, 80)):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(set(root))
+
+
 def test_jaccard_join_dense_group(spark):
     """Many texts made from one, some beyond the threshold: no link is lost."""
     rng = random.Random(9)
