@@ -8,7 +8,8 @@ issued-looking keys on one side; placeholders, checksums, commit ids, UUIDs, ide
 numbers on the other. Whole texts are scanned, batch by batch, and nothing is shuffled.
 
 Defined results: null and empty texts have no findings; equal candidates are found once at each
-place; candidates that overlap are cut to the first, the longest of those that begin there;
+place; of candidates that overlap the first stays, private keys and
+assigned values before others, a name counting as the begin of what is assigned to it;
 repeated rows repeat their findings; a null path counts as an empty one; an empty table gives no
 rows; further columns are ignored. Without both kinds of label training is refused.
 """
@@ -31,13 +32,15 @@ THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 24, 9, 3
 SCHEMA = "doc_id long, kind string, start_char long, end_char long, probability double, is_secret boolean"
 
-PATTERN = re.compile(
-    r"(?P<cloud_key>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
-    r"|(?P<vendor_token>\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}))"
-    r"|(?P<private_key>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----)"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3})[\"']?(?P<assigned>[^\s\"'<>]{8,})"
-    r"|(?P<high_entropy>\b(?=[A-Za-z+/_=-]{0,38}[0-9])(?=[0-9+/_=-]{0,38}[A-Za-z])[A-Za-z0-9+/_=-]{32,}\b)"
+TOKEN = re.compile(
+    r"\b(?:(?P<cloud_key>(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
+    r"|(?P<vendor_token>gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+    r"|(?P<high_entropy>[A-Za-z0-9+/_=-]{32,}\b))"
 )
+PEM = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+KEYWORD = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key", re.I)
+VALUE = re.compile(r"\s{0,3}[\"']?(?P<assigned>[^\s\"'<>]{8,})")
+ASSIGN, NAME_END, LETTER, DIGIT = re.compile("[:=]"), re.compile(r"[\"']?\s{0,3}\Z"), re.compile("[A-Za-z]"), re.compile("[0-9]")
 # Words that the dictionary feature knows, and words that speak for and against a secret nearby.
 WORDS = "access account admin api app auth change client code config count data default demo dev dummy example file foo form get group hash host http id image index item key lang lib line list local log main me model my name new node null number object page param pass password path placeholder prod query read request response result root sample script secret server service session set sort source state string system table temp test text this time title token true type url user value version view web word world write xxx your".split()
 FOR = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access", "auth", "credential", "private", "key")
@@ -171,10 +174,54 @@ def train(labelled: list[tuple[str, str, str, str, int]] | DataFrame | None = No
     return Forest(x, np.array([r[4] for r in labelled if r[0]]))
 
 
+def _keys(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """PEM bodies from a BEGIN to the END that follows, with no other BEGIN between; all as (kind, where it is led in, start, end)."""
+    begin = None
+    for m in PEM.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m.start()
+        elif begin is not None:
+            yield "private_key", begin, begin, m.end()
+            begin = None
+
+
+def _assigned(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Values given to names of which a keyword is any part."""
+    done = 0
+    for m in ASSIGN.finditer(text):
+        if m.start() < done:
+            continue
+        end = max(0, m.start() - 4)
+        end += NAME_END.search(text[end : m.start()]).start()
+        at = end
+        while at > done and (text[at - 1].isalnum() or text[at - 1] in "_-."):
+            at -= 1
+        if at < end and KEYWORD.search(text, at, end) and (v := VALUE.match(text, m.end())):
+            yield "assigned", at, *v.span("assigned")
+            done = v.end()
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        yield kind, m.start(kind), m.end(kind)
+    found, done = [], 0
+    for f in sorted([*_keys(text), *_assigned(text)], key=lambda f: (f[1], -f[3])):
+        if f[1] >= done:
+            found.append(f)
+            done = f[3]
+    at = 0
+    for f in [*found, ("", len(text), 0, len(text))]:
+        for m in TOKEN.finditer(text, at, f[1]):
+            a, b = m.span(kind := m.lastgroup)
+            if kind == "high_entropy":
+                if not (digit := DIGIT.search(text, a, b)) or not LETTER.search(text, a, b):
+                    continue
+                # a long name without a digit is not part of what is assigned to it
+                cut = text.rfind("=", a, digit.start()) + 1
+                if digit.start() - a > 38 and b - cut >= 32 and LETTER.search(text, cut, b):
+                    a = max(a, cut)
+            yield kind, a, b
+        if f[0]:
+            yield f[0], *f[2:]
+        at = f[3]
 
 
 def scan(text: str, path: str, forest: Forest) -> list[tuple[str, int, int, float]]:
