@@ -312,7 +312,18 @@ def link(docs: DataFrame, scratch: Scratch | None = None, k: int = K, percent: i
 
 
 def keep(docs: DataFrame, scratch: Scratch | None = None, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of the least doc_id; texts without words all stay."""
-    groups = link(docs, scratch, k, percent)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, of the least doc_id (null ones last) and text hash; texts without words all stay."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    meta, roots = classes(docs, scratch, k, percent)
+    full = meta.filter("n_shingles > 0").join(roots, "fp", "left").groupBy("doc_id", "text_hash", F.coalesce("root", "fp").alias("root")).agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    marked = full.join(full.groupBy("root").agg(F.min(rank).alias("least")), "root").withColumn("gone", rank != F.col("least")).filter("gone or n > 1")
+    marked = scratch.keep(marked.select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__text"), "gone"))
+    same = docs["doc_id"].cast("long").eqNullSafe(marked["__of"]) & (F.xxhash64(docs["text"].cast("string")) == marked["__text"])
+    left = docs.join(marked, same, "left_anti")
+    twice = marked.filter("not gone")
+    if twice.isEmpty():
+        return left
+    # rows that repeat their doc_id and text: one of each
+    many = docs.join(twice, same, "left_semi")
+    return left.unionByName(many.withColumn("__text", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__text"]).drop("__text"))
