@@ -109,6 +109,33 @@ def test_quality_finds_junk(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[1000 + i] for i in range(10))
 
 
+def test_quality_languages_keep_apart(spark, monkeypatch):
+    """German and French have models of their own, as have null and empty languages; blocks change nothing."""
+    rng = random.Random(15)
+    other = lambda n: " ".join("".join(rng.choice("qwxzkjv") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    rows = [(i, other(100) if lang in ("fr", "") else prose(rng, 100), lang, "a", 1) for i, lang in enumerate(["de", "fr", "en", None, "", "de-AT"] * 40)]
+    rows += [(900 + i, other(100), "de", "a", 1) for i in range(3)] + [(950, None, "it", "a", 1), (951, "kurz", "nl", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    one = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    by = {lang: {round(one[r[0]].entropy, 1) for r in rows if r[2] == lang and r[0] < 900} for lang in ("de", "fr", None, "")}
+    assert not by["de"] & by["fr"] and not by[None] & by[""]
+    assert not any(one[900 + i].kept for i in range(3)) and sum(one[r[0]].kept for r in rows if r[0] < 900) >= 230
+    assert not one[950].kept and not one[951].kept and len(one) == len(rows)
+    kept = {r.doc_id for r in quality_rules.keep(docs).collect()}
+    monkeypatch.setattr(quality_rules, "BLOCK", 4000)
+    assert {r.doc_id: r for r in quality_rules.judge(docs).collect()} == one and {r.doc_id for r in quality_rules.keep(docs).collect()} == kept == {d for d, r in one.items() if r.kept}
+
+
+def test_quality_counts_all_texts(spark):
+    """Where all of a language's texts are of capitals and digits, they have a model and a band, and noise falls out of it."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 100).upper() + f" {rng.randrange(10**40)}", "zz", "a", 1) for i in range(100)]
+    rows += [(500, "%% && || ## " * 60 + " ".join(str(rng.random()) for _ in range(40)), "zz", "a", 1)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.entropy > 0 and r.high > 0 for r in got.values())
+    assert sum(got[i].kept for i in range(100)) >= 95 and not got[500].kept
+
+
 def shingle_set(text):
     w = words(lower(text))
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
@@ -137,6 +164,15 @@ def test_jaccard_join(spark, docs, rows, none):
     assert 8 not in left and 7 in left and {2, 3} <= set(left)
 
 
+def test_jaccard_keep_with_repeated_ids(spark):
+    """Rows are told apart by doc_id and text: one row of each group stays, and no other text goes with a shared doc_id."""
+    rng = random.Random(22)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a + " more"), (2, b), (None, c), (None, c), (None, d), (3, d), (3, d), (4, None), (4, None), (None, ""), (5, b + " end")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter([(1, a), (2, b), (None, c), (3, d), (4, None), (4, None), (None, "")])
+
+
 def test_near_duplicates_stage(spark):
     """The pipeline's stage against a brute force at five words and 0.8: pairs in the gap to op5's rule go as well."""
     import corpus_pipeline
