@@ -237,6 +237,20 @@ def test_pigeonhole_keys():
                 assert set(ngram_join.keys(x, all_bands, 85)) & set(ngram_join.keys(y, all_bands, 85))
 
 
+def test_pigeonhole_keys_of_the_stage():
+    """At 0.8 too, and with few further sketches."""
+    rng = np.random.default_rng(5)
+    all_bands, n_keys = ngram_join.bands(80, 1 << 16), 0
+    for n in [1, 2, 4, 5, 9, 10, 20, 45, 80, 200, 700] * 20:
+        x = kit.mix(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        d = int(rng.integers(0, n // 9 + 1))
+        y = np.concatenate((x[d:], kit.mix(rng.integers(0, 1 << 62, d).astype(np.uint64))))
+        if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+            assert set(ngram_join.keys(x, all_bands, 80)) & set(ngram_join.keys(y, all_bands, 80))
+        n_keys += len(ngram_join.keys(x, all_bands, 80)) if n == 700 else 0
+    assert n_keys < 20 * 700
+
+
 def repeated(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:

@@ -64,7 +64,8 @@ def differing(percent: int, a: int, b: int) -> int:
 def segments(percent: int, high: int) -> tuple[int, int]:
     """Segments of the sketch of the band up to `high`, and how many of them may be empty."""
     d = differing(percent, high, high)
-    spare = 0 if d == 0 else 1 + (d + 1) // 40
+    # a looser bound cuts more segments, of which more are empty; any number of spare ones is exact
+    spare = 0 if d == 0 else 1 + (d + 1) // (40 if percent >= PERCENT else 10)
     return d + 1 + spare, spare
 
 
