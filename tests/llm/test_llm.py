@@ -266,13 +266,43 @@ def test_substring_dedup(spark, docs, rows, none, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     texts = [(t or "").encode() for _, t, *_ in rows]
     want = Counter()
-    for (d, *_), t, gone in zip(rows, texts, repeated(texts, 400), strict=True):
+    for (d, *_), t, gone, shared in zip(rows, texts, repeated(texts, 400), passages([(r[0], r[1]) for r in rows]), strict=True):
         runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
-        want[d, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()] += 1
+        in_passages = sum(1 for i, g in enumerate(shared) if g and not (i and shared[i - 1]))
+        want[d, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest(), in_passages, sum(shared)] += 1
     assert Counter(tuple(r) for r in substring_dedup.dedup(docs).collect()) == want
     assert substring_dedup.dedup(none).count() == 0
 
 
+def passages(rows, n=51):
+    """Which words of each text stand in a run of n words that a row of another id or text has as well."""
+    of = {}
+    for row in set(rows):
+        w = words(lower(row[1]))
+        for i in range(len(w) - n + 1):
+            of.setdefault(tuple(w[i : i + n]), set()).add(row)
+    for row in rows:
+        w = words(lower(row[1]))
+        flags = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if len(of[tuple(w[i : i + n])]) > 1:
+                flags[i : i + n] = [True] * n
+        yield flags
+
+
+def test_passages_across_documents(spark):
+    rng = random.Random(12)
+    short = " ".join("i to a of"[rng.randrange(9)] for _ in range(60))
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    own, shared, brief = fresh(70), fresh(51), fresh(50)
+    rows = [(1, f"{fresh(40)} {shared} {fresh(30)}"), (2, f"{fresh(200)}\n{shared.upper()}"), (3, f"{own} x {own}"), (4, f"{brief} {fresh(5)}"), (5, f"{fresh(5)} {brief}"), (6, short), (7, f"x {short}"), (8, fresh(300)), (8, fresh(20))]
+    rows += [(20 + i, " ".join(rng.choice("ab") for _ in range(70)) + f" {shared} " + fresh(3)) for i in range(20)]
+    got = Counter((r.doc_id, r.n_passages, r.n_passage_words) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter((d, sum(1 for i, g in enumerate(f) if g and not (i and f[i - 1])), sum(f)) for (d, _), f in zip(rows, passages(rows), strict=True))
+    assert got == want
+    assert want[1, 1, 51] and want[2, 1, 51] and want[3, 0, 0] and want[4, 0, 0] and want[8, 0, 0] == 2
+
+
 def test_suffix_buckets_against_brute_force():
     rng, length, gram = random.Random(1), 40, 8
     base = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(3)]

@@ -62,13 +62,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """C with C[i] = sum over j < i of code(data[j]) * BASE**j, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((BYTE_CODE_LOWER if lower else BYTE_CODE)[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """C with C[i] = sum over j < i of codes[j] * BASE**j, modulo 2**64."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(len(codes) + 1)[0][: len(codes)], out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Prefix sums of bytes."""
+    return prefix_sums((BYTE_CODE_LOWER if lower else BYTE_CODE)[data])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, wherever it stands."""
     inverse = powers(len(prefix))[1]
