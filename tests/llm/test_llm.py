@@ -436,28 +436,69 @@ def test_cascade_is_exact(monkeypatch, spark):
     assert all((r.verdict == "allow") == bool(r.page_id % 3) for r in url_filter.judge(pages, url_filter.insecure(pages)).collect())
 
 
-def test_decontamination(spark, docs, none, monkeypatch):
+def greedy(doc, item, k):
+    """Greedy string tiling by its definition: the longest unmarked match, first in the text and then in the item, until none of k words is left."""
+    in_doc, in_item, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        run, best = [[0] * (len(item) + 1) for _ in range(len(doc) + 1)], (0, 0, 0)
+        for i in range(len(doc) - 1, -1, -1):
+            for j in range(len(item) - 1, -1, -1):
+                if doc[i] == item[j] and not in_doc[i] and not in_item[j]:
+                    run[i][j] = run[i + 1][j + 1] + 1
+                    best = max(best, (run[i][j], -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < k:
+            return out
+        in_doc[i : i + n], in_item[j : j + n] = [True] * n, [True] * n
+        out.append((n, i, j))
+
+
+def plain_leaks(rows, items, coverage=0.8):
+    for d, text in rows:
+        for i, item in items:
+            doc, want = words(lower(text)), words(lower(item))
+            if want:
+                laid = greedy(doc, want, min(5, len(want)))
+                if (n := sum(t[0] for t in laid)) >= coverage * len(want):
+                    yield d, i, len(want), n, len(laid), n / len(want)
+
+
+def test_greedy_tiles():
+    rng, k = random.Random(5), 3
+    for letters in (2, 3, 8):
+        for _ in range(30):
+            doc, item = ([rng.randrange(letters) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+            seed = lambda x, i: hash(tuple(x[i : i + k])) % 2**63
+            seeds = [seed(item, j) for j in range(len(item) - k + 1)]
+            at = [i for i in range(len(doc) - k + 1) if seed(doc, i) in seeds]
+            got = decontaminate.tiles(np.array(at), np.array([seed(doc, i) for i in at], np.uint64), np.array(seeds, np.uint64), k) if at else []
+            assert got == greedy(doc, item, k)
+
+
+def test_decontamination(spark, docs, none):
     rng = random.Random(12)
-    items = [prose(rng, n) for n in (40, 25, 15, 60, 4)] + [None, ""]
-    bench = spark.createDataFrame([(i, x, "q") for i, x in enumerate(items)], "item_id long, text string, coverage string")
+    items = [prose(rng, n) for n in (40, 25, 15, 60, 4)] + [None, "", "spam " * 40, "two words"]
+    items.append(items[2])
+    bench = spark.createDataFrame([(i, x, "q", "y", 1) for i, x in enumerate(items)] + [(None, items[0], "", "", 0)], "item_id long, text string, coverage string, seeds string, k int")
     w = items[0].split()
     swapped = " ".join(w[20:] + ["between"] + w[:20])
-    texts = [prose(rng, 50) + " " + items[1].upper() + " " + prose(rng, 50), swapped, " ".join(w[:20]), prose(rng, 300), items[4], items[3] + " " + items[2], None, ""]
-    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
-    want = {(0, 1), (1, 0), (5, 3), (5, 2)}
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find(table, bench).collect()} == want
-    assert {r.doc_id for r in decontaminate.keep(table, bench).collect()} == {2, 3, 4, 6, 7}
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)  # several blocks find the same
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find(table, bench).collect()} == want
+    texts = [prose(rng, 50) + " " + items[1].upper() + " " + prose(rng, 50), swapped, " ".join(w[:20]), prose(rng, 300), items[4], items[3] + " " + items[2], None, "", "spam " * 90, "these two words", "two more words", " ".join(items[4].split()[:3])]
+    rows = list(enumerate(texts)) + [(None, swapped), (1, swapped), (20, " ".join(" ".join(w[i : i + 6]) + " gap" for i in range(0, 40, 6)))]
+    table = spark.createDataFrame([(i, t, "en", "a", 1, 1, b"x", 2) for i, t in rows], f"{DOCS}, at int, row binary, leaked long")
+    want = Counter(plain_leaks(rows, [*enumerate(items), (None, items[0])]))
+    assert Counter(tuple(r) for r in decontaminate.find(table, bench).collect()) == want
+    assert want[4, 4, 4, 4, 1, 1.0] and want[9, 8, 2, 2, 1, 1.0] and want[8, 7, 40, 40, 1, 1.0] and sum(n for x, n in want.items() if x[:2] == (1, 0)) == 2
+    gone = {x[:1] for x in want}
+    assert Counter((r.doc_id, r.text) for r in decontaminate.keep(table, bench).collect()) == Counter(r for r in rows if r[:1] not in gone)
+    assert decontaminate.keep(table, bench).columns == table.columns
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
+    assert decontaminate.keep(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_greedy_tiles():
-    doc = np.array([1, 2, 3, 4, 5, 9, 3, 4, 5, 6, 7, 8], np.uint64)
-    item = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.uint64)
-    i, j = zip(*[(a, b) for a in range(11) for b in range(7) if (doc[a : a + 2] == item[b : b + 2]).all()], strict=True)
-    got = decontaminate.tiles(doc, item, np.array(i), np.array(j), 2)
-    assert sorted(got, reverse=True) == [(6, 6, 2), (2, 0, 0)]  # the longest first; of the other only what is unmarked
+def test_decontamination_of_long_texts_that_repeat(spark):
+    """Places are not multiplied: 40,000 equal words against 8,000 would be 320 million pairs."""
+    table, bench = spark.createDataFrame([(1, "x " * 40_000), (2, "x y " * 20_000)], "doc_id long, text string"), spark.createDataFrame([(1, "x " * 8_000)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.find(table, bench).collect()] == [(1, 1, 8000, 8000, 1, 1.0)]
 
 
 def test_lm_scoring(spark, docs, rows, none):
