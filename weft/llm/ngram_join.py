@@ -17,8 +17,10 @@ of a key are not paired with one another either: all are compared with that memb
 the most keys, as a rule the text that the others were made from. Keys whose members then still lie
 in more than one component are taken up again with a finer sketch of some `FINE` segments for each
 difference that a link allows. Two linked sets are equal in all but `d` of those segments, so they
-share one of the `d + 1` rarest of each (a prefix filter over segments, empty ones included), and
-only members of different components that do are compared. Both filters are exact: no link is lost.
+share one of the `d + 1` first of each in any order that is the same for all sets (a prefix filter over segments, empty
+ones included), and only members of different components that do are compared. The order puts rare segments
+first: it goes by counts of one set in `SAMPLE`, of which the `COMMON` greatest are broadcast, and then by hash.
+Both filters are exact whatever the counts: no link is lost.
 Candidates pass the sketches' Hamming bound before the shingles themselves are compared.
 
 Defined results: no word (null, empty or blank text) gives an empty set, linked with nothing;
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +44,7 @@ K = 4
 PERCENT = 85
 LAYERS = 3
 FINE = 4
+SAMPLE, COMMON = 16, 1 << 20
 SKETCH_BITS = 256
 META = "doc_id long, text_hash long, n_shingles long, fp long"
 
@@ -160,18 +163,25 @@ def _keys(k: int, percent: int):
     return run
 
 
-def _fine(k: int, percent: int):
-    """Every segment of the finer sketches: (key, fp, band, keep), of which the `keep` rarest matter."""
+def _fine(k: int, percent: int, held=None):
+    """(key, fp, root, band) of the first segments of the finer sketches, by what `held` says of common ones; of all without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_bands = bands(percent, 1 << 20)
         for s in slices(batches):
-            for fp, x in zip(s.batch.column("fp").to_pylist(), sets(s, k), strict=True):
+            out = []
+            for fp, root, x in zip(s.batch.column("fp").to_pylist(), s.batch.column("root").to_pylist(), sets(s, k), strict=True):
                 for band in _bands_of(len(x), all_bands, percent):
                     d = differing(percent, all_bands[band][1], all_bands[band][1])
                     m = FINE * (d + 1)
-                    key = _key(*_with_empty(*_cut(x, m, 0), m), band)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(m, fp)), pa.array(np.full(m, band, np.int32)), pa.array(np.full(m, d + 1, np.int32))], names=["key", "fp", "band", "keep"])
+                    key = signed(_key(*_with_empty(*_cut(x, m, 0), m), band))
+                    if held is not None:
+                        common, n = held.value
+                        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                        key = key[np.lexsort((key, np.where(common[at] == key, n[at], 0)))[: d + 1]]
+                    out.append((key, np.full(len(key), fp), np.full(len(key), root), np.full(len(key), band, np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "fp", "root", "band"])
 
     return run
 
@@ -259,15 +269,17 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = K, percent: int = PERCEN
     scratch.drop(others)
     if left.isEmpty():
         return meta, roots
-    texts = scratch.keep(_texts(rows, _first(meta, left)))
-    fine = scratch.keep(texts.mapInArrow(_fine(k, percent), "key long, fp long, band int, keep int"))
-    common = fine.groupBy("key").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("fp", "band").orderBy("n", "key"))
-    rare = fine.join(common, "key").withColumn("rank", rank).filter("rank <= keep and n > 1").select("key", "fp", "band").join(left, "fp")
-    rare = scratch.keep(rare)
+    texts = scratch.keep(_texts(rows, _first(meta, left)).join(left, "fp"))
+    fine = "key long, fp long, root long, band int"
+    seen = texts.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_fine(k, percent), fine).groupBy("key").agg(F.count("*").alias("n"))
+    common = seen.filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toArrow().sort_by("key")
+    # a last key that none is, so that there is one at all
+    known = np.append(common.column("key").to_numpy(), np.iinfo(np.int64).max), np.append(common.column("n").to_numpy(), 0)
+    rare = scratch.keep(texts.mapInArrow(_fine(k, percent, rows.sparkSession.sparkContext.broadcast(known)), fine))
     open_keys = rare.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
     sketches = texts.mapInArrow(_sketches(k, percent), "fp long, band int, size long, sketch array<long>")
-    rare = scratch.keep(rare.join(open_keys, "key").join(sketches, ["fp", "band"]))
+    every, rare = rare, scratch.keep(rare.join(open_keys, "key").join(sketches, ["fp", "band"]))
+    scratch.drop(every)
     x, y = rare.alias("x"), rare.alias("y")
     # keys of one band have sketches of one length, so the Hamming bound is part of the join
     distance = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
