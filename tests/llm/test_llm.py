@@ -523,7 +523,6 @@ def test_lm_scoring_looks_rare_tokens_up(spark, docs, monkeypatch):
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
     one = sorted(lm_scoring.score(docs).collect(), key=key)
     monkeypatch.setattr(lm_scoring, "FREQUENT", 20)
-    monkeypatch.setattr(lm_scoring, "ITEMS", 384)
     two = sorted(lm_scoring.score(docs).collect(), key=key)
     assert all((a.n_known, round(a.base_score, 6)) == (b.n_known, round(b.base_score, 6)) for a, b in zip(one, two, strict=True))
 
@@ -542,14 +541,73 @@ def test_exchange_does_not_lower_the_likelihood():
     rng = np.random.default_rng(3)
     b = rng.poisson(1, (60, 60)).astype(float)
     b[:30, 30:] += rng.poisson(8, (30, 30))
+    steps = [lm_scoring.fit(np.eye(6)[of].T @ b @ np.eye(6)[of]) for of in (lm_scoring.exchange(b, 6, n) for n in range(4))]
+    assert all(x <= y + 1e-6 for x, y in itertools.pairwise(steps)) and steps[-1] > steps[0]
 
-    def fit(of, k=6):
-        g = np.eye(k)[of].T @ b @ np.eye(k)[of]
-        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        return f(g) - f(g.sum(0)) - f(g.sum(1))
 
-    steps = [fit(lm_scoring.exchange(b, 6, n)) for n in range(4)]
-    assert all(x <= y + 1e-6 for x, y in itertools.pairwise(steps)) and steps[-1] > steps[0]
+def test_exchange_of_many_words_at_once():
+    """Each word goes where it would raise the likelihood most if it moved alone."""
+    rng, words_, k = np.random.default_rng(1), 40, 7
+    b = rng.poisson(0.6, (words_, words_)).astype(float)
+    b[:20, 20:] += rng.poisson(3, (20, 20))
+    a = np.append(rng.integers(0, k - 1, words_ - 1), k - 1)
+    bigrams = lambda a: np.eye(k)[a].T @ b @ np.eye(k)[a]
+    rows = []
+    for w in range(words_ - 1):
+        own = b[w, w]
+        for c in range(k):
+            mine = own if a[w] == c else 0
+            rows += [(w, 2 * c, b[a == c, w].sum() - mine), (w, 2 * c + 1, b[w, a == c].sum() - mine)]
+        rows.append((w, 2 * k, own))
+    word, side, n = (np.array(x) for x in zip(*[r for r in rows if r[2]], strict=True))
+    got = lm_scoring.best_class(bigrams(a), a[:-1], word, side, n)
+    for w in range(words_ - 1):
+        fits = [lm_scoring.fit(bigrams(np.where(np.arange(words_) == w, c, a))) for c in range(k - 1)]
+        assert fits[got[w]] >= max(fits) - 1e-6 and (got[w] == a[w] or fits[got[w]] > fits[a[w]])
+
+
+@pytest.mark.parametrize(("least", "frequent"), [(1, 1 << 20), (3, 1 << 20), (2, 30)])
+def test_lm_scoring_is_the_class_model(spark, docs, rows, least, frequent, monkeypatch):
+    """Scores against a plain class-bigram model with the classes found: all words from the least count on have one of their own choice."""
+    import zlib
+
+    monkeypatch.setattr(lm_scoring, "MIN_COUNT", least)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "CLASSES", 10)
+    monkeypatch.setattr(lm_scoring, "CLASSES_BY_ROOT", 0)
+    found = []
+    monkeypatch.setattr(lm_scoring, "cluster", lambda *x, f=lm_scoring.cluster: found.append(f(*x)) or found[-1])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score(docs).collect())
+    v, g = found[0]
+    assert len(g) == 10 and len(set(v.of.tolist())) > 2
+
+    def classes(text):
+        s = kit.Slice(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"]), "text")
+        h, shape, _ = lm_scoring.tokens(s)
+        return v.groups(v.find(h), shape).tolist()
+
+    of, toks = [classes(t) for _, t, *_ in rows], [[*words(lower(t)), None] for _, t, *_ in rows]
+    train = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for d, *_ in rows]
+    end, pairs, counts, kinds = of[0][-1], Counter(), Counter(), {}
+    for c, t, ok in zip(of, toks, train, strict=True):
+        if ok:
+            pairs.update(zip([end, *c], c, strict=False))
+            counts.update(t)
+            kinds |= dict(zip(t, c, strict=True))
+    size, types = Counter(), Counter(kinds.values())
+    for w, n in counts.items():
+        size[kinds[w]] += n
+    total, context, after = sum(size.values()), Counter(), Counter(a for a, _ in pairs)
+    for (a, _), n in pairs.items():
+        context[a] += n
+
+    def p(a, b):
+        one = (size[b] + 1) / (total + 10)
+        return (max(pairs[a, b] - 0.75, 0) + 0.75 * after[a] * one) / context[a] if context[a] else one
+
+    want = [(d is None, d or 0, len(t), round(sum(math.log10(p(a, b) * (counts[w] + 1) / (size[b] + types[b] + 1)) for a, b, w in zip([end, *c], c, t, strict=False)), 6)) for (d, *_), c, t in zip(rows, of, toks, strict=True)]
+    for x, y in zip(got, sorted(want), strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-4
 
 
 def test_mixing(spark, docs, rows, none):
