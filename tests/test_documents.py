@@ -82,10 +82,20 @@ def test_markdown_tokens():
     assert "`code`" not in masked and markdown.restore(masked, tokens) == u.text and markdown.validate(u, masked) == []
     assert markdown.validate(u, masked.replace(tokens[0][0], "")) == ["MD-PROTECTED"]
     assert markdown.validate(u, masked + "@@WEFT_X@@") == ["MD-UNKNOWN-TOKEN"]
-    assert markdown.validate(u, masked + " `new`") == ["MD-PROTECTED-CODE"]
+    assert markdown.validate(u, masked + " `new`") == ["MD-PROTECTED-CODE", "MD-STRUCTURE"]
     assert markdown.repair_strong("**Note** text", "**Hinweis**Text") == "**Hinweis** Text" and markdown.repair_strong("**a**b", "**a**c") == "**a**c"
 
 
+def test_markdown_structure():
+    """The whole signature counts: blocks beyond the second, and what stands within them in its order."""
+    same = markdown.structure("one **two** and [three](x) `c`\nfour")
+    assert same == markdown.structure("eins **zwei** und [drei](x) `k`\nvier") and same[0] == "Paragraph"
+    for other in ("one two and [three](x) `c`\nfour", "one **two** and [three](y) `c`\nfour", "one [three](x) and **two** `c`\nfour", "one **two** and [three](x) `c` four", "one **two** and [three](x) `c`\nfour\n\nfive"):
+        assert markdown.structure(other) != same, other
+    u = markdown.parse(b"First\n")[0]
+    assert markdown.validate(u, "Eins\n\nzwei\n\n# drei") == ["MD-STRUCTURE"] and markdown.validate(u, "*Eins*") == ["MD-STRUCTURE"] and markdown.validate(u, "Eins") == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["# h", "text a", "- item", "", "> q", "| a | b |", "| - | - |", "```", "    code", "x `y` z", "Term", ": def", "é"]), max_size=14))
 def test_markdown_identity_of_any_lines(lines):

@@ -37,8 +37,7 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    units = segment.prose_units(t(spark, sf, "documents"))
-    return units.join(t(spark, sf, "documents").select("doc_id", *more), "doc_id") if more else units
+    return segment.prose_units(t(spark, sf, "documents"), *more)
 
 
 # The same units in SQL: (doc_id, ordinal, source, norm).
@@ -139,11 +138,7 @@ def match_by_text(spark, sf):
 @query(f"""WITH {MATCHED}, b AS (SELECT doc_id, bool_or(kind = 'ambiguous') AS bad FROM matched GROUP BY doc_id)
 SELECT kind, bad AS dropped, count(*) AS n FROM matched JOIN b USING (doc_id) GROUP BY ALL""")
 def match_whole_documents(spark, sf):
-    kept, _ = matching.whole_documents(_matched(spark, sf))
-    every = _matched(spark, sf).groupBy("kind").agg(F.count("*").alias("n_all"))
-    ok = kept.groupBy("kind").agg(F.count("*").alias("n_ok"))
-    both = every.join(ok, "kind", "left").withColumn("n_ok", F.coalesce("n_ok", F.lit(0)))
-    return both.select("kind", F.lit(False).alias("dropped"), F.col("n_ok").alias("n")).union(both.select("kind", F.lit(True), F.col("n_all") - F.col("n_ok"))).filter("n > 0")
+    return matching.by_documents(_matched(spark, sf)).groupBy("kind", "dropped").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -100,3 +100,25 @@ def plural_key(key: Column) -> Column:
 def backoff_ms(attempt: Column) -> Column:
     """Delay before a retry: 200 ms doubled up to four times, 30 s at most."""
     return F.least(F.lit(200) * F.pow(F.lit(2), F.least(attempt, F.lit(4))), F.lit(30_000)).cast("long")
+
+
+def ascii_equal(a: Column, b: Column) -> Column:
+    """Equality that overlooks the case of A-Z only."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return low(a) == low(b)
+
+
+def branch(pattern: Column, locale: Column) -> Column:
+    """The branch of a locale, or null where pattern and locale make none that is valid."""
+    name = F.replace(pattern, F.lit("{lang}"), locale)
+    good = locale.rlike(r"^[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)*$") & pattern.contains("{lang}")
+    bad = name.rlike(r"^[-/]|[/.]$|\.lock$|\.\.|//|@\{|[\x00-\x20\x7f~^:?*\[\\]")
+    return F.when(good & ~bad, name)
+
+
+def reserved(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the reserved ones or lies below one."""
+    out = F.lit(False)
+    for r in roots:
+        out = out | (path == r) | path.startswith(r + "/")
+    return out

@@ -155,6 +155,30 @@ def placeholders(text: str) -> Counter[str]:
     return Counter(found)
 
 
+def tokenize(text: str, namespace: str = "WEFT") -> tuple[str, list[tuple[str, str]]]:
+    """A message with a token for each interpolation, numbered in order, and the tokens' values; a text that already has such tokens is refused."""
+    if f"@@{namespace}_" in text:
+        raise DocumentError("a token collides with the text")
+    placeholders(text)
+    tokens: list[tuple[str, str]] = []
+
+    def token(m: re.Match) -> str:
+        tokens.append((f"@@{namespace}_JSON_{len(tokens)}@@", m[0]))
+        return tokens[-1][0]
+
+    return INTERPOLATION.sub(token, text), tokens
+
+
+def validate_tokens(source: str, target: str, namespace: str = "WEFT") -> list[str]:
+    """Codes of what is wrong with a tokenised translation of an interpolated message: every token stands in it once, in any order."""
+    _, tokens = tokenize(source, namespace)
+    if any(target.count(t) != 1 for t, _ in tokens):
+        return ["JSON-TOKENS"]
+    for t, value in tokens:
+        target = target.replace(t, value)
+    return ["JSON-TOKENS"] if f"@@{namespace}_" in target else validate(source, target, True)
+
+
 def encode(text: str) -> bytes:
     return json.dumps(text, ensure_ascii=False).encode()
 

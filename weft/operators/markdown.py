@@ -237,11 +237,53 @@ def validate(unit: Unit, target: str, namespace: str = "WEFT") -> list[str]:
     code = lambda x: sorted(m[0] for m in CODE.finditer(x))
     if code(whole) != code(unit.text):
         out.append("MD-PROTECTED-CODE")
-    if [k for k, _, _ in _blocks(whole)][:2] != [k for k, _, _ in _blocks(unit.text)][:2]:
+    if structure(whole) != structure(unit.text):
         out.append("MD-STRUCTURE")
     return out
 
 
+# What a text's inline events are found by, the first that fits at a place.
+EVENTS = {
+    "escape": r"\\[!-/:-@\[-`{-~]",
+    "code": r"(?P<ticks>`+)(?!`).+?(?<!`)(?P=ticks)(?!`)",
+    "html": INLINE_HTML.pattern,
+    "image": r"!\[(?P<alt>[^\]]*)\](?P<picture>\([^)]*\)|\[[^\]]*\])",
+    "footnote": r"\[\^[^\]]+\]",
+    "link": r"\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\](?P<target>\([^)]*\)|\[[^\]]*\])",
+    "strong": r"(?P<two>\*\*|__)(?=\S)(?P<bold>.+?)(?<=\S)(?P=two)",
+    "del": r"~~(?=\S)(?P<struck>.+?)(?<=\S)~~",
+    "em": r"(?P<one>\*|(?<!\w)_)(?=\S)(?P<slanted>[^*]+?)(?<=\S)(?P=one)",
+    "hard": r"(?: {2,}|\\)\r?\n",
+    "soft": r"\r?\n",
+}
+INLINE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in EVENTS.items()), re.S)
+INNER = {"image": "alt", "link": "label", "strong": "bold", "del": "struck", "em": "slanted"}
+
+
+def inline(text: str) -> list[str]:
+    """The inline events of a text in order: what begins and ends, and text once between two others."""
+    out, at = [], 0
+    for m in INLINE.finditer(text):
+        kind = next(k for k in EVENTS if m[k] is not None)
+        if kind == "escape":
+            continue
+        if text[at : m.start()].strip():
+            out.append("text")
+        if kind in INNER:
+            out += [f"<{kind}{m['picture'] or m['target'] or ''}", *inline(m[INNER[kind]]), f"{kind}>"]
+        else:
+            out.append(f"{kind}:{m[0]}" if kind in ("html", "footnote") else kind)
+        at = m.end()
+    if text[at:].strip():
+        out.append("text")
+    return [x for i, x in enumerate(out) if x != "text" or i == 0 or out[i - 1] != "text"]
+
+
+def structure(text: str) -> list[str]:
+    """The whole signature of a text: its blocks in order, and within each its inline events."""
+    return [x for kind, a, b in _blocks(text) for x in (kind, *inline(text[a:b]))]
+
+
 def recovered(source: Unit, target: Unit, namespace: str = "WEFT") -> str | None:
     """The target's text with the source's tokens in place of its protected spans; None unless they pair off by kind and value.
 

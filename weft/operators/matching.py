@@ -125,23 +125,32 @@ def sequential(previous: list[dict], current: list[dict], hints: dict[int, str]
 
 
 def in_order(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """`sequential` for every document of both tables (doc_id, ordinal, source, norm, unit_kind, context, stable_id, trusted)."""
+    """`sequential` for every document of both tables (doc_id, ordinal, source, norm, unit_kind, context, stable_id, trusted).
+
+    current may have a column `hint`, the stable id that the unit had in a document that has not changed since.
+    """
     names = [x.split()[0] for x in MATCHES.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
     schema = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, MATCHES.split(", "), strict=True)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(sequential(left.sort_by("ordinal").to_pylist(), right.sort_by("ordinal").to_pylist()), schema)
+        now = right.sort_by("ordinal").to_pylist()
+        hints = {i: u["hint"] for i, u in enumerate(now) if u.get("hint")}
+        return pa.Table.from_pylist(sequential(left.sort_by("ordinal").to_pylist(), now, hints), schema)
 
     return previous.groupBy("doc_id").cogroup(current.groupBy("doc_id")).applyInArrow(run, MATCHES)
 
 
 def whole_documents(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches of documents without an ambiguous unit, and a finding for each ambiguous unit of the others."""
-    flag = F.max(F.col("kind") == "ambiguous").over(Window.partitionBy("doc_id"))
-    marked = matches.withColumn("_bad", flag)
+    marked = by_documents(matches)
     found = marked.filter(F.col("kind") == "ambiguous").select("doc_id", "ordinal", F.lit("MATCH-AMBIGUOUS").alias("code"), F.lit("error").alias("severity"))
-    return marked.filter("not _bad").drop("_bad"), found
+    return marked.filter("not dropped").drop("dropped"), found
+
+
+def by_documents(matches: DataFrame) -> DataFrame:
+    """Adds `dropped`: whether the document has an ambiguous unit."""
+    return matches.withColumn("dropped", F.max(F.col("kind") == "ambiguous").over(Window.partitionBy("doc_id")))
 
 
 def reusable(candidates: DataFrame, policy: str, models: list[str]) -> DataFrame:
@@ -151,5 +160,28 @@ def reusable(candidates: DataFrame, policy: str, models: list[str]) -> DataFrame
     return candidates.filter(ok).withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
+def eligible(candidates: DataFrame, run: str, invocation: str) -> DataFrame:
+    """Adds `allowed` to candidates(unit_id, current_unit_id, run_id, invocation, hint): of the same unit, and of this run, this invocation or an unchanged document."""
+    ours = F.coalesce(F.col("run_id") == run, F.lit(False)) | F.coalesce(F.col("invocation") == invocation, F.lit(False)) | (F.length(F.coalesce("hint", F.lit(""))) > 0)
+    return candidates.withColumn("allowed", F.coalesce(F.col("unit_id") == F.col("current_unit_id"), F.lit(False)) & ours)
+
+
+def reviewed(picked: DataFrame, receipts: DataFrame, stages: list[str]) -> DataFrame:
+    """Picks of units without an incompatible receipt(unit_id, dedupe_key, compatible) of an enabled stage; the next candidate is not tried."""
+    if not stages:
+        return picked
+    stage = F.element_at(F.split("dedupe_key", ":"), -1)
+    bad = receipts.filter(stage.isin(stages) & ~F.coalesce("compatible", F.lit(False))).select("unit_id").distinct()
+    return picked.join(bad, "unit_id", "left_anti")
+
+
+def provenance_ok(stored: DataFrame, contracts: list[str]) -> DataFrame:
+    """Adds `valid` to stored(path, source, kind, context, contract, now_path, now_source, now_kind, now_context): same document, source, kind and context under a contract that is still read."""
+    same = F.lit(True)
+    for c in ("path", "source", "kind", "context"):
+        same = same & F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    return stored.withColumn("valid", same & F.coalesce(F.col("contract").isin(contracts), F.lit(False)))
+
+
 def placeholder_counts(values: list[str]) -> dict[str, int]:
     return dict(Counter(values))

@@ -15,11 +15,10 @@ from . import jsondoc, markdown
 UNITS = "path string, ordinal long, unit_id string, kind string, pointer string, source string, start long, end long, n_spans long, error string"
 
 
-def prose_units(docs: DataFrame) -> DataFrame:
-    """A unit for each line with text of docs(doc_id, text, ...): ordinal counts the document's units from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "source")).filter(F.col("source").rlike(r"\S"))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1
-    return lines.select("doc_id", ordinal.cast("long").alias("ordinal"), "source", normalized(F.col("source")).alias("norm"))
+def prose_units(docs: DataFrame, *more: str) -> DataFrame:
+    """A unit for each line with text of docs(doc_id, text, ...): ordinal counts the document's units from 0; nothing is shuffled."""
+    lines = docs.select("doc_id", *more, F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))).alias("nth", "source"))
+    return lines.select("doc_id", F.col("nth").cast("long").alias("ordinal"), "source", normalized(F.col("source")).alias("norm"), *more)
 
 
 def fingerprinted(units: DataFrame) -> DataFrame:

@@ -84,3 +84,58 @@ def batch(documents: DataFrame, findings: DataFrame) -> DataFrame:
 def worst(status: Column) -> Column:
     """Aggregate: the gravest status of a group."""
     return F.min_by(status, F.coalesce(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[status], F.lit(9)))
+
+
+def format_counts(documents: DataFrame, units: DataFrame) -> DataFrame:
+    """(format, documents, passed_through) of documents(path, format): those without a unit in units(path) are copied as they are."""
+    n = units.groupBy("path").agg(F.count("*").alias("_n"))
+    return documents.join(n, "path", "left").groupBy("format").agg(F.count("*").alias("documents"), F.count_if(F.col("_n").isNull()).alias("passed_through"))
+
+
+def passed_through(documents: DataFrame, units: DataFrame) -> DataFrame:
+    """Documents(path, bytes) without a unit: their target is their source, byte for byte, and its provenance is imported."""
+    return documents.join(units.select("path").distinct(), "path", "left_anti").select("path", F.col("bytes").alias("content"), F.lit("imported").alias("provenance"))
+
+
+def chosen(table: DataFrame, column: str, wanted: str | None, by_name: bool = False) -> DataFrame:
+    """Rows whose column is the one wanted, or whose path ends in that name; all without a filter, and an error if none fits."""
+    if wanted is None:
+        return table
+    fits = F.col(column) == wanted
+    if by_name:
+        fits = fits | (F.element_at(F.split(F.regexp_replace(column, "/+$", ""), "/"), -1) == wanted)
+    out = table.filter(fits)
+    if out.isEmpty():
+        raise ValueError(f"nothing configured matches {wanted!r}")
+    return out
+
+
+def kind_of(context: Column) -> Column:
+    """The key that memory is found by: the context's memory_key, else its kind, else empty."""
+    return F.coalesce(F.get_json_object(context, "$.memory_key"), F.get_json_object(context, "$.kind"), F.lit(""))
+
+
+def template(stage: Column, previous_source: Column, previous_translation: Column) -> Column:
+    """The prompt of a task: a translation that has a previous one to go by is a revision of it."""
+    again = (stage == "translate") & previous_source.isNotNull() & previous_translation.isNotNull()
+    return F.when(again, "revise").otherwise(stage)
+
+
+def prompt(version: str, resources: dict[str, str]) -> Column:
+    """The prompt of a row of tasks(task_id, stage, source_language, target_language, tokens, context, previous_source, previous_translation, findings, source)."""
+    name = template(F.col("stage"), F.col("previous_source"), F.col("previous_translation"))
+    text = F.create_map(*[F.lit(x) for kv in resources.items() for x in kv])[name]
+    block = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n\n--- {title} ---\n"), F.col(c), F.lit(f"\n--- END {title} ---"))).otherwise("")
+    said = F.transform("findings", lambda f: F.concat(F.lit("- "), f["code"], F.lit(": "), f["message"], F.lit("\n")))
+    found = F.when(F.size("findings") > 0, F.concat(F.lit("\n\nFindings:\n"), F.array_join(said, ""))).otherwise("")
+    return F.concat(
+        F.lit(version), F.lit("\nResource: "), name, F.lit("\n\n"), text, F.lit("\nSource language: "), F.col("source_language"), F.lit("\nTarget language: "), F.col("target_language"),
+        F.lit("\nTask ID: "), F.col("task_id").cast("string"), F.lit("\nProtected tokens: "), F.array_join("tokens", ", "), F.lit("\n"), F.col("context"),
+        block("PREVIOUS SOURCE", "previous_source"), block("PREVIOUS TRANSLATION", "previous_translation"), found, F.lit("\n\n--- SOURCE ---\n"), F.col("source"), F.lit("\n--- END SOURCE ---"),
+    )
+
+
+def project_check(documents: DataFrame, group: list[str]) -> DataFrame:
+    """The check of each group's verified documents(path, content_hash): it hangs on the first path and names the hash of all."""
+    rows = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
+    return documents.groupBy(*group).agg(F.min("path").alias("path"), F.sha2(F.to_json(rows), 256).alias("manifest"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REVIEWS = (":revision", ":proofread")
+# What an attempt can have come to.
+ATTEMPT_STATES = ("succeeded", "failed", "timed_out", "cancelled")
 
 
 def unit_history(units: DataFrame, versions: DataFrame) -> DataFrame:
@@ -40,6 +42,76 @@ def recoverable(candidates: DataFrame, attempts: DataFrame, policy: str, repair:
     return candidates.filter("selected").join(good.select("id", "output"), on).groupBy("unit_id").agg(F.max(F.struct("attempt_id", "text")).alias("_c")).select("unit_id", "_c.*")
 
 
+def recoverable_within(candidates: DataFrame, attempts: DataFrame, work: DataFrame, runs: DataFrame, policy: str, repair: str, run: str | None = None, invocation: str | None = None) -> DataFrame:
+    """`recoverable` for attempts(..., work_item) of one run, of one invocation, or of any: work(work_item, run_id), runs(run_id, invocation)."""
+    of = attempts.join(work.select("work_item", "run_id"), "work_item")
+    if run is not None:
+        of = of.filter(F.col("run_id") == run)
+    if invocation is not None:
+        of = of.join(runs.filter(F.col("invocation") == invocation).select("run_id"), "run_id", "left_semi")
+    return recoverable(candidates, of, policy, repair)
+
+
+def attempt_status(attempts: DataFrame) -> DataFrame:
+    """(work_item, dedupe_key, status, known): a status that is none of the domain's is not known."""
+    return attempts.select("work_item", "dedupe_key", "status", F.coalesce(F.col("status").isin(*ATTEMPT_STATES), F.lit(False)).alias("known"))
+
+
+def selected_candidates(candidates: DataFrame) -> DataFrame:
+    """The text selected for each unit and locale; two selections of one are a fault and both are shown."""
+    return candidates.filter("selected").select("unit_id", "locale", "text")
+
+
+def unchanged_units(units: DataFrame, documents: DataFrame, versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Unit keys, in order, of the documents whose content wanted(repository_id, path, content_hash) says has not changed.
+
+    Units must be active, their documents not deleted, and a version(unit_id, source_revision, source_hash, source_text) must
+    hold what the unit says at the document's revision.
+    """
+    live = documents.filter("deleted_at is null").join(wanted, ["repository_id", "path", "content_hash"], "left_semi")
+    of = units.filter("active").join(live.select("document_id", "repository_id", "path", F.coalesce("source_revision", F.lit("")).alias("source_revision")), "document_id")
+    held = of.join(versions.select("unit_id", "source_revision", "source_hash", "source_text"), ["unit_id", "source_revision", "source_hash", "source_text"], "left_semi")
+    return held.select("repository_id", "path", "ordinal", "unit_key")
+
+
+def hinted(current: DataFrame, unchanged: DataFrame) -> DataFrame:
+    """Adds `hint` to current(path, stable_id): the stable id itself where the unit was there when its document was last seen, else null."""
+    known = unchanged.select("path", F.col("unit_key").alias("stable_id")).distinct().withColumn("hint", F.col("stable_id"))
+    return current.join(known, ["path", "stable_id"], "left")
+
+
+def trusted_translations(memory: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Text of each place's open trusted entry, if a valid trusted candidate(unit_id, text, context_key, trusted, valid) still says the same."""
+    open_ = memory.filter("tier = 'trusted' and superseded_at is null")
+    good = candidates.filter("trusted and valid").select("unit_id", "text", "context_key").distinct()
+    return open_.join(good, ["unit_id", "text", "context_key"], "left_semi").select("repository_id", "locale", "source_hash", "context_key", "text")
+
+
+def canonical_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files of wanted(repository_id, locale, path), null where there is none."""
+    return wanted.join(files, ["repository_id", "locale", "path"], "left")
+
+
+def document_intents(selection: DataFrame, intents: DataFrame) -> DataFrame:
+    """The identity selected for each content: the selection must name an intent of that very content."""
+    return selection.join(intents, ["content_version_id", "intent_id"]).select("content_version_id", "identity")
+
+
+def identity_compatible(request_identity: Column, request_hash: Column, mapping: Column, current: Column) -> Column:
+    """Whether a stored identity is true to itself and maps the document as the current one does."""
+    return F.coalesce((request_identity == request_hash) & (mapping == current), F.lit(False))
+
+
+def document_ids(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """document_id of wanted(repository_id, path), null for deleted and unknown ones."""
+    return wanted.join(documents.filter("deleted_at is null").select("repository_id", "path", "document_id"), ["repository_id", "path"], "left")
+
+
+def json_joined(entries: DataFrame, column: str, field: str, other: DataFrame, key: str) -> DataFrame:
+    """Entries with the rows whose key their JSON names: the field is a column before the join, so it is an equi-join."""
+    return entries.withColumn("_j", F.get_json_object(column, f"$.{field}")).join(other.withColumn("_j", F.col(key).cast("string")), "_j").drop("_j")
+
+
 def review_attempts(attempts: DataFrame, run: str | None = None, invocation: str | None = None) -> DataFrame:
     """Attempts whose key ends as reviews' keys do, of the run or of the invocation; of all if neither is given."""
     mine = F.lit(run is None and invocation is None)

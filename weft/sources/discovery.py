@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ancestors, safe_target, strip_prefix, target_path
+from ..functions.text import ancestors, reserved, safe_target, strip_prefix, target_path
 
 FORMATS = {"md": "markdown", "markdown": "markdown", "json": "json"}
 
@@ -88,11 +88,31 @@ def single_violations(routed: DataFrame, rules: list[Rule]) -> DataFrame:
     return singles.join(routed.groupBy("rule").agg(F.count("*").alias("n")), "rule", "left").filter(F.coalesce("n", F.lit(0)) != 1).select("rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def targets(routed: DataFrame, languages: DataFrame) -> DataFrame:
-    """Every document in every language of languages(lang), a configured list, with its target and whether that is safe."""
+def targets(routed: DataFrame, languages: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Every document in every language of languages(lang), a configured list, with its target and whether that is safe: ordinary, and not below a path of `kept`."""
     both = routed.crossJoin(F.broadcast(languages))
     out = both.withColumn("target", target_path(F.col("template"), F.col("lang"), F.col("relpath")))
-    return out.withColumn("safe", safe_target(F.col("target")))
+    return out.withColumn("safe", safe_target(F.col("target")) & ~reserved(F.col("target"), list(kept)))
+
+
+def revision(refs: DataFrame, name: str) -> str:
+    """The snapshot that refs(name, revision) says a name stands for; 40 hex digits or more stand for themselves."""
+    if re.fullmatch("[0-9a-f]{40,}", name):
+        return name
+    got = refs.filter(F.col("name") == name).select("revision").distinct().head(2)
+    if len(got) != 1 or not re.fullmatch("[0-9a-f]{40,}", got[0][0] or ""):
+        raise ValueError(f"{name!r} does not name one snapshot")
+    return got[0][0]
+
+
+def snapshot(files: DataFrame, at: str) -> DataFrame:
+    """Files(revision, path, ...) of one snapshot; the filter reaches the scan."""
+    return files.filter(F.col("revision") == at)
+
+
+def ordered(documents: DataFrame) -> DataFrame:
+    """In the order of their paths, by bytes; a range partitioning and a sort within."""
+    return documents.orderBy("path")
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:

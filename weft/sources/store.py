@@ -1,0 +1,90 @@
+"""State tables in a folder that all executors share: several tables are committed under one batch id, or none.
+
+A commit is a folder of Parquet tables, written beside its place and renamed into it; its name carries a number, which
+orders versions, and the batch id, by which a batch that is brought again is found and left alone. Renaming is atomic on HDFS and
+local disks; on an object store put a committer with conditional writes in front, or let one writer commit.
+Reading a table is one scan over the commits' folders, as of any commit; nothing is updated in place.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import state
+from ..operators.transactions import Staged
+
+NAME = re.compile(r"^commit-(\d{9})-(.*)$")
+
+
+class Store:
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], keys: dict[str, list[str]]):
+        self.spark, self.path, self.schemas, self.keys = spark, path.rstrip("/"), schemas, keys
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _p(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def commits(self) -> list[tuple[int, str]]:
+        """(number, batch id) of every commit, in order; one listing, no job."""
+        if not self.fs.exists(self._p(self.path)):
+            return []
+        names = (f.getPath().getName() for f in self.fs.listStatus(self._p(self.path)))
+        return sorted((int(m[1]), m[2]) for n in names if (m := NAME.match(n)))
+
+    def _folder(self, n: int, batch: str) -> str:
+        return f"{self.path}/commit-{n:09d}-{batch}"
+
+    def commit(self, batch: str, rows: dict[str, DataFrame] | Staged) -> bool:
+        """Writes all tables or none; False if the batch is there already."""
+        rows = rows.rows if isinstance(rows, Staged) else rows
+        if unknown := set(rows) - set(self.schemas):
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        done = self.commits()
+        if any(b == batch for _, b in done):
+            return False
+        n = done[-1][0] + 1 if done else 1
+        draft = f"{self.path}/draft-{self.jvm.java.util.UUID.randomUUID().toString()}"
+        for name, df in rows.items():
+            schema = self.spark.createDataFrame([], self.schemas[name])
+            df.select(*[F.col(f.name).cast(f.dataType) for f in schema.schema]).write.parquet(f"{draft}/{name}")
+        self.fs.mkdirs(self._p(draft))
+        place = self._p(self._folder(n, batch))
+        ok = not self.fs.exists(place) and self.fs.rename(self._p(draft), place)
+        if self.fs.exists(self._p(draft)):
+            self.fs.delete(self._p(draft), True)
+        # of two writers that took one number the later stands behind the earlier; of one batch brought twice the first counts
+        again = [c for c in self.commits() if c[1] == batch]
+        if len(again) > 1 and again[0] != (n, batch):
+            self.fs.delete(place, True)
+            return False
+        return bool(ok)
+
+    def versions(self, name: str, upto: int | None = None) -> DataFrame:
+        """All rows that were ever committed, with `_n`, the number of their commit."""
+        folders = [(n, f"{self._folder(n, b)}/{name}") for n, b in self.commits() if upto is None or n <= upto]
+        folders = [f for n, f in folders if self.fs.exists(self._p(f))]
+        empty = self.spark.createDataFrame([], self.schemas[name])
+        if not folders:
+            return empty.withColumn("_n", F.lit(0))
+        number = F.regexp_extract(F.input_file_name(), r"/commit-(\d{9})-[^/]*/[^/]*/[^/]*$", 1).cast("int")
+        return self.spark.read.schema(empty.schema).parquet(*folders).withColumn("_n", number)
+
+    def current(self, name: str, upto: int | None = None) -> DataFrame:
+        """The newest row of each key, as of now or of an earlier commit."""
+        return state.latest(self.versions(name, upto), self.keys[name], ["_n"]).drop("_n").select(*[f.name for f in self.spark.createDataFrame([], self.schemas[name]).schema])
+
+    def tables(self, upto: int | None = None) -> dict[str, DataFrame]:
+        return {name: self.current(name, upto) for name in self.schemas}
+
+    def backup(self, to: str) -> int:
+        """Copies the current tables as the first commit of another folder; how many commits they stand for."""
+        done = self.commits()
+        other = Store(self.spark, to, self.schemas, self.keys)
+        if other.commits():
+            raise ValueError("a backup goes to a folder without commits")
+        other.commit(f"backup-{done[-1][0] if done else 0}", self.tables())
+        return len(done)
