@@ -345,6 +345,48 @@ def test_licenses(spark, none):
     assert license_scan.scan(none.selectExpr("doc_id", "source path", "text")).count() == 0
 
 
+def test_license_texts(spark):
+    """Real licence files are told apart, speak for their directories, and marks around a notice do not hide it."""
+    rng = random.Random(8)
+    texts = {n: t for n, t, full in license_scan.templates() if full}
+    rows = [(i, f"{n}/LICENSE", t.replace("<year>", "2020").replace("<copyright holders>", "A. Person")) for i, (n, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, f"{n}/src/a/b.py", prose(rng, 60)) for i, n in enumerate(sorted(texts))]
+    rows += [(200, "x.c", f"{prose(rng, 30)}\n////Released under the MIT License.////\n{prose(rng, 30)}"), (201, "y.c", prose(rng, 40) + "\n\n# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation\n# files, to deal in the Software without restriction.\n\n" + prose(rng, 40))]
+    rows += [(202, "z.c", prose(rng, 40) + "\nAll rights reserved.\n" + prose(rng, 20)), (203, "w.c", "-- ## //")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, n in enumerate(sorted(texts)):
+        assert (got[i].own, got[i].own_file) == (n, True), (n, got[i])
+        assert (got[100 + i].license, got[100 + i].origin, got[100 + i].from_dir) == (n, "inherited", n)
+    assert [got[i].own for i in (200, 201, 202, 203)] == ["MIT", "MIT", "Proprietary", None] and not got[200].own_file
+
+
+def test_license_cosines_against_plain_ones(spark):
+    """The best cosine of every text with every template, worked out word by word."""
+    rng = random.Random(9)
+    given = license_scan.templates()
+    notices = [t for _, t, full in given if not full]
+    texts = [prose(rng, 20) + rng.choice(["\n", "\n\n", " "]) + " ".join(rng.choice(notices).split()[: rng.randrange(3, 30)]) + rng.choice(["\n", " "]) + prose(rng, rng.randrange(0, 10)) for _ in range(150)]
+    texts += [" ".join(t.split()[: rng.randrange(20, 400)]) for _, t, full in given if full] + [None, "", "."]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) path")).collect()}
+    marks = ".,;:!?()[]{}\"'`*#/|-_<>"
+    bag = lambda t: Counter(w for w in (x.strip(marks) for x in words(lower(t))) if w)
+    bags = [bag(t) for _, t, _ in given]
+    known, df = {w for b in bags for w in b}, Counter(w for t in texts for w in bag(t))
+    df = Counter(w for t in texts for w in set(bag(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + (df[w] if w in known else 0))) + 1
+    size = lambda b: math.sqrt(sum((n * idf(w)) ** 2 for w, n in b.items()))
+    cos = lambda a, b: sum(n * b[w] * idf(w) ** 2 for w, n in a.items()) / (size(a) * size(b)) if a else 0.0
+    for i, t in enumerate(texts):
+        spans = lambda by: [bag(x) for x in re.split(by, t or "")]
+        best = max(cos(bag(t), b) for b in bags)
+        if whole := best >= license_scan.THRESHOLD:
+            want = best
+        else:
+            want = max(cos(x, b) for x in [*spans("\n"), *spans(r"\n[ \t\r\f\v]*\n\s*")] for b, (_, _, full) in zip(bags, given, strict=True) if not full)
+            want = want if want >= license_scan.THRESHOLD else 0.0
+        assert abs(got[i].own_score - want) < 1e-9 and got[i].own_file == whole, (i, t, want, got[i])
+
+
 def test_token_rollup(spark, docs, rows):
     r = token_counts.Rollup(spark, kit.Scratch(spark).base)
     one, two = token_counts.words(docs["text"]), token_counts.pieces(docs["text"])

@@ -1,15 +1,19 @@
 """Operator 2, license scans: TF-IDF cosine of headers and licence files to templates, inherited by path.
 
-Each line of a text is held against short notices, and the whole text against all templates, as
-sparse TF-IDF vectors; document frequencies of the templates' words are counted over all texts, and a
-word of no template weighs as one that no text has. The templates are a few constants, so what is
-broadcast is bounded. A first pass over hashed words gives every line an upper bound of its cosine
-from prefix sums; only lines that reach the threshold are scored exactly. A text that as a whole
-matches is a licence file and speaks for its directory. A document without a licence of its own takes
+Two kinds of template: short notices by which authors put a text under a licence, and full licence texts, which are files of
+`licenses/` beside this module, a folder that is a parameter. As sparse TF-IDF vectors each line and each paragraph of a text is held against
+the notices, and the whole text against notices and licence texts; document frequencies of the
+templates' words are counted over all texts, and a word of no template weighs as one that no text has. The
+templates are a few constants, so what is broadcast is bounded. A first pass over hashed words gives every span
+an upper bound of its cosine from prefix sums; only spans that reach the threshold are scored exactly. What the
+whole text says comes before what a line or paragraph says: a licence text that contains another's notice, or reserves
+rights, is still its own licence. A text that as a whole matches is a licence file and speaks for its
+directory. A document without a licence of its own takes
 that of the nearest directory at or above its own which has a licence file: directories, not documents, are
 exploded to their ancestors and joined by path, and the documents then join their directory's row.
 
-Defined results: null and empty texts have no licence of their own; equal scores go to the template that comes first; a
+Defined results: null and empty texts have no licence of their own; marks at the ends of words do not count, and words of marks
+alone are none; equal scores go to the template that comes first; a
 directory with several licence files takes the best, then the least path; a null path inherits nothing; repeated
 rows repeat; an empty table gives no rows; further columns are ignored.
 """
@@ -20,13 +24,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Scratch, Slice, prefix_hash, slices, span_hash
+from .kit import IS_SPACE, Scratch, Slice, prefix_hash, slices, span_hash
 
 THRESHOLD = 0.6
 # Notices by which authors put their texts under a licence.
@@ -49,20 +54,30 @@ PUNCT[list(b".,;:!?()[]{}\"'`*#/|-_<>")] = True
 SCHEMA = "doc_id long, path string, own string, own_score double, own_file boolean"
 
 
+TEXTS = Path(__file__).with_name("licenses")
+
+
+def templates(folder: Path | str = TEXTS) -> list[tuple[str, str, bool]]:
+    """(licence, text, whether it is a full text): the notices, then the folder's files by name."""
+    return [(n, t, False) for n, t in TEMPLATES] + [(f.stem, f.read_text(), True) for f in sorted(Path(folder).glob("*.txt"))]
+
+
 def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of words, lower-cased and stripped of marks at their ends; their starts; where each text's begin."""
     starts, ends, first = s.words()
     if not len(starts):
         return np.zeros(0, np.uint64), starts, first
-    at = starts.copy()
-    for _ in range(3):
-        at += (at < ends - 1) & PUNCT[s.data[at]]
-        ends = ends - ((ends - 1 > at) & PUNCT[s.data[ends - 1]])
-    return span_hash(prefix_hash(s.data, lower=True), at, ends), starts, first
+    solid = np.flatnonzero(~PUNCT[s.data] & ~IS_SPACE[s.data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    kept = low < high
+    at, to = solid[low[kept]], solid[high[kept] - 1] + 1
+    return span_hash(prefix_hash(s.data, lower=True), at, to), at, np.searchsorted(at, s.offsets)
 
 
 @dataclass
 class Model:
+    names: list[str]
+    full: np.ndarray  # by template: whether it is a full text
     vocabulary: np.ndarray
     idf: np.ndarray
     unknown: float
@@ -82,35 +97,44 @@ class Model:
     def best(self, s: Slice) -> list[tuple[int, float, bool]]:
         """(template or -1, score, whether the whole text matches) for each text."""
         h, starts, first = words(s)
-        place = self.find(h)
-        idf2 = np.append(self.idf, self.unknown)[place] ** 2
-        owner = np.repeat(np.arange(s.n), np.diff(first))
-        line = np.searchsorted(np.flatnonzero(s.data == 10), starts)
-        begins = np.flatnonzero(np.concatenate(([True], (np.diff(line) != 0) | (np.diff(owner) != 0)))) if len(h) else np.zeros(0, np.int64)
         out = [(-1, 0.0, False)] * s.n
         if not len(h):
             return out
-        weights = np.vstack((self.weights, np.zeros(self.weights.shape[1])))
+        place = self.find(h)
+        idf2 = np.append(self.idf, self.unknown)[place] ** 2
+        owner = np.repeat(np.arange(s.n), np.diff(first))
+        breaks = np.flatnonzero(s.data == 10)
+        blank = breaks[1:][_blank(s, breaks)] if len(breaks) > 1 else breaks[:0]
+        begins = lambda at: np.flatnonzero(np.concatenate(([True], (np.diff(np.searchsorted(at, starts)) != 0) | (np.diff(owner) != 0))))
         hit = np.flatnonzero(place < len(self.idf))
-        # a word's own weight never is below its share of the norm, so this bounds the cosine from above
-        for span, whole in ((begins, False), (np.unique(first[:-1][np.diff(first) > 0]), True)):
+        sums = np.concatenate((np.zeros((1, self.weights.shape[1])), np.cumsum(self.weights[place[hit]], axis=0)))
+        # a word's own weight never is below its share of the norm, so this bounds the cosine from above; the whole text comes first
+        for span, whole in ((np.unique(first[:-1][np.diff(first) > 0]), True), (begins(breaks), False), (begins(blank), False)):
             ends = np.append(span[1:], len(h))
-            sums = np.concatenate((np.zeros((1, weights.shape[1])), np.cumsum(weights[place[hit]], axis=0)))
             got = sums[np.searchsorted(hit, ends)] - sums[np.searchsorted(hit, span)]
-            bound = got.max(axis=1) / np.sqrt(np.add.reduceat(idf2, span))
+            bound = (got if whole else got[:, ~self.full]).max(axis=1) / np.sqrt(np.add.reduceat(idf2, span))
             for i in np.flatnonzero(bound >= self.threshold - 1e-9):
-                a, b = span[i], ends[i]
+                a, b, o = span[i], ends[i], int(owner[span[i]])
+                if out[o][2]:
+                    continue
                 cos = self.cosine(h[a:b], place[a:b])
-                t = int(cos.argmax())
-                o = int(owner[a])
-                if cos[t] >= self.threshold:
-                    was = out[o]
-                    out[o] = (t, float(cos[t]), was[2] or whole) if cos[t] > was[1] + 1e-12 or (was[0] > t and abs(cos[t] - was[1]) <= 1e-12) else (was[0], was[1], was[2] or whole)
+                if not whole:
+                    cos = np.where(self.full, -1.0, cos)
+                t = int(np.flatnonzero(cos >= cos.max() - 1e-12)[0])
+                was = out[o]
+                if cos[t] >= self.threshold and (cos[t] > was[1] + 1e-12 or (was[0] > t and abs(cos[t] - was[1]) <= 1e-12)):
+                    out[o] = (t, float(cos[t]), whole)
         return out
 
 
-def _template_words() -> list[np.ndarray]:
-    s = Slice(pa.RecordBatch.from_arrays([pa.array([t for _, t in TEMPLATES])], names=["text"]), "text")
+def _blank(s: Slice, breaks: np.ndarray) -> np.ndarray:
+    """Whether nothing but space stands between each line's end and the one before."""
+    solid = np.concatenate(([0], np.cumsum(~IS_SPACE[s.data])))
+    return solid[breaks[1:]] == solid[breaks[:-1]]
+
+
+def _template_words(given: list[tuple[str, str, bool]]) -> list[np.ndarray]:
+    s = Slice(pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in given])], names=["text"]), "text")
     h, _, first = words(s)
     return [h[first[i] : first[i + 1]] for i in range(s.n)]
 
@@ -131,35 +155,36 @@ def _frequencies(vocabulary: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, threshold: float = THRESHOLD) -> Model:
+def train(docs: DataFrame, threshold: float = THRESHOLD, folder: Path | str = TEXTS) -> Model:
     """Document frequencies of the templates' words over all texts, and the templates' vectors."""
-    templates = _template_words()
-    vocabulary = np.unique(np.concatenate(templates))
+    given = templates(folder)
+    by_template = _template_words(given)
+    vocabulary = np.unique(np.concatenate(by_template))
     got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {r["word"]: r["n"] for r in got}
     df = np.array([n.get(i, 0) for i in range(len(vocabulary))])
     total = n.get(-1, 0)
     idf = np.log((1 + total) / (1 + df)) + 1
-    weights = np.zeros((len(vocabulary), len(templates)))
-    for t, h in enumerate(templates):
+    weights = np.zeros((len(vocabulary), len(given)))
+    for t, h in enumerate(by_template):
         at, tf = np.unique(np.searchsorted(vocabulary, h), return_counts=True)
         weights[at, t] = idf[at] ** 2 * tf / math.sqrt(((idf[at] * tf) ** 2).sum())
-    return Model(vocabulary, idf, math.log(1 + total) + 1, weights, threshold)
+    return Model([n for n, _, _ in given], np.array([f for _, _, f in given]), vocabulary, idf, math.log(1 + total) + 1, weights, threshold)
 
 
 def _scan(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             best = held.value.best(s)
-            yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), s.batch.column("path"), pa.array([TEMPLATES[t][0] if t >= 0 else None for t, _, _ in best], pa.string()), pa.array([x for _, x, _ in best], pa.float64()), pa.array([w for _, _, w in best])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), s.batch.column("path"), pa.array([held.value.names[t] if t >= 0 else None for t, _, _ in best], pa.string()), pa.array([x for _, x, _ in best], pa.float64()), pa.array([w for _, _, w in best])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
-def scan(docs: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD, folder: Path | str = TEXTS) -> DataFrame:
     """A row for each row of docs(doc_id, path, text): its own licence, and the one that holds for it, with where from."""
     scratch = scratch or Scratch(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, threshold))
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, threshold, folder))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     dir_ = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     found = scratch.keep(rows.mapInArrow(_scan(held), SCHEMA).withColumn("dir", dir_))
