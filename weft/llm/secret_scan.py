@@ -4,8 +4,9 @@ The forest is trained on the driver from labelled findings (value, text before,
 label), of which at most `MAX_FINDINGS` are used. It weighs each candidate's length, its
 transitions from character to character, its coverage by dictionary words, its path and the
 words beside it. `findings()` makes the labelled findings that the queries train on, from a seed:
-issued-looking keys on one side; placeholders, checksums, commit ids, UUIDs, identifiers and
-numbers on the other. Whole texts are scanned, batch by batch, and nothing is shuffled.
+issued-looking keys on one side; placeholders, checksums, commit ids, UUIDs, identifiers, addresses, hosts, file names and
+numbers on the other. A table of findings that people have labelled takes their place as `labelled`; of more than the bound
+those with the least hashes are taken, whatever the order of the rows. Whole texts are scanned, batch by batch, and nothing is shuffled.
 
 Defined results: null and empty texts have no findings; equal candidates are found once at each
 place; of candidates that overlap the first stays, private keys and
@@ -35,7 +36,7 @@ SCHEMA = "doc_id long, kind string, start_char long, end_char long, probability
 TOKEN = re.compile(
     r"\b(?:(?P<cloud_key>(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
     r"|(?P<vendor_token>gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
-    r"|(?P<high_entropy>[A-Za-z0-9+/_=-]{32,}\b))"
+    r"|(?P<high_entropy>[A-Za-z0-9+/_=-]{32,}\b|[A-Za-z0-9+/_=.@-]{20,}\b))"
 )
 PEM = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 KEYWORD = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key", re.I)
@@ -71,10 +72,10 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     vowels = sum(c in "aeiou" for c in low) / max(1, sum(c.isalpha() for c in low))
     near, path = (before[-NEAR:] + " " + after[:NEAR]).lower(), path.lower()
     hexa = all(c in "0123456789abcdef-" for c in low)
-    return [math.log2(n), *counts, sum(moves) / n, entropy, same, steps, sum(covered) / n, vowels, float(hexa), float(value.count("-") == 4 and n == 36), float(any(w in near for w in FOR)), float(any(w in near for w in AGAINST)), float(any(w in path for w in PATHS)), float(value.startswith(("AKIA", "ASIA", "gh", "xox", "sk-", "eyJ", "-----")))]
+    return [math.log2(n), *counts, sum(moves) / n, entropy, same, steps, sum(covered) / n, vowels, float(hexa), float(value.count("-") == 4 and n == 36), float(any(w in near for w in FOR)), float(any(w in near for w in AGAINST)), float(any(w in path for w in PATHS)), float(value.startswith(("AKIA", "ASIA", "gh", "xox", "sk-", "eyJ", "-----"))), float("@" in value), value.count(".") / n]
 
 
-FEATURES = "log2_length digits lower upper other transitions entropy repeats runs dictionary vowels hex uuid words_for words_against path prefix".split()
+FEATURES = "log2_length digits lower upper other transitions entropy repeats runs dictionary vowels hex uuid words_for words_against path prefix address dots".split()
 
 
 class Forest:
@@ -160,6 +161,9 @@ def findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
             lambda: ("".join(word().title() for _ in range(int(rng.integers(4, 9)))) + pick(digits, 1), ""),
             lambda: (pick(digits, int(rng.choice([12, 16, 20]))), one(["", "token ", "key="])),
             lambda: ("0123456789abcdef" * 2, one(["key = ", ""])),
+            lambda: (pick(lower, int(rng.integers(3, 9))) + one([".", "_", ""]) + pick(digits, int(rng.integers(1, 4))) + "@" + one(["mail", "mx", "post"]) + pick(digits, 1) + one([".example.com", ".example.org", "." + pick(lower, 6) + ".net"]), one(["", "mail ", "to: "])),
+            lambda: (".".join(pick(lower + digits, int(rng.integers(2, 9))) for _ in range(int(rng.integers(3, 6)))) + one([".com", ".internal", ".org"]), one(["", "host ", "at "])),
+            lambda: (one(["report", "backup", "photo", "scan"]) + "_" + "-".join([pick(digits, 4), pick(digits, 2), pick(digits, 2)]) + "_" + word() + one([".csv", ".tar.gz", ".jpeg", ".v2.pdf"]), one(["", "file ", "see "])),
             lambda: (one(["${" + word().upper() + "_" + word().upper() + "}", "os.environ[" + word() + "]", "get_" + word() + "(" + word() + ")"]), one(["password=", "token = "])),
         ])()
         out.append((value, prose() + " " + lead, " " + prose(), one([path, "tests/fixtures", "docs/example"]), 0))
@@ -168,7 +172,8 @@ def findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
 
 def train(labelled: list[tuple[str, str, str, str, int]] | DataFrame | None = None) -> Forest:
     if isinstance(labelled, DataFrame):
-        labelled = [tuple(r) for r in labelled.select("value", "before", "after", "path", "label").limit(MAX_FINDINGS).collect()]
+        of = ["value", "before", "after", "path", "label"]
+        labelled = [tuple(r) for r in labelled.select(*of).orderBy(F.xxhash64(*of), *of).limit(MAX_FINDINGS).collect()]
     labelled = (findings() if labelled is None else labelled)[:MAX_FINDINGS]
     x = np.array([features(v, b or "", a or "", p or "") for v, b, a, p, _ in labelled if v])
     return Forest(x, np.array([r[4] for r in labelled if r[0]]))
