@@ -11,7 +11,8 @@ that one task builds, so any number of keys takes bounded memory. The cascades a
 `BLOCK_BYTES`, as a rule one; each further block is another pass over the keys' hashes.
 
 Defined results: a null url or one without `://` has an empty host and path; no rule fits it, and
-it is judged like any host; repeated rows and hosts judge alike; an empty table gives no rows and an
+it is judged like any host; repeated rows judge alike; a host that the universe has several times is listed if any of
+its rows says so; a host that it does not have is judged by chance, so it should have all; an empty table gives no rows and an
 empty listing allows all; further columns are ignored.
 """
 
@@ -126,7 +127,7 @@ def judge(pages: DataFrame, universe: DataFrame, rules: list[tuple[str, str, str
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark)
     a, b = hashes(F.col("host"))
-    known = scratch.keep(universe.select(a.alias("a"), b.alias("b"), "listed"))
+    known = scratch.keep(universe.groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed")))
     n = max(1, -(-known.count() // SHARD_KEYS))
     shard = F.pmod("a", F.lit(n)).cast("int")
     built = scratch.keep(known.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, level int, k int, bits binary"))
