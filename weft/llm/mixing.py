@@ -13,7 +13,7 @@ table of rates has a row a source and is broadcast only up to `BROADCAST_SOURCES
 
 Defined results: a null source is a source of its own; a source of weight 0 vanishes; rows with equal
 doc_id and text draw alike; null doc_id or text hash as empty strings; empty tables and all-zero
-weights give no rows; further columns are carried along (`copy_no` and `mix_key` are replaced).
+weights give no rows; further columns are carried along whatever their names (`copy_no` and `mix_key` are replaced).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kit import Scratch
+
 DEFAULT = "*"
 PIECE = 16.0
 BROADCAST_SOURCES = 20_000
@@ -70,23 +72,33 @@ def rates(docs: DataFrame, weights: dict[str, float], size: float) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("source", F.when(F.col("all_w") > 0, F.lit(float(size)) * F.col("all_n") * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], size: float = 1.0, seed: int = 1) -> DataFrame:
+def _unused(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mix(docs: DataFrame, weights: dict[str, float], size: float = 1.0, seed: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs(doc_id, text, source, ...), each as often as drawn, in a random global order.
 
-    Adds copy_no (from 1) and mix_key, by which the rows are sorted.
+    Adds copy_no (from 1) and mix_key, by which the rows are sorted. The rates are written once, so the documents are read twice.
     """
     spark = docs.sparkSession
-    pieces = F.when(F.col("rate") > 0, F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE))).otherwise(0).cast("int")
-    by = rates(docs, weights, size).select(F.col("source").alias("__of"), pieces.alias("__pieces"), F.when(pieces > 0, F.col("rate") / pieces).otherwise(0.0).alias("__rate"))
-    side = by.select("__of", "__pieces", series(F.col("__rate")).alias("__steps"))
+    docs = docs.drop("copy_no", "mix_key")
+    of, pieces, steps, hashed, n = (_unused(x, docs.columns) for x in ("mix_of", "mix_pieces", "mix_steps", "mix_text", "mix_n"))
+    by = (scratch or Scratch(spark)).keep(rates(docs, weights, size))
+    whole = F.when(F.col("rate") > 0, F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE))).otherwise(0).cast("int")
+    side = by.select(F.col("source").alias(of), whole.alias(pieces), series(F.when(whole > 0, F.col("rate") / whole).otherwise(0.0)).alias(steps))
     small = by.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    hashed = docs.withColumn("__text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    named = hashed.join(F.broadcast(side) if small else side, hashed["source"].eqNullSafe(side["__of"])).drop("__of")
-    drawn = named.withColumn("__n", counts(F.col("__pieces"), F.col("__steps"), seed, F.col("doc_id"), F.col("__text"))).filter("__n > 0").drop("__pieces", "__steps")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__text"), F.col("copy_no")))
-    keyed = copies.withColumn("mix_key", key).drop("__text")
+    texts = docs.withColumn(hashed, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = texts.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col(of))).drop(of)
+    drawn = named.withColumn(n, counts(F.col(pieces), F.col(steps), seed, F.col("doc_id"), F.col(hashed))).filter(F.col(n) > 0).drop(pieces, steps)
+    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(hashed), F.col("copy_no")))
+    keyed = copies.withColumn("mix_key", key).drop(hashed)
     # keys are spread evenly, so ranges of equal width are balanced without sampling the rows
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") * n / float(1 << 32)).cast("int")
-    return keyed.repartitionById(n, place).sortWithinPartitions("mix_key")
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") * ways / float(1 << 32)).cast("int")
+    return keyed.repartitionById(ways, place).sortWithinPartitions("mix_key")
