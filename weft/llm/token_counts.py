@@ -3,9 +3,10 @@
 A batch holds changes to documents: inserts, deletes and revised counts, each with the counts
 before and after. It is summed to one signed row for each (source, lang, tokenizer_version) before
 anything is shuffled or stored, and committed as one folder named after its batch id: the sums
-are written beside it and renamed into place, which is atomic, so a batch that a retry or a second
-writer brings again is found and left alone. Totals are sums over the committed folders; nothing is
-ever updated in place. `compact` folds them into one commit that names the batches it replaces.
+are written beside it and renamed into place, so a batch that a retry or a second
+writer brings again is found and left alone; finding it is one listing of folders. Renaming is atomic on HDFS and local disks; on
+an object store, where it is not, let one writer commit. Totals are sums over the committed folders, read as one table; nothing is
+ever updated in place. `compact` folds them into one commit, whose `batches` names those it replaces.
 
 Defined results: null sources and languages are groups of their own; a null text has no tokens; a
 change without counts before (insert) or after (delete) adds or takes one document; groups whose
@@ -15,12 +16,15 @@ documents are all gone vanish from the totals; empty batches commit nothing but
 from __future__ import annotations
 
 import json
+import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long, n_inserts long, n_deletes long, n_revisions long"
+ONE, ALL = "commit-", "compact-"
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -49,14 +53,12 @@ class Rollup:
 
     def committed(self) -> dict[str, list[str]]:
         """Each commit's folder and the batches it stands for, without commits that another has replaced."""
-        out = {}
-        if self.fs.exists(self._p(self.path)):
-            for f in self.fs.listStatus(self._p(self.path)):
-                if (name := f.getPath().getName()).startswith("commit-"):
-                    text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}/batches").collect())
-                    out[name] = json.loads(text)
-        gone = {n for n, b in out.items() if any(set(b) < set(c) for m, c in out.items() if m != n)}
-        return {n: b for n, b in out.items() if n not in gone}
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._p(self.path))] if self.fs.exists(self._p(self.path)) else []
+        out = {n: [unquote(n[len(ONE) :])] for n in names if n.startswith(ONE)}
+        for n in names:  # compacted ones are few
+            if n.startswith(ALL):
+                out[n] = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{n}/batches").collect()))
+        return {n: b for n, b in out.items() if not any(m != n and set(b) < set(c) for m, c in out.items())}
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commits changes(source, lang, tokenizer_version, before, after); False if the batch was there already."""
@@ -69,12 +71,13 @@ class Rollup:
             F.sum(F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("d_tokens"),
             one(new)("n_inserts"), one(old)("n_deletes"), one(~new & ~old)("n_revisions"),
         )
-        return self._commit(f"commit-{batch_id}", sums, [batch_id])
+        return self._commit(ONE + quote(batch_id, safe=""), sums)
 
-    def _commit(self, name: str, sums: DataFrame, batches: list[str]) -> bool:
+    def _commit(self, name: str, sums: DataFrame, batches: list[str] | None = None) -> bool:
         draft = f"{self.path}/draft-{name}-{self.jvm.java.util.UUID.randomUUID().toString()}"
         sums.write.parquet(f"{draft}/sums")
-        self.spark.createDataFrame([(json.dumps(batches),)], "value string").coalesce(1).write.text(f"{draft}/batches")
+        if batches is not None:
+            self.spark.createDataFrame([(json.dumps(batches),)], "value string").coalesce(1).write.text(f"{draft}/batches")
         # whoever renames first has committed; a folder that is there already makes this one fail or nest, which is undone
         target = self._p(f"{self.path}/{name}")
         done = not self.fs.exists(target) and self.fs.rename(self._p(draft), target)
@@ -85,10 +88,8 @@ class Rollup:
         return bool(done)
 
     def deltas(self) -> DataFrame:
-        out = self.spark.createDataFrame([], DELTA)
-        for name in self.committed():
-            out = out.unionByName(self.spark.read.schema(DELTA).parquet(f"{self.path}/{name}/sums"))
-        return out
+        folders = [f"{self.path}/{name}/sums" for name in self.committed()]
+        return self.spark.read.schema(DELTA).parquet(*folders) if folders else self.spark.createDataFrame([], DELTA)
 
     def _sums(self) -> DataFrame:
         return self.deltas().groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("d_docs", "d_tokens", "n_inserts", "n_deletes", "n_revisions")])
@@ -97,7 +98,7 @@ class Rollup:
         """One commit in place of all; the old folders are removed once it stands."""
         old = self.committed()
         batches = sorted({b for x in old.values() for b in x})
-        if len(old) > 1 and self._commit(f"commit-all-{batches[-1]}-{len(batches)}", self._sums(), batches):
+        if len(old) > 1 and self._commit(f"{ALL}{uuid.uuid4().hex}", self._sums(), batches):
             for name in old:
                 self.fs.delete(self._p(f"{self.path}/{name}"), True)
 
