@@ -311,12 +311,28 @@ def _log(spark, sf, kinds: dict[str, str], other: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.coalesce(table[F.col("event_type")], F.lit(other)).alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("w"), (F.floor("value") % 3).cast("string")).alias("owner"), F.lit(3_600_000).cast("long").alias("ttl"), F.col("props").alias("payload"))
 
 
-@query()
+EVENT_LOG = "l AS (SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type, epoch_us(ts) // 1000 AS tm, 'w' || (floor(value)::BIGINT % 3) AS o, props FROM events)"
+
+
+# One step of the recursion for each event of a key, all keys side by side.
+@query(f"""WITH RECURSIVE {EVENT_LOG}, e AS (SELECT *, CASE event_type WHEN 'view' THEN 'enqueue' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'retry' ELSE 'claim' END AS kind FROM l),
+s AS (SELECT DISTINCT key, 0::BIGINT AS n, 'pending' AS status, NULL::VARCHAR AS owner, 0::BIGINT AS attempts, 0::BIGINT AS available_at, NULL::BIGINT AS expires_at, NULL::VARCHAR AS payload FROM e
+UNION ALL SELECT key, n, CASE act WHEN 'claim' THEN 'processing' WHEN 'complete' THEN 'done' WHEN 'retry' THEN 'pending' ELSE status END, CASE act WHEN 'claim' THEN o WHEN 'complete' THEN NULL WHEN 'retry' THEN NULL ELSE owner END,
+ CASE act WHEN 'claim' THEN attempts + 1 ELSE attempts END, CASE act WHEN 'first' THEN tm WHEN 'retry' THEN tm + {queue.RETRY_MS} ELSE available_at END, CASE act WHEN 'claim' THEN tm + {queue.LEASE_MS} WHEN 'complete' THEN NULL WHEN 'retry' THEN NULL ELSE expires_at END, CASE act WHEN 'first' THEN props ELSE payload END
+ FROM (SELECT s.*, e.n AS n2, e.tm, e.o, e.props, CASE WHEN status = 'done' THEN 'none' WHEN kind = 'enqueue' THEN CASE WHEN s.n = 0 THEN 'first' ELSE 'none' END
+  WHEN kind = 'claim' THEN CASE WHEN (status = 'pending' OR expires_at <= e.tm) AND available_at <= e.tm THEN 'claim' ELSE 'none' END WHEN status = 'processing' AND owner = e.o THEN kind ELSE 'none' END AS act
+  FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) x(key, n1, status, owner, attempts, available_at, expires_at, payload, n, tm, o, props, act))
+SELECT key, status, owner, attempts, available_at, expires_at, payload FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")
 def queue_fold(spark, sf):
     return queue.fold_queue(_log(spark, sf, {"view": "enqueue", "click": "claim", "purchase": "complete", "error": "retry"}, "claim"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENT_LOG}, e AS (SELECT *, CASE event_type WHEN 'click' THEN 'renew' WHEN 'error' THEN 'release' ELSE 'acquire' END AS kind FROM l),
+s AS (SELECT DISTINCT key, 0::BIGINT AS n, NULL::VARCHAR AS owner, 0::BIGINT AS token, 0::BIGINT AS expires_at, 0::BIGINT AS refused FROM e
+UNION ALL SELECT key, n, CASE act WHEN 'acquire' THEN o ELSE owner END, token + (act = 'acquire' AND NOT mine)::BIGINT, CASE act WHEN 'acquire' THEN tm + 3600000 WHEN 'renew' THEN tm + 3600000 WHEN 'release' THEN tm ELSE expires_at END, refused + (act = 'refuse')::BIGINT
+ FROM (SELECT s.key, e.n, owner, token, expires_at, refused, e.tm, e.o, coalesce(owner = e.o, false) AS mine, CASE WHEN kind = 'acquire' THEN CASE WHEN owner IS NOT NULL AND expires_at > e.tm AND owner <> e.o THEN 'refuse' ELSE 'acquire' END
+  WHEN coalesce(owner = e.o, false) AND expires_at > e.tm THEN kind ELSE 'refuse' END AS act FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) x)
+SELECT key, owner, token, expires_at, refused FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")
 def lease_fencing(spark, sf):
     return queue.fold_leases(_log(spark, sf, {"click": "renew", "error": "release"}, "acquire"))
 
