@@ -767,3 +767,34 @@ def test_pipeline(spark, rows, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, now.collect()))
     assert not out.filter("text like '%AKIA7Q%'").count()
+
+
+def test_stages_on_awkward_tables(spark, rows, none, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
+    import corpus_pipeline
+
+    clash = ["text_hash", "__text", "__of", "fp", "root", "lang_key", "leaked", "row", "rate", "mix_of", "kept", "path"]
+    extra = ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r, *[f"{c}!" for c in clash]) for r in [*rows, *rows[:3], *rows[8:10]]], f"{DOCS}, {extra}").repartition(3)
+    spark.createDataFrame([(1, prose(random.Random(77), 30)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    every = Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(got.columns) and (name == "mixing" or got.columns == docs.columns), name
+        out = got.select(*docs.columns).collect()
+        assert out and all(r[c] == f"{c}!" for r in out for c in clash), name
+        if name == "mixing":
+            assert {tuple(r) for r in out} <= set(every)
+        elif name == "secrets":
+            assert Counter(r.doc_id for r in out) == Counter(r[0] for r in every.elements()) and sum(r.text is None for r in out) == sum(r[1] is None for r in every.elements())
+        else:
+            assert not Counter(map(tuple, out)) - every, name
+        if name == "quality":
+            assert all(len(words(r.text)) >= 50 for r in out)
+        if name == "near_duplicates":
+            assert sum(not words(r.text) for r in out) == sum(not words(r[1]) for r in every.elements())
+            sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)]) for w in (words(lower(r.text)) for r in out) if w]
+            assert not any(5 * len(a & b) >= 4 * len(a | b) for a, b in itertools.combinations(sets, 2))
+        if name == "decontamination":
+            assert Counter(map(tuple, out)) == every
+        assert stage(spark, spark.createDataFrame([], docs.schema), str(tmp_path)).count() == 0, name

@@ -338,5 +338,7 @@ def keep(docs: DataFrame, scratch: Scratch | None = None, k: int = K, percent: i
     if twice.isEmpty():
         return left
     # rows that repeat their doc_id and text: one of each
-    many = docs.join(twice, same, "left_semi")
-    return left.unionByName(many.withColumn("__text", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__text"]).drop("__text"))
+    many, name = docs.join(twice, same, "left_semi"), "text_hash"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return left.unionByName(many.withColumn(name, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", name]).drop(name))
