@@ -5,6 +5,13 @@ linked ones stays, the one of the least doc_id; shingles are of five words and l
 (op5 has a contract of its own, four words and 0.85). decontamination: documents into which a benchmark
 item leaks go. secrets: secrets are replaced by the names of their kinds. mixing: documents are
 replicated to the sources' target weights and shuffled.
+
+Defined results, of every stage: an empty table gives an empty one; further columns are carried along whatever their names; all
+but the last return the columns of their input. quality: a null or empty text goes, repeated rows go or stay alike, a null
+language is one of its own. near_duplicates: texts without words, null ones included, all stay; of equal rows one stays, and of
+linked ones that of the least doc_id (null ones last) and text hash. decontamination: null texts and empty ones stay, equal rows go or stay
+alike. secrets: no row goes; a text without a secret keeps its bytes, a null one stays null, n_chars follows a text that changes and is else
+left alone, a null source counts as an empty path. mixing: a null source is one of its own, rows of equal doc_id and text draw alike.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from weft.llm.kit import Scratch
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
