@@ -9,7 +9,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -182,9 +181,9 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        # shuffle files go when the plans that made them are garbage: once the listeners have let go of the last one, collect it
+        # shuffle files go when the plans that made them are garbage; the scheduler holds on to the last one until another has run
         gc.collect()
-        time.sleep(0.25)
+        self.spark.range(0, 1, 1, 1).collect()
         self.spark.sparkContext._jvm.System.gc()
         return out
 
