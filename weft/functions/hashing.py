@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,23 @@ def invocation_key(repo: Column, lang: Column, revision: Column, policy: Column,
 def token(namespace: str, label: Column, index: Column, value: Column) -> Column:
     """A placeholder that stands for a protected value: namespace, label, place and a digest."""
     return F.format_string(f"@@{namespace}_%s_%04d_%s@@", label, index, F.substring(F.sha2(value, 256), 1, 16))
+
+
+def led_hash(*parts: str) -> str:
+    """`parts_hash` of constants, on the driver: fingerprints of policies and configurations."""
+    digest = hashlib.sha256()
+    for p in parts:
+        digest.update(len(p.encode()).to_bytes(8, "big") + p.encode())
+    return digest.hexdigest()
+
+
+def provider_fingerprint(provider: str, model: str, adapter: str, command: tuple[str, ...] = (), endpoint: str | None = None, max_tokens: int | None = None, effort: str | None = None) -> str:
+    """Who answers: names, what an endpoint adds, and the command line."""
+    more = [] if max_tokens is None else [str(max_tokens)]
+    return led_hash(provider, model, adapter, *([endpoint] if endpoint else []), *more, *(["reasoning_effort", effort] if effort else []), *command)
+
+
+def configuration_fingerprint(stages: dict[str, tuple[str, str | None]]) -> str | None:
+    """Of each stage's (provider fingerprint, effort), in order, those with an effort; None without any."""
+    parts = [x for name, (print_, effort) in stages.items() if effort is not None for x in (name, print_)]
+    return led_hash(*parts) if parts else None

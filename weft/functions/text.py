@@ -122,3 +122,13 @@ def reserved(path: Column, roots: list[str]) -> Column:
     for r in roots:
         out = out | (path == r) | path.startswith(r + "/")
     return out
+
+
+def rfc3339(at: Column) -> Column:
+    """A timestamp in UTC to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def elapsed(begun: Column, at: Column) -> Column:
+    """Seconds between two timestamps, to the millisecond."""
+    return F.round((F.unix_micros(at) - F.unix_micros(begun)) / 1e6, 3)

@@ -73,3 +73,8 @@ def repaired(source: Column, target: Column) -> Column:
     """A blank after a leading strong run where the source has one and the target none."""
     fits = source.rlike(r"^\*\*[^*\n]+\*\*[ \t]") & target.rlike(r"^\*\*[^*\n]+\*\*\S")
     return F.when(fits, F.regexp_replace(target, r"^(\*\*[^*\n]+\*\*)", "$1 ")).otherwise(target)
+
+
+def same_multiset(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values equally often."""
+    return F.array_sort(a) == F.array_sort(b)

@@ -139,3 +139,8 @@ def project_check(documents: DataFrame, group: list[str]) -> DataFrame:
     """The check of each group's verified documents(path, content_hash): it hangs on the first path and names the hash of all."""
     rows = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
     return documents.groupBy(*group).agg(F.min("path").alias("path"), F.sha2(F.to_json(rows), 256).alias("manifest"))
+
+
+def restored(desired: DataFrame, observed: DataFrame) -> DataFrame:
+    """Targets of desired(path, content_hash) to be written back without asking what stands there: all that observed does not show as they should be."""
+    return desired.join(observed, ["path", "content_hash"], "left_anti")
