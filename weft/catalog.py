@@ -295,9 +295,9 @@ def insert_if_absent(spark, sf):
     return state.insert_absent(e.filter("value <= 3"), e.filter("value > 20").drop("value"), ["user_id", "event_type"], "seq")
 
 
-@query("""SELECT event_id, user_id, event_type, ts, lead(ts) OVER w AS superseded_at, lead(ts) OVER w IS NULL AS active FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)""")
+@query("""SELECT event_id, user_id, event_type, ts, lead(ts) OVER w AS superseded_at, lead(ts) OVER w IS NULL AS active FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def scd2_history(spark, sf):
-    return state.history(t(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
+    return state.history(t(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id")
 
 
 @query("""SELECT event_id, user_id, event_type, from_state FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events) WHERE from_state IS DISTINCT FROM event_type""")

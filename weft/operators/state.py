@@ -37,9 +37,9 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str], seq: str) -> D
     return first.join(old.select(*key).distinct(), key, "left_anti")
 
 
-def history(rows: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Adds superseded_at, the time of the key's next version, and active."""
-    until = F.lead(at).over(Window.partitionBy(*key).orderBy(at))
+def history(rows: DataFrame, key: list[str], at: str, id_: str) -> DataFrame:
+    """Adds superseded_at, the time of the key's next version, and active; of versions of one time the id decides."""
+    until = F.lead(at).over(Window.partitionBy(*key).orderBy(at, id_))
     return rows.withColumn("superseded_at", until).withColumn("active", F.col("superseded_at").isNull())
 
 
@@ -86,8 +86,13 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def closure(edges: DataFrame, root, keep=lambda df: df) -> DataFrame:
-    """All that root reaches over edges(parent, child), level by level until nothing is new."""
+def cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the folder that the cluster names; as they are where it names none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def closure(edges: DataFrame, root, keep=cut) -> DataFrame:
+    """All that root reaches over edges(parent, child), level by level until nothing is new: as many levels as the longest path has, cycles included."""
     seen = edges.sparkSession.createDataFrame([(root,)], "node string")
     front = seen
     while True:
