@@ -798,3 +798,202 @@ def test_stages_on_awkward_tables(spark, rows, none, tmp_path):
         if name == "decontamination":
             assert Counter(map(tuple, out)) == every
         assert stage(spark, spark.createDataFrame([], docs.schema), str(tmp_path)).count() == 0, name
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth string, piece string, n1 string, node string, n string"
+
+
+def plain_trie(rows):
+    """Nodes of the contract, by their whole paths."""
+    import zlib
+
+    by = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [t[2:] for t in sorted(ts)] for c, ts in by.items()}
+    built = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(turns.get(c - c % 100, [])[:h] + own[h:])
+    members = {}
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    out = {}
+    for node, of in members.items():
+        below = [v for v in members if v[: len(node)] == node]
+        leaf = lambda v: not any(len(w) == len(v) + 1 and w[:-1] == v for w in members)
+        ends = ",".join(str(c) for c in sorted(of) if built[c] == node)
+        saved = sum((len(members[v]) - 1) * len(v[-1][1]) for v in below if v)
+        out[node] = (min(of), len(node), min(members[node[:-1]]) if node else None, len(of), sum(len(v) == len(node) + 1 for v in below), sum(map(leaf, below)), saved, hashlib.sha256(ends.encode()).hexdigest())
+    return out
+
+
+def test_prefix_trie(spark):
+    from weft.llm import prefix_trie
+
+    rng = random.Random(5)
+    rows = []
+    for c in [*range(0, 40), *range(100, 130), 205, 207, 301]:
+        opening = rng.choice(["hello", "hi", "hey"])
+        rows += [(c, t, rng.choice(["user", "assistant", None]), opening if t == 0 else rng.choice(["yes", "no", "", None, "möp 🎉"])) for t in range(rng.randrange(1, 9))]
+    rows += [(500, None, "user", "first"), (500, 7, "user", "b"), (500, 3, "user", "a"), (None, 1, "user", "x"), (501, 1, None, None)]
+    rows += [(600, t, "u", f"t{t % 3}") for t in range(90)] + [(601, t, "u", f"t{t % 3}") for t in range(90)] + [(602, t, "u", f"t{t % 3}") for t in range(60)]
+    rows += [(700 + i, t, "u", "same") for i in range(60) for t in range(4)]
+    want = sorted(plain_trie(rows).values(), key=str)
+    table = spark.createDataFrame([(*r, *[None] * 5) for r in rows], TURNS).repartition(5)
+    got = prefix_trie.query(table, kit.Scratch(spark)).collect()
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted((tuple(r[n] for n in names) for r in got), key=str) == want
+    places = sorted((r.position, r.subtree_end, r.depth, r.n_leaves) for r in got)
+    assert [p for p, *_ in places] == list(range(len(places)))
+    for at, end, depth, _ in places:  # a subtree is the run of deeper nodes that follows
+        assert all(d > depth for _, _, d, _ in places[at + 1 : end + 1]) and (end + 1 == len(places) or places[end + 1][2] <= depth)
+
+
+def test_prefix_trie_awkward(spark):
+    from weft.llm import prefix_trie
+
+    none = spark.createDataFrame([], TURNS)
+    assert prefix_trie.query(none, kit.Scratch(spark)).collect() == []
+    # conversations that keep no turn are members of the root
+    rows = [(c, 0, "u", "x") for c in range(401, 420)]
+    got = prefix_trie.query(spark.createDataFrame([(*r, *[None] * 5) for r in rows], TURNS), kit.Scratch(spark)).collect()
+    assert sorted(tuple(r)[:8] for r in got) == sorted(plain_trie(rows).values())
+    # repeated rows all count, in any order
+    rows = [(0, 1, "u", "x")] * 3 + [(0, 1, "a", "y")]
+    assert sorted(r.depth for r in prefix_trie.query(spark.createDataFrame([(*r, *[None] * 5) for r in rows], TURNS), kit.Scratch(spark)).collect()) == [0, 1, 2, 3, 4]
+
+
+def plain_audit(rows, labels):
+    quality, toxic = ({d for d, q, t in labels if d is not None and (q, t)[i] == 1} for i in (0, 1))
+    least = {}
+    for d, text, *_ in rows:
+        if d is not None:
+            least[text or ""] = min(least.get(text or "", d), d)
+    fails, out = [], {}
+    for d, text, lang, *_ in rows:
+        text, ws = text or "", words(text)
+        f = {"A": len(ws) < 100, "B": 100 * len(set(ws)) < 80 * len(ws), "C": 100 * len(re.findall("[A-Z]", text)) > 10 * len(text), "D": bool(re.search(r"[#$%&*|]", text)), "E": d is not None and d > least[text]}
+        fails.append((lang or "", {x for x in f if f[x]}, d in quality, d in toxic))
+    for part in {p for p, *_ in fails}:
+        mine, total = [f for f in fails if f[0] == part], Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for i, x in enumerate(order):
+                gone = [f for f in left if x in f[1]]
+                left = [f for f in left if x not in f[1]]
+                total[x] += len(gone)
+                out[part, "".join(order), i + 1] = [len(left), len(gone), sum(x in f[1] for f in mine) - len(gone), sum(f[1] == {x} for f in mine), sum(f[2] for f in gone), sum(f[3] for f in gone)]
+        for (p, order, step), v in out.items():
+            if p == part:
+                v.append(total[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_filter_audit(spark, docs, rows, none):
+    from weft.llm import filter_audit
+
+    told = [(1, 1, 0), (7, 1, 1), (8, 1, 0), (8, 0, 1), (9, 0, 1), (20, 1, 0), (82, None, 1), (None, 1, 1), (999, 1, 1)]
+    labels = spark.createDataFrame(told, "doc_id long, quality long, toxic long")
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in filter_audit.audit(filter_audit.masks(docs, labels, kit.Scratch(spark))).collect()}
+    assert got == plain_audit(rows, told)
+    assert filter_audit.audit(filter_audit.masks(none, labels, kit.Scratch(spark))).collect() == []
+
+
+def test_swaps_meet_every_order_once():
+    from weft.llm import filter_audit
+
+    for n in range(1, 6):
+        order, seen = list(range(n)), {tuple(range(n))}
+        for i in filter_audit.swaps(n):
+            order[i], order[i + 1] = order[i + 1], order[i]
+            assert tuple(order) not in seen
+            seen.add(tuple(order))
+        assert len(seen) == math.factorial(n)
+
+
+def test_audit_of_other_filters(spark):
+    from weft.llm import filter_audit
+
+    got = filter_audit.audit(spark.createDataFrame([("p", m, 1, 0) for m in (0, 1, 3, 3, 2)], "part string, mask int, good long, toxic long"), "xy").collect()
+    assert {(r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.shapley) for r in got} == {
+        ("xy", 1): (2, 3, 0, 1, 3, 4), ("xy", 2): (1, 1, 2, 1, 1, 4), ("yx", 1): (2, 3, 0, 1, 3, 4), ("yx", 2): (1, 1, 2, 1, 1, 4)
+    }
+
+
+def plain_personal(text):
+    def luhn(d):
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for k, p in patterns.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "email" or (k == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (k == "card" and 13 <= len(d) <= 19 and luhn(d)) or (k == "phone" and 9 <= len(d) <= 15):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_personal_data(spark, docs, rows, none):
+    from weft.llm import personal_data
+
+    rng = random.Random(9)
+    pieces = ["a.b@c.de", "x@y", "_z@q.r-s.t", "4111 1111 1111 1111", "4111-1111-1111-1112", "1", " ", "-", ".", "@", "é", "🎉", "\n", "10.0.0.1", "256.1.1.1", "0010.2.3.004", "+1 (603) 555-8791", "+4", "12", "(", ") ", "word ", "5500005555555559", "+49.30.901820"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    made += ["p@q.rs " * 900, "1.2." * 3000, "1" * 20_000, "a@b" + ".c" * 20_000, "+1 " * 500 + "234567890", "@" * 9000, "x at " * 3000, "1:" * 5000, "12 34-" * 4000, "a." * 9000 + "@x"]
+    all_rows = [(*r[:2],) for r in rows] + [(1000 + i, t) for i, t in enumerate(made)]
+    table = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in all_rows], "doc_id long, text string, base string, pd_email string, whole_text int").repartition(4)
+    found = personal_data.digests(personal_data.find(table)).collect()
+    said = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    want = Counter((d, hashlib.sha256(said(plain_personal(t)).encode()).hexdigest(), *[sum(s[0] == k for s in plain_personal(t)) for k in personal_data.KINDS]) for d, t in all_rows)
+    assert Counter((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found) == want
+    texts = dict(all_rows)
+    for r in found:
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert set(plain_personal(texts[r.doc_id])) <= set(spans) and len(spans) == len(set(spans))
+        assert spans == sorted(spans, key=lambda s: (personal_data.KINDS.index(s[0]), s[1], s[2]))
+    assert personal_data.digests(personal_data.find(none)).collect() == []
+
+
+def test_personal_data_weighs_candidates(spark):
+    from weft.llm import personal_data
+
+    yes = ["mail bob at host dot com.", "call (603) 555-8791 now", "phone 603-555-8791", "ip fe80::1ab2:3cd4:5ef6 x", "visa: 4111.1111.1111.1111"]
+    no = ["at 12:30:45 we met", "on 2021-03-04 it rained", "order 4111.1111.1111.1112", "we met at noon.Then", "pages 120-145", "version 10.20.30.40000", "from 1998-2004", "mac 0a:1b:2c:3d:4e:5f"]
+    table = spark.createDataFrame([(i, t, t) for i, t in enumerate(yes + no)], "doc_id long, text string, was string")
+    found = {r.doc_id: r.spans for r in personal_data.digests(personal_data.find(table)).collect()}
+    assert all(found[i] for i in range(len(yes))) and not any(found[len(yes) + i] for i in range(len(no)))
+    clean = {r.was: r.text for r in personal_data.redact(table).collect()}
+    assert [clean[t] for t in yes] == ["mail [email].", "call [phone] now", "phone [phone]", "ip [ip] x", "visa: [card]"] and all(clean[t] == t for t in no)
+
+
+def test_personal_data_thresholds_on_fresh_findings(spark):
+    """On findings of another seed, what passes the thresholds is right and most of what should pass does."""
+    from pyspark.sql import functions as F
+
+    from weft.llm import personal_data
+
+    model = personal_data.train(spark)
+    fresh = personal_data.findings(spark, 6000, seed=23)
+    got = fresh.select("generator", "label", F.struct(*[c.alias(n) for n, c in personal_data.features(*[F.col(c) for c in ("generator", "before", "value", "after")]).items()]).alias("m")).withColumn("p", F.expr(model.sql("m"))).collect()
+    for g in personal_data.LOOSE:
+        mine = [r for r in got if r.generator == g]
+        passed = [r for r in mine if r.p >= model.thresholds[g]]
+        assert sum(r.label for r in passed) >= 0.97 * len(passed) and len(passed) >= 0.6 * sum(r.label for r in mine), g
+
+
+def test_boosting_walks_and_refuses():
+    from weft.llm import personal_data
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5, (600, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 2)).astype(float)
+    hold = rng.random(600) < 0.2
+    model = personal_data.Boosted(["a", "b", "c"], x, y, np.array(["ipv6"] * 600), hold)
+    assert ((model.probability(x) > 0.5) == y).mean() > 0.97 and model.thresholds["ipv6"] <= 1 < model.thresholds["plain_phone"]
+    with pytest.raises(ValueError):
+        personal_data.Boosted(["a"], x[:, :1], np.ones(600), np.array(["ipv6"] * 600), hold)
