@@ -3,12 +3,13 @@
 import itertools
 
 import duckdb
+import plain_matching
 import pytest
 from pyspark.sql import functions as F
 
 from weft import catalog, catalog_reads  # noqa: F401  the latter adds to the former
 from weft.functions import hashing, text
-from weft.operators import matching, protect, segment, state
+from weft.operators import matching, protect, running, segment, similar, state
 from weft.plans import planner, reads, report
 from weft.sources import discovery
 from weft.streaming import queue
@@ -73,7 +74,7 @@ def unit(n, source, stable=None, kind="paragraph", context="c", trusted=True):
 
 
 def test_matching_rules():
-    kinds = lambda p, c, h=None: [m["kind"] for m in matching.sequential(p, c, h)]
+    kinds = lambda p, c, h=None: [m["kind"] for m in plain_matching.sequential(p, c, h)]
     assert kinds([unit(0, "Same text")], [unit(0, "Same text")]) == ["exact"]
     assert kinds([unit(0, "Same text")], [unit(3, "Same  text")]) == ["moved"]
     assert kinds([unit(0, "Twice."), unit(1, "Twice.")], [unit(0, "Twice."), unit(1, "Twice.")]) == ["ambiguous"] * 2
@@ -83,7 +84,7 @@ def test_matching_rules():
     assert kinds([unit(5, "A sentence about cats."), unit(6, "A sentence about rats.")], [unit(0, "A sentence about bats.")]) == ["ambiguous"]
     assert kinds([unit(0, "abc")], [unit(0, "something else")]) == ["new"] and kinds([unit(0, "x", context="d")], [unit(0, "x")]) == ["new"]
     assert kinds([unit(0, "Used up.")], [unit(0, "Used up."), unit(1, "Used up.")]) == ["exact", "new"]
-    got = matching.sequential([unit(0, "Some  text")], [unit(0, "Some text")])[0]
+    got = plain_matching.sequential([unit(0, "Some  text")], [unit(0, "Some text")])[0]
     assert got["kind"] == "exact" and not got["trusted_reuse"]  # trust needs equal bytes
 
 
@@ -114,7 +115,7 @@ def test_distance():
     rng = random.Random(1)
     for _ in range(400):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(80))) for _ in range(2))
-        assert matching._distance(a, b) == slow(a, b)
+        assert plain_matching.distance(a, b) == slow(a, b)
 
 
 def test_fuzzy_agrees_with_rules(spark):
@@ -124,13 +125,102 @@ def test_fuzzy_agrees_with_rules(spark):
     cols = "doc_id long, ordinal long, norm string, trusted boolean"
     got = {r.ordinal: r for r in matching.fuzzy(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols)).collect()}
     for _, n, norm, _ in new:
-        want = matching.sequential([unit(i, s) for _, i, s, _ in old], [unit(n, norm)])[0]
+        want = plain_matching.sequential([unit(i, s) for _, i, s, _ in old], [unit(n, norm)])[0]
         r = got.get(n)
         assert want["kind"] == ("new" if r is None else "ambiguous" if r.ambiguous else "fuzzy")
         if want["kind"] == "fuzzy":
             assert (r.p_ordinal, r.score) == (want["previous_ordinal"], round(want["score"], 9))
 
 
+def edited(rng, norm):
+    out = list(norm)
+    for _ in range(rng.randrange(4)):
+        i = rng.randrange(len(out) + 1)
+        out[i : i + rng.randrange(2)] = rng.choice(["é", "x", "", "𝒳 "])
+    return " ".join("".join(out).split()) or "y"
+
+
+def revisions(rng, n_docs, lines, words):
+    """Documents and what became of them: lines kept, edited, repeated, moved, dropped and new ones."""
+    unit_of = lambda d, i, t, s: (d, i, t, " ".join(t.split()), rng.choice(["p", "p", "p", "h"]), "", f"u{d}-{s}", rng.random() < 0.8)
+    old, new = [], []
+    for d in range(n_docs):
+        text = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(lines))]
+        text += rng.choices(text, k=lines // 4) if text else []
+        now = [edited(rng, t) if rng.random() < 0.4 else t for t in text if rng.random() < 0.85]
+        now += rng.choices(now, k=lines // 5) if now else []
+        if rng.random() < 0.5:
+            rng.shuffle(now)
+        old += [unit_of(d, i, t, i) for i, t in enumerate(text)]
+        new += [(*unit_of(d, i, t, i), f"u{d}-{rng.randrange(lines)}" if rng.random() < 0.2 else None) for i, t in enumerate(now)]
+    return old, new
+
+
+@pytest.mark.parametrize("piece", [4096, 3])
+def test_rounds_agree_with_the_sequential_rule(spark, monkeypatch, piece):
+    import random
+
+    monkeypatch.setattr(running, "PIECE", piece)
+    monkeypatch.setattr(similar, "FEW", 64 if piece > 3 else 1)
+    old, new = revisions(random.Random(piece), 14, 16, "alpha beta gamma alphas betas gammy delta".split())
+    columns = "doc_id long, ordinal long, source string, norm string, unit_kind string, context string, stable_id string, trusted boolean"
+    names = [c.split()[0] for c in columns.split(", ")] + ["hint"]
+    for with_hints in (False, True):
+        current = spark.createDataFrame(new, columns + ", hint string")
+        got = matching.in_order(spark.createDataFrame(old, columns), current if with_hints else current.drop("hint")).collect()
+        got = sorted((r.doc_id, r.ordinal, r.kind, round(r.score or 0, 9), r.previous_ordinal, r.stable_id, r.trusted_reuse) for r in got)
+        want = []
+        for d in {r[0] for r in new}:
+            p, c = ([dict(zip(names, r, strict=False)) for r in rows if r[0] == d] for rows in (old, new))
+            hints = {i: u["hint"] for i, u in enumerate(c) if u["hint"]} if with_hints else None
+            want += [(m["doc_id"], m["ordinal"], m["kind"], round(m["score"] or 0, 9), m["previous_ordinal"], m["stable_id"], m["trusted_reuse"]) for m in plain_matching.sequential(p, c, hints)]
+        assert got == sorted(want)
+        assert {r[2] for r in got} == {"exact", "moved", "fuzzy", "ambiguous", "new"}
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_pairs_are_all_found(spark, monkeypatch, few):
+    import random
+
+    monkeypatch.setattr(similar, "FEW", few)
+    rng = random.Random(few)
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    old = [(1 + (i % 3 == 0), i, t) for i, t in enumerate(base)] + [(None, 1, "one")]
+    new = [(1 + (i % 3 == 0), (i * 7) % 60, edited(rng, edited(rng, t))) for i, t in enumerate(base)] + [(None, 1, "one"), (1, 5, "")]
+    columns = "doc_id long, ordinal long, norm string"
+    got = {(r.doc_id, r.ordinal, r.p_ordinal): r.score for r in similar.pairs(spark.createDataFrame(old, columns), spark.createDataFrame(new, columns), ["doc_id"], ["ordinal"], ["ordinal"]).collect()}
+    want = {}
+    for (d, i, a), (e, j, b) in itertools.product(new, old):
+        if d is not None and d == e:
+            longer = max(len(a), len(b))
+            score = text.TEXT_WEIGHT * (1 - plain_matching.distance(a, b) / longer) + text.PLACE_WEIGHT / (1 + abs(i - j))
+            if score >= text.FUZZY_FLOOR:
+                want[d, i, j] = score
+    assert got == pytest.approx(want) and sum(abs(i - j) > similar.NEARBY for _, i, j in want) > 10
+
+
+def test_pieces_are_as_long_as_stated():
+    for n in range(1, 30_000):
+        q = next(q for least, q in similar.PIECE_CHARS if n >= least)
+        assert n // (similar.most_edits(n) + 1) >= q
+
+
+def test_running_totals(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), i, rng.choice([None, 1, 5]), rng.randrange(100)) for i in range(300)]
+    got = running.totals(spark.createDataFrame(rows, "k string, i long, v long, x long"), ["k"], running.pieces("i", 7), [F.col("i")], {"s": (F.sum, F.col("v")), "o": (F.bit_xor, F.col("x"))})
+    assert got.columns == ["k", "i", "v", "x", "s", "o"]
+    so_far = {}
+    for k, i, v, x in rows:
+        s, o = so_far.get(k, (0, 0))
+        so_far[k] = so_far[k, i] = (s + (v or 0), o ^ x)
+    assert {(r.k, r.i): (r.s, r.o) for r in got.collect()} == {k: v for k, v in so_far.items() if isinstance(k, tuple)}
+    assert {(r.k, r.i): r.n for r in running.numbered(spark.createDataFrame(rows, "k string, i long, v long, x long"), ["k"], running.pieces("i", 7), [F.col("i")], "n").collect() if r.k == "b"} == {("b", i): n + 1 for n, i in enumerate(i for k, i, _, _ in rows if k == "b")}
+
+
 def test_reusable(spark):
     rows = [(1, 1, "old", True, False, "p", None), (1, 2, "new", False, True, "p", None), (2, 3, "", True, True, "p", None), (2, 4, "x", False, True, "q", None), (3, 5, "x", False, True, "p", "m0"), (3, 6, "y", False, True, "p", "m1")]
     df = spark.createDataFrame(rows, "unit_id long, candidate_id long, text string, trusted boolean, allowed boolean, policy string, model string")

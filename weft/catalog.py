@@ -149,9 +149,17 @@ def match_in_order(spark, sf):
     return matching.in_order(whole(_previous(units)), whole(units.withColumn("trusted", F.lit(True))))
 
 
-@query()
+# SQL counts edits in bytes: every character beyond ASCII becomes one of the control characters first, so that both count characters.
+@query(f"""WITH {MATCHED}, odd AS (SELECT string_agg(c, '' ORDER BY c) AS a, string_agg(chr(n), '' ORDER BY c) AS b FROM (SELECT c, (row_number() OVER (ORDER BY c) + 13)::INT AS n
+  FROM (SELECT DISTINCT unnest(string_split(norm, '')) AS c FROM (SELECT norm FROM units UNION ALL SELECT norm FROM previous)) WHERE unicode(c) > 127)),
+c AS (SELECT doc_id, ordinal, translate(norm, a, b) AS x FROM units u JOIN matched m USING (doc_id, ordinal), odd WHERE kind = 'no_text_match'),
+p AS (SELECT doc_id, ordinal, translate(norm, a, b) AS y FROM previous, odd),
+near AS (SELECT c.doc_id, c.ordinal, p.ordinal AS p_ordinal, x, y, greatest(length(x), length(y)) AS longer FROM c JOIN p ON c.doc_id = p.doc_id
+  WHERE abs(length(x) - length(y)) <= {1 - text.LEAST_SIMILARITY!r} * greatest(length(x), length(y)) + 1e-9),
+s AS (SELECT doc_id, ordinal, p_ordinal, {text.TEXT_WEIGHT}::DOUBLE * (1::DOUBLE - levenshtein(y, x)::DOUBLE / longer) + {text.PLACE_WEIGHT}::DOUBLE / (1::DOUBLE + abs(p_ordinal - ordinal)) AS score FROM near),
+r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM s WHERE score >= {text.FUZZY_FLOOR}::DOUBLE WINDOW w AS (PARTITION BY doc_id, ordinal ORDER BY score DESC, p_ordinal))
+SELECT doc_id, ordinal, p_ordinal, round(score, 9) AS score, coalesce(score - next < {text.MARGIN}::DOUBLE, false) AS ambiguous FROM r WHERE rank = 1""")
 def match_fuzzy(spark, sf):
-    """Characters are compared in any script here; SQL engines count edits in bytes, so tests check this one."""
     units = _units(spark, sf)
     rest = _matched(spark, sf).filter("kind = 'no_text_match'").select("doc_id", "ordinal")
     return matching.fuzzy(_previous(units), units.join(rest, ["doc_id", "ordinal"], "left_semi"))

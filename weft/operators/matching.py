@@ -1,28 +1,28 @@
 """Units of a revision matched with those of the one before.
 
 Keyed units (messages) match first in, first out by key, which is an equi-join on key and number. Prose units match by normalised text where
-that decides; the whole rule, in which each match uses its partner up in order, is sequential within a document and
-runs by document in Arrow groups.
+that decides; the whole rule, in which each match uses its partner up in order, is solved in rounds of joins.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FUZZY_FLOOR, LEAST_SIMILARITY, MARGIN, PLACE_WEIGHT, TEXT_WEIGHT, could_match, fuzzy_score
-
-MATCHES = "doc_id long, ordinal long, kind string, score double, previous_ordinal long, stable_id string, trusted_reuse boolean"
+from ..functions.text import MARGIN
+from . import running, similar, state
 
 
 def keyed(previous: DataFrame, current: DataFrame, key: list[str], order: str) -> DataFrame:
-    """current(key, order, source) against previous(key, order, source, trusted): exact, fuzzy (same key, text changed) or new."""
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    a = current.withColumn("rn", number)
-    b = previous.select(*key, number.alias("rn"), F.col("source").alias("p_source"), F.col("trusted").alias("p_trusted"))
+    """current(key, order, source) against previous(key, order, source, trusted): exact, fuzzy (same key, text changed) or new.
+
+    `order` is an integer column, by ranges of which a key with most rows is numbered.
+    """
+    number = lambda df: running.numbered(df, key, running.pieces(order), [F.col(order)], "rn")
+    a = number(current)
+    b = number(previous).select(*key, "rn", F.col("source").alias("p_source"), F.col("trusted").alias("p_trusted"))
     found = a.join(b, [*key, "rn"], "left")
     same = F.col("source") == F.col("p_source")
     return found.withColumn("kind", F.when(F.col("p_source").isNull(), "new").when(same, "exact").otherwise("fuzzy")).withColumn("trusted_reuse", F.coalesce(same & F.col("p_trusted"), F.lit(False))).drop("rn", "p_trusted")
@@ -41,104 +41,82 @@ def by_text(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def fuzzy(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Scores above the floor of current against previous units of the same document, ranked, with ambiguity.
-
-    Candidates share their document, an equi-join; a bound on their lengths spares most edit distances.
-    """
-    a = current.select("doc_id", "ordinal", "norm")
-    b = previous.select("doc_id", F.col("ordinal").alias("p_ordinal"), F.col("norm").alias("p_norm"))
-    near = a.join(b, "doc_id").filter(could_match(F.col("norm"), F.col("p_norm")))
-    # the distance is worked out only as far as a score above the floor allows; -1 means it is greater
-    within = near.withColumn("most", F.floor((1 - LEAST_SIMILARITY) * F.greatest(F.char_length("norm"), F.char_length("p_norm")) + 1e-9).cast("int"))
-    close = within.withColumn("distance", F.expr("levenshtein(p_norm, norm, most)")).filter("distance >= 0")
-    scored = close.withColumn("score", fuzzy_score(F.col("p_norm"), F.col("norm"), F.col("p_ordinal") - F.col("ordinal"), F.col("distance"))).filter(F.col("score") >= FUZZY_FLOOR)
+    """Scores above the floor of current against previous units of the same document, ranked, with ambiguity (see `similar`)."""
+    scored = similar.pairs(previous, current, ["doc_id"], ["ordinal"], ["ordinal"])
     w = Window.partitionBy("doc_id", "ordinal").orderBy(F.desc("score"), "p_ordinal")
     ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("rank = 1")
     return ranked.select("doc_id", "ordinal", "p_ordinal", F.round("score", 9).alias("score"), F.coalesce(F.col("score") - F.col("next") < MARGIN, F.lit(False)).alias("ambiguous"))
 
 
-def _distance(a: str, b: str) -> int:
-    """Edit distance, a column of the table at a time as the bits of two integers."""
-    if not a:
-        return len(b)
-    at: dict[str, int] = defaultdict(int)
-    for i, c in enumerate(a):
-        at[c] |= 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
-        same = at.get(c, 0)
-        vertical = same | down
-        across = (((same & up) + up) ^ up) | same
-        plus, minus = down | (full & ~(across | up)), up & across
-        score += bool(plus & last) - bool(minus & last)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | (full & ~(vertical | plus)), plus & vertical
-    return score
-
-
-def sequential(previous: list[dict], current: list[dict], hints: dict[int, str] | None = None) -> list[dict]:
-    """The whole rule for one document, current units in order; every match uses its previous unit up.
-
-    A hint is the stable id that a current unit had when its document was last seen unchanged.
-    """
-    free = {i: p for i, p in enumerate(previous)}
-    by_norm: dict[tuple, list[int]] = defaultdict(list)
-    for i, p in enumerate(previous):
-        by_norm[p["unit_kind"], p["context"], p["norm"]].append(i)
-    out = []
-    for at, u in enumerate(current):
-        what = lambda kind, i=None, score=None, trusted=False: {
-            "doc_id": u["doc_id"], "ordinal": u["ordinal"], "kind": kind, "score": score,
-            "previous_ordinal": None if i is None else previous[i]["ordinal"], "stable_id": None if i is None else previous[i]["stable_id"], "trusted_reuse": trusted,
-        }
-        same = [i for i in by_norm[u["unit_kind"], u["context"], u["norm"]] if i in free]
-        hinted = [i for i in same if hints and previous[i]["stable_id"] == hints.get(at)]
-        if hinted or len(same) == 1:
-            i = (hinted or same)[0]
-            p = free.pop(i)
-            kind = "exact" if hinted or p["ordinal"] == u["ordinal"] else "moved"
-            out.append(what(kind, i, None, bool(p["trusted"]) and p["source"] == u["source"]))
-            continue
-        if same:
-            out.append(what("ambiguous"))
-            continue
-        scores = []
-        for i, p in free.items():
-            if (p["unit_kind"], p["context"]) != (u["unit_kind"], u["context"]):
-                continue
-            place, longest = PLACE_WEIGHT / (1 + abs(p["ordinal"] - u["ordinal"])), max(len(p["norm"]), len(u["norm"]))
-            bound = 1 - abs(len(p["norm"]) - len(u["norm"])) / longest if longest else 1.0
-            if TEXT_WEIGHT * bound + place >= FUZZY_FLOOR:
-                text = 1 - _distance(p["norm"], u["norm"]) / longest if longest else 1.0
-                if (score := TEXT_WEIGHT * text + place) >= FUZZY_FLOOR:
-                    scores.append((-score, p["stable_id"], i))
-        scores.sort()
-        if not scores:
-            out.append(what("new"))
-        elif len(scores) > 1 and scores[1][0] - scores[0][0] < MARGIN:
-            out.append(what("ambiguous"))
-        else:
-            free.pop(scores[0][2])
-            out.append(what("fuzzy", scores[0][2], -scores[0][0]))
-    return out
-
-
 def in_order(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """`sequential` for every document of both tables (doc_id, ordinal, source, norm, unit_kind, context, stable_id, trusted).
+    """The whole rule, in which current units come in order and every match uses its previous unit up, for every document.
 
-    current may have a column `hint`, the stable id that the unit had in a document that has not changed since.
-    """
-    names = [x.split()[0] for x in MATCHES.split(", ")]
-    types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-    schema = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, MATCHES.split(", "), strict=True)])
+    Of (doc_id, ordinal, source, norm, unit_kind, context, stable_id, trusted). current may have a column `hint`, the stable id that the unit had in a
+    document that has not changed since. A unit looks among what earlier ones have left: a hinted unit of equal text, else the only one of equal
+    text, else (where there is none) the best one of similar text, if it leads by the margin.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        now = right.sort_by("ordinal").to_pylist()
-        hints = {i: u["hint"] for i, u in enumerate(now) if u.get("hint")}
-        return pa.Table.from_pylist(sequential(left.sort_by("ordinal").to_pylist(), now, hints), schema)
-
-    return previous.groupBy("doc_id").cogroup(current.groupBy("doc_id")).applyInArrow(run, MATCHES)
+    The rule is solved in rounds of joins. A round lets all units decide at once, given who took each previous unit, and when, by the round before; a
+    previous unit goes to the first that wants it. What the units before the n-th do is right after n rounds at the latest, and a round that changes
+    nothing is the answer; as most units have no rival, a few rounds do. Units of equal text are never paired: how many are left, and which if it is the last,
+    are running sums over those taken. Similar texts are sought only for units that find no equal one. Each round is a job; the tables are written between them.
+    """
+    hints = F.col("hint") if "hint" in current.columns else F.lit(None).cast("string")
+    known = lambda df: df.withColumn("doc", F.struct("doc_id")).withColumn("scope", F.xxhash64("doc_id", "unit_kind", "context")).withColumn("same", F.xxhash64("unit_kind", "context", "norm"))
+    place, own = running.pieces("ordinal"), [F.col("ordinal"), F.xxhash64("norm", "source")]
+    texts = ["doc", "scope", "same", "ordinal", "source", "norm"]
+    old = running.numbered(known(previous), ["doc_id"], place, [F.col("ordinal"), F.col("stable_id"), own[1]], "pid").select(*texts, "pid", "stable_id", "trusted")
+    old = state.cut(old)
+    groups = state.cut(old.groupBy("doc", "same").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"), F.min("pid").alias("only")))
+    now = running.numbered(known(current.withColumn("hint", hints)), ["doc_id"], place, own, "at").select("doc_id", *texts, "at", "hint")
+    now = state.cut(now.join(groups, ["doc", "same"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    hinted = state.cut(now.filter("hint is not null").select("doc", "same", "at", F.col("hint").alias("stable_id")).join(old.select("doc", "same", "stable_id", "pid"), ["doc", "same", "stable_id"]).select("doc", "at", "pid"))
+    any_hint = not hinted.isEmpty()
+
+    def similar_to(units: DataFrame) -> DataFrame:
+        # texts of equal norm are told apart by `same`: a unit only gets here if no equal one is left
+        found = similar.pairs(old, units, ["scope"], ["doc", "same", "at"], ["doc", "same", "pid", "stable_id"])
+        return found.filter("doc = p_doc and same <> p_same").select("doc", "at", F.col("p_pid").alias("pid"), F.col("p_stable_id").alias("stable_id"), "score")
+
+    # second and further units of a text that stood once before will not find it
+    later = F.row_number().over(Window.partitionBy("doc", "same", F.floor(F.col("at") / running.PIECE)).orderBy("at")) > 1
+    asked = state.cut(now.withColumn("later", later).filter("n = 0 or (n = 1 and later)").select(*texts, "at"))
+    edges = state.cut(similar_to(asked))
+    asked = asked.select("doc", "at")
+    taken = state.cut(now.limit(0).select("doc", F.col("at").alias("pid"), F.col("at").alias("time")))
+    mark = None
+    while True:
+        free = lambda df, c="pid": df.join(taken.select("doc", F.col("pid").alias(c), "time"), ["doc", c], "left").filter("time is null or time >= at")
+        once = free(now.filter("n = 1").select("doc", "at", F.col("only").alias("pid"))).select("doc", "at", F.lit(1).cast("long").alias("left"), "pid")
+        lost = taken.join(old.select("doc", "pid", "same"), ["doc", "pid"]).join(groups.filter("n > 1"), ["doc", "same"]).select("doc", "same", "time", F.lit(1).cast("long").alias("gone"), "pid")
+        many = now.filter("n > 1").select("doc", "same", "at", "n", "pids")
+        # a unit stands before what is taken at its own time, by itself
+        line = many.join(lost.select("doc", "same").distinct(), ["doc", "same"], "left_semi").select("doc", "same", F.col("at").alias("time"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("pid")).union(lost)
+        sums = running.totals(line, ["doc", "same"], running.pieces("time"), [F.col("time"), F.col("gone")], {"gone_before": (F.sum, F.col("gone")), "pid_before": (F.sum, F.col("pid"))})
+        sums = sums.filter("gone = 0").select("doc", "same", F.col("time").alias("at"), "gone_before", "pid_before")
+        several = many.join(sums, ["doc", "same", "at"], "left").select("doc", "at", (F.col("n") - F.coalesce("gone_before", F.lit(0))).alias("left"), (F.col("pids") - F.coalesce("pid_before", F.lit(0))).alias("pid")).filter("left > 0")
+        equal = once.union(several)
+        by = Window.partitionBy("doc", "at").orderBy(F.desc("score"), "stable_id", "pid")
+        best = free(edges).withColumn("rank", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).filter("rank = 1")
+        best = best.select("doc", "at", F.col("pid").alias("near"), "score", F.coalesce(F.col("score") - F.col("next") < MARGIN, F.lit(False)).alias("close"))
+        units = now.select("doc", "at").join(equal, ["doc", "at"], "left").join(best, ["doc", "at"], "left")
+        if any_hint:
+            units = units.join(free(hinted).groupBy("doc", "at").agg(F.min("pid").alias("told")), ["doc", "at"], "left")
+        told = F.col("told") if any_hint else F.lit(None).cast("long")
+        how = F.when(told.isNotNull(), "hinted").when(F.col("left") == 1, "equal").when(F.col("left") > 1, "ambiguous").when(F.col("near").isNull(), "new").when(F.col("close"), "ambiguous").otherwise("fuzzy")
+        made = units.select("doc", "at", how.alias("how"), told.alias("told"), "pid", "near", "score", F.col("left").isNull().alias("asks"))
+        choice = F.when(F.col("how") == "hinted", F.col("told")).when(F.col("how") == "equal", F.col("pid")).when(F.col("how") == "fuzzy", F.col("near"))
+        decided = state.cut(made.select("doc", "at", "how", choice.alias("pid"), F.when(F.col("how") == "fuzzy", F.col("score")).alias("score"), (F.col("asks") & (F.col("how") != "hinted")).alias("asks")))
+        more = state.cut(now.join(decided.filter("asks").select("doc", "at"), ["doc", "at"], "left_semi").join(asked, ["doc", "at"], "left_anti").select(*texts, "at"))
+        taken = state.cut(decided.filter("pid is not null").groupBy("doc", "pid").agg(F.min("at").alias("time")))
+        was, mark = mark, taken.agg(F.count("*"), F.sum(F.xxhash64("doc", "pid", "time").cast("decimal(38,0)"))).first()
+        if not more.isEmpty():
+            edges, asked, mark = state.cut(edges.union(similar_to(more))), state.cut(asked.union(more.select("doc", "at"))), None
+        elif mark == was:
+            break
+    found = now.join(decided, ["doc", "at"]).join(old.select("doc", "pid", F.col("ordinal").alias("previous_ordinal"), "stable_id", F.col("source").alias("p_source"), "trusted"), ["doc", "pid"], "left")
+    kind = F.when(F.col("how") == "hinted", "exact").when(F.col("how") == "equal", F.when(F.col("ordinal") == F.col("previous_ordinal"), "exact").otherwise("moved")).otherwise(F.col("how"))
+    reuse = F.coalesce(F.col("how").isin("hinted", "equal") & F.col("trusted") & (F.col("source") == F.col("p_source")), F.lit(False))
+    return found.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), kind.alias("kind"), "score", F.col("previous_ordinal").cast("long").alias("previous_ordinal"), "stable_id", reuse.alias("trusted_reuse"))
 
 
 def whole_documents(matches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 PIECE = 4096
 
 
-def pieces(order: str, size: int = PIECE) -> Column:
+def pieces(order: str, size: int | None = None) -> Column:
     """Pieces by the place that an integer column names; no place is one of its own, before the others."""
-    return F.floor(F.col(order) / F.lit(size))
+    return F.floor(F.col(order) / F.lit(size or PIECE))
 
 
 def totals(rows: DataFrame, keys: list[str], piece: Column, order: list[Column], sums: dict[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:

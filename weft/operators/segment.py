@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions.text import normalized
-from . import jsondoc, markdown
+from . import jsondoc, markdown, running
 
 UNITS = "path string, ordinal long, unit_id string, kind string, pointer string, source string, start long, end long, n_spans long, error string"
 
@@ -26,9 +26,9 @@ def fingerprinted(units: DataFrame) -> DataFrame:
 
 
 def with_ids(units: DataFrame) -> DataFrame:
-    """Adds the occurrence-counting id and the stable id to fingerprinted units."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("ordinal")) - 1
-    named = units.withColumn("unit_id", hashing.occurrence_id(F.col("fp"), nth))
+    """Adds the occurrence-counting id and the stable id to fingerprinted units; a text that a document repeats without end is numbered piece by piece."""
+    counted = running.numbered(units, ["doc_id", "fp"], running.pieces("ordinal"), [F.col("ordinal")], "_nth")
+    named = counted.withColumn("unit_id", hashing.occurrence_id(F.col("fp"), F.col("_nth") - 1)).drop("_nth")
     return named.withColumn("stable_id", hashing.stable_id(F.col("doc_id"), F.col("unit_id"), F.col("ordinal")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +89,17 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the folder that the cluster names; as they are where it names none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """The rows without their lineage, written to the folder that spark.checkpoint.dir names, at once.
+
+    Where no folder is named, a local session gets one of its own; on a cluster that is an error, as executors share no other folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="weft-checkpoints-"))
+    return df.checkpoint()
 
 
 def closure(edges: DataFrame, root, keep=cut) -> DataFrame:
