@@ -221,6 +221,34 @@ def test_running_totals(spark):
     assert {(r.k, r.i): r.n for r in running.numbered(spark.createDataFrame(rows, "k string, i long, v long, x long"), ["k"], running.pieces("i", 7), [F.col("i")], "n").collect() if r.k == "b"} == {("b", i): n + 1 for n, i in enumerate(i for k, i, _, _ in rows if k == "b")}
 
 
+def test_closure_of_long_and_dense_graphs(spark, monkeypatch):
+    rounds = []
+
+    def keep(df):
+        rounds.append(df)
+        return state.cut(df)
+
+    chain = spark.range(3000).select(F.col("id").cast("string").alias("parent"), (F.col("id") + 1).cast("string").alias("child"))
+    assert state.closure(chain, "5", keep).count() == 2996 and len(rounds) <= 2 * 13 + 1
+    # a cycle, and layers of which every node leads to all of the next
+    edges = [(f"{i}", f"{(i + 1) % 7}") for i in range(7)] + [(f"a{i}{j}", f"a{i + 1}{k}") for i in range(9) for j in range(5) for k in range(5)] + [("3", "a00"), (None, "x"), ("z", "y")]
+    want, front = {"2"}, {"2"}
+    while front:
+        front = {b for a, b in edges if a in front} - want
+        want |= front
+    table = spark.createDataFrame(edges, "parent string, child string")
+    assert {r.node for r in state.closure(table, "2").collect()} == want
+    monkeypatch.setattr(state, "GROWTH", 0)
+    assert {r.node for r in state.closure(table, "2").collect()} == want
+
+
+def test_reviews_use_no_budget(spark):
+    rows = [("g", 1, 0, False), ("g", 1, 1, True), ("g", 2, 0, False), ("g", 3, 0, False), ("h", 1, 0, True), ("h", 9, 0, False)]
+    df = spark.createDataFrame(rows, "lang string, doc_id long, ordinal long, trusted_reuse boolean")
+    queued = lambda reviews: {(r.lang, r.doc_id, r.ordinal) for r in planner.enqueued(df, ["lang"], ["doc_id", "ordinal"], running.pieces("doc_id", 1), 2, reviews).filter("enqueue").collect()}
+    assert queued(False) == {("g", 1, 0), ("g", 2, 0), ("h", 9, 0)} and queued(True) == queued(False) | {("g", 1, 1), ("h", 1, 0)}
+
+
 def test_reusable(spark):
     rows = [(1, 1, "old", True, False, "p", None), (1, 2, "new", False, True, "p", None), (2, 3, "", True, True, "p", None), (2, 4, "x", False, True, "q", None), (3, 5, "x", False, True, "p", "m0"), (3, 6, "y", False, True, "p", "m1")]
     df = spark.createDataFrame(rows, "unit_id long, candidate_id long, text string, trusted boolean, allowed boolean, policy string, model string")

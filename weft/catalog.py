@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, text
-from .operators import matching, protect, segment, state
+from .operators import matching, protect, running, segment, state
 from .plans import planner, report
 from .sources import discovery
 from .streaming import queue
@@ -190,6 +190,13 @@ def plan_budget(spark, sf):
     return planner.budgeted(_matched(spark, sf).filter("not trusted_reuse"), ["doc_id", "ordinal"], 40).select("doc_id", "ordinal", "kind", "scheduled")
 
 
+@query(f"""WITH {MATCHED}, p AS (SELECT lang, doc_id, ordinal, trusted_reuse, sum((NOT trusted_reuse)::INT) OVER (PARTITION BY lang ORDER BY doc_id, ordinal) AS n FROM matched JOIN documents USING (doc_id))
+SELECT lang, doc_id, ordinal, trusted_reuse, trusted_reuse OR n <= 40 AS enqueue FROM p""")
+def plan_enqueued(spark, sf):
+    plan = _matched(spark, sf).join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return planner.enqueued(plan, ["lang"], ["doc_id", "ordinal"], running.pieces("doc_id", 256), 40, True).select("lang", "doc_id", "ordinal", "trusted_reuse", "enqueue")
+
+
 @query("""WITH s AS (SELECT o_orderkey AS id, sha256(o_orderpriority) AS canonical, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE sha256(o_orderstatus) END AS materialized,
  CASE o_orderstatus WHEN 'F' THEN sha256(o_orderpriority) WHEN 'O' THEN sha256(o_orderstatus) END AS actual FROM orders)
 SELECT id, actual IS DISTINCT FROM canonical AND actual IS DISTINCT FROM materialized AS human_edit,

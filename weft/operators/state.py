@@ -102,15 +102,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Jumps are doubled as long as there are at most so many times as many of them as edges.
+GROWTH = 4
+
+
 def closure(edges: DataFrame, root, keep=cut) -> DataFrame:
-    """All that root reaches over edges(parent, child), level by level until nothing is new: as many levels as the longest path has, cycles included."""
-    seen = edges.sparkSession.createDataFrame([(root,)], "node string")
-    front = seen
+    """All that root reaches over edges(parent, child), cycles included.
+
+    Jumps of 1, 2, 4, ... edges are each made of two of the one before, and what is reached goes through them in turn, so rounds grow with the
+    logarithm of the longest path. Where nodes with many edges both ways would make too many jumps, the last length is kept and
+    repeated: what is reached so far holds every shorter distance, so no node is stepped over.
+    """
+    reached, n = edges.sparkSession.createDataFrame([(root,)], "node string"), 1
+    jumps = keep(edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child")).filter("parent is not null and child is not null").distinct())
+    most, doubling = GROWTH * jumps.count(), True
     while True:
-        front = keep(front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = keep(seen.union(front))
+        after = keep(reached.union(reached.join(jumps, reached["node"] == jumps["parent"]).select("child")).distinct())
+        m = after.count()
+        if m == n:
+            return reached
+        reached, n = after, m
+        if doubling:
+            into, out = jumps.groupBy(F.col("child").alias("via")).agg(F.count("*").alias("i")), jumps.groupBy(F.col("parent").alias("via")).agg(F.count("*").alias("o"))
+            doubling = (into.join(out, "via").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) <= most
+        if doubling:
+            jumps = keep(jumps.select("parent", F.col("child").alias("via")).join(jumps.select(F.col("parent").alias("via"), "child"), "via").select("parent", "child").distinct())
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import running
+
 RANKS = {"error": 0, "needs_human": 1, "partial": 2, "ok": 3}
 
 
@@ -18,6 +20,16 @@ def budgeted(pending: DataFrame, order: list[str], most: int) -> DataFrame:
     return pending.crossJoin(F.broadcast(edge)).withColumn("scheduled", F.coalesce(key <= F.col("edge"), F.lit(False))).drop("edge")
 
 
+def enqueued(plan: DataFrame, group: list[str], order: list[str], piece: Column, most: int, reviews: bool) -> DataFrame:
+    """Adds `enqueue` to plan(trusted_reuse, ...): the first `most` units of each group that are not reused, and, where reviews are on, every reused one, which uses up no budget.
+
+    A running count of the open units by pieces of the order (see `running.totals`), so that one group may hold all rows.
+    """
+    open_ = (~F.col("trusted_reuse")).cast("long")
+    counted = running.totals(plan, group, piece, [F.col(c) for c in order], {"nth_open": (F.sum, open_)})
+    return counted.withColumn("enqueue", F.when(F.col("trusted_reuse"), F.lit(reviews)).otherwise(F.col("nth_open") <= most)).drop("nth_open")
+
+
 def summary(plan: DataFrame, group: list[str], most: int) -> DataFrame:
     """Documents, pending within the budget, reused, conflicts and deferred of plan(doc_id, kind, trusted_reuse)."""
     waits = (~F.col("trusted_reuse")) & (F.col("kind") != "ambiguous")
