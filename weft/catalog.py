@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, text
-from .operators import matching, protect, running, segment, state
+from .operators import filesets, matching, protect, running, segment, state
 from .plans import planner, report
 from .sources import discovery
 from .streaming import queue
@@ -427,7 +427,7 @@ def verified_documents(spark, sf):
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem) SELECT l_orderkey, sha256('[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']') AS manifest FROM l GROUP BY l_orderkey""")
 def manifest_hashes(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(hashing.manifest_hash("l_linenumber", "l_partkey").alias("manifest"))
+    return filesets.manifests(t(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"])
 
 
 @query()

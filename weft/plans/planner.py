@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import running
+from ..operators.filesets import manifests
 
 RANKS = {"error": 0, "needs_human": 1, "partial": 2, "ok": 3}
 
@@ -149,8 +152,10 @@ def prompt(version: str, resources: dict[str, str]) -> Column:
 
 def project_check(documents: DataFrame, group: list[str]) -> DataFrame:
     """The check of each group's verified documents(path, content_hash): it hangs on the first path and names the hash of all."""
-    rows = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
-    return documents.groupBy(*group).agg(F.min("path").alias("path"), F.sha2(F.to_json(rows), 256).alias("manifest"))
+    hashed = manifests(documents, group, ["path", "content_hash"], ["path", "content_hash"])
+    first = documents.groupBy(*group).agg(F.min("path").alias("path"))
+    same = reduce(lambda a, b: a & b, [first[c].eqNullSafe(hashed[c]) for c in group])
+    return first.join(hashed, same).select(*[first[c] for c in group], "path", "manifest")
 
 
 def restored(desired: DataFrame, observed: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ancestors, reserved, safe_target, strip_prefix, target_path
+from ..functions.text import ancestors, reserved, safe_target, target_path
 
 FORMATS = {"md": "markdown", "markdown": "markdown", "json": "json"}
 
@@ -51,30 +52,68 @@ def glob_regex(glob: str) -> str:
 
 
 def matches(path, rule: Rule):
+    """Whether one rule takes a path; for many rules see `rule_hits`."""
     any_of = lambda globs: "|".join(f"(?:{glob_regex(g)})" for g in globs)
     inside = path.rlike(any_of(rule.include))
     return inside & ~path.rlike(any_of(rule.exclude)) if rule.exclude else inside
 
 
+def fixed_parts(glob: str) -> tuple[str, str]:
+    """The directories that a glob begins with, and the extension that it ends with; empty where it leaves them open."""
+    parts = glob.split("/")
+    wild = next((i for i, x in enumerate(parts) if re.search(r"[*?\[{]", x)), len(parts))
+    tail = re.split(r"[*?\]}\[{]", parts[-1])[-1]
+    return "/".join(parts[:wild]), tail[tail.rindex(".") :] if "." in tail else ""
+
+
+def rule_trie(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """A row for each include of each rule: (at, ending, rule, pattern, but), `at` being the directory that all its paths lie below."""
+    rows = [(*fixed_parts(g), i, glob_regex(g), "|".join(f"(?:{glob_regex(x)})" for x in r.exclude) or None) for i, r in enumerate(rules) for g in r.include]
+    return _listed(spark, rows, at=pa.string(), ending=pa.string(), _i=pa.int32(), _pattern=pa.string(), _but=pa.string())
+
+
+def _listed(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """Configuration as a local relation: Spark knows its size and sends it out only if it is small."""
+    table = pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types.values())], names=list(types))
+    return spark.createDataFrame(table)
+
+
+def rule_hits(paths: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(path, _n, _i) of those of paths(path) that rules match: how many do, and the first of them by place.
+
+    Each path meets the rules that begin with one of its directories and end as it does, by an equi-join; only those
+    patterns are tried. The plan is the same for any number of rules.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    open_or_own = F.array_distinct(F.array(F.lit(""), F.regexp_extract(name, r"(\.[^.]*)$", 1)))
+    above = F.array_distinct(F.concat(F.array(F.lit("")), ancestors(F.col("path"))))
+    met = paths.select("path").distinct().withColumn("at", F.explode(above)).withColumn("ending", F.explode(open_or_own)).join(rule_trie(paths.sparkSession, rules), ["at", "ending"])
+    fits = F.expr("path rlike _pattern") & ~F.coalesce(F.expr("path rlike _but"), F.lit(False))
+    # a rule may have several includes that match
+    seen = met.filter(fits).select("path", "_i").distinct()
+    return seen.groupBy("path").agg(F.count("*").alias("_n"), F.min("_i").alias("_i"))
+
+
 def route(files: DataFrame, rules: list[Rule], strict: bool = True) -> DataFrame:
     """files(path, ...) that a rule matches, with its name, format, relpath and template.
 
     A path that more than one rule matches is an error; so are a format that the extension denies, a path outside
     the rule's prefix, and a single-file rule that matches not exactly one. These are looked for
-    before anything else is done; with strict=False they are a column.
+    before anything else is done, by a job while the plan is made; with strict=False they are a column, and no job runs.
     """
-    hits = F.filter(F.array(*[F.when(matches(F.col("path"), r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    found = files.withColumn("_hits", hits).filter(F.size("_hits") > 0)
-    of = F.col("_hits")[0]
-    pick = lambda get: F.element_at(F.array(*[F.lit(get(r)) for r in rules]), of + 1)
-    rel = F.coalesce(*[F.when(of == i, strip_prefix(F.col("path"), r.prefix)) for i, r in enumerate(rules)], F.lit(None).cast("string"))
+    rows = [(i, r.name, r.format, r.target, r.prefix) for i, r in enumerate(rules)]
+    listed = _listed(files.sparkSession, rows, _i=pa.int32(), rule=pa.string(), format=pa.string(), template=pa.string(), _prefix=pa.string())
+    hits = rule_hits(files, rules).join(listed, "_i")
+    below = F.substr("path", F.char_length("_prefix") + 2)
+    rel = F.when(F.col("_prefix") == "", F.col("path")).when(F.startswith("path", F.concat("_prefix", F.lit("/"))), below)
+    found = files.join(hits, "path").select(*files.columns, "rule", "format", "template", "_n", rel.alias("relpath"))
     kinds = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
     error = (
-        F.when(F.size("_hits") > 1, "MULTIPLE-RULES")
+        F.when(F.col("_n") > 1, "MULTIPLE-RULES")
         .when(~F.coalesce(kinds[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))] == F.col("format"), F.lit(False)), "FORMAT")
         .when(F.col("relpath").isNull(), "OUTSIDE-PREFIX")
     )
-    out = found.withColumns({"rule": pick(lambda r: r.name), "format": pick(lambda r: r.format), "template": pick(lambda r: r.target), "relpath": rel}).withColumn("error", error).drop("_hits")
+    out = found.withColumn("error", error).drop("_n")
     if not strict:
         return out
     if bad := out.filter("error is not null").select("error", "path").head(1):
@@ -128,10 +167,8 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def rediscovered(targets_: DataFrame, rules: list[Rule]) -> DataFrame:
     """Targets that a source rule would take for documents in the next run."""
-    any_rule = matches(F.col("target"), rules[0])
-    for r in rules[1:]:
-        any_rule = any_rule | matches(F.col("target"), r)
-    return targets_.filter(any_rule)
+    hits = rule_hits(targets_.select(F.col("target").alias("path")), rules)
+    return targets_.join(hits.select(F.col("path").alias("target")), "target", "left_semi").select(*targets_.columns)
 
 
 def read_files(spark, path: str, glob: str = "*") -> DataFrame:
