@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import components, decontaminate, kit, license_scan, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 
@@ -138,6 +139,52 @@ def test_quality_languages_keep_apart(spark, monkeypatch):
     assert {r.doc_id: r for r in quality_rules.judge(docs).collect()} == one and {r.doc_id for r in quality_rules.keep(docs).collect()} == kept == {d for d, r in one.items() if r.kept}
 
 
+def _script(rng, letters, n):
+    """Words of a small invented vocabulary over some letters, the frequent ones much more so."""
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    return lambda r: " ".join(words[min(int(r.expovariate(1) * 40), 299)] for _ in range(n))
+
+
+@pytest.mark.parametrize("first, size", [(0x430, 32), (0x4E00, 600), (0x5D0, 27), (0x905, 50)])
+def test_quality_judges_other_scripts(spark, first, size):
+    """Of Cyrillic, Han, Hebrew and Devanagari: texts of a language stay; emoji, another script and letters strewn at random go."""
+    rng = random.Random(first)
+    text = _script(rng, [chr(first + i) for i in range(size)], 150)
+    greek = _script(rng, [chr(0x3B1 + i) for i in range(25)], 150)
+    rows = [(i, text(rng), "xx") for i in range(300)]
+    rows += [(400 + i, " ".join("".join(chr(0x1F600 + rng.randrange(60)) for _ in range(4)) for _ in range(150)), "xx") for i in range(5)]
+    rows += [(500 + i, greek(rng), "xx") for i in range(5)]
+    rows += [(600 + i, " ".join("".join(chr(first + rng.randrange(size)) for _ in range(4)) for _ in range(150)), "xx") for i in range(5)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 297
+    assert not any(r.kept for i, r in got.items() if i >= 400), [(i, r.entropy, r.low, r.high) for i, r in got.items() if i >= 400 and r.kept]
+
+
+def test_quality_symbols_of_all_code_points():
+    far = quality_rules.beyond()
+    sym = lambda c: int(far[ord(c) - 0x250])
+    assert len(far) == 0x110000 - 0x250 and far.max() < 31
+    assert all(sym(c) < 26 for c in "яжא語क́") and sym("Я") == 26 and sym("٣") == 27 and sym("　") == 28 and sym("。") == 29 and sym("😀") == 30
+    assert len({sym(chr(c)) for c in range(0x430, 0x450)}) > 12
+    assert list(quality_rules.codes("aя😀".encode())[-1:] % 32) == [30]
+
+
+def test_quality_labels(spark):
+    """On the labelled table: over half of the documents of quality 0 are rejected, of those of quality 1 that pass the base rules 99 % are kept."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    both = quality_rules.judge(docs).filter("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
+    kept = dict(map(tuple, both))
+    assert kept[0] <= 0.5 and kept[1] >= 0.99
+
+
+def test_quality_few_texts_have_a_wide_band(spark):
+    rng = random.Random(4)
+    one, two = prose(rng, 200), prose(rng, 90)
+    rows = [(1, one, "aa"), (2, two, "aa"), (3, one, "bb"), (4, one, "bb"), (5, two, "bb"), (6, two, "cc")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.entropy <= r.high for r in got.values())
+
+
 def test_quality_counts_all_texts(spark):
     """Where all of a language's texts are of capitals and digits, they have a model and a band, and noise falls out of it."""
     rng = random.Random(16)
