@@ -185,6 +185,16 @@ def test_quality_few_texts_have_a_wide_band(spark):
     assert all(r.entropy <= r.high for r in got.values())
 
 
+def test_quality_copies_of_one_text(spark):
+    """A text whose copies are more than half of a language stays, and so do the others."""
+    rng = random.Random(6)
+    say = _script(rng, "abcdefghijklmnopqrst", 150)
+    one = say(rng)
+    rows = [(i, say(rng), "xx") for i in range(200)] + [(1000 + i, one, "xx") for i in range(300)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[1000 + i].kept for i in range(300)) and sum(got[i].kept for i in range(200)) >= 196, [(r.entropy, r.low, r.high) for r in got.values() if not r.kept][:3]
+
+
 def test_quality_counts_all_texts(spark):
     """Where all of a language's texts are of capitals and digits, they have a model and a band, and noise falls out of it."""
     rng = random.Random(16)
