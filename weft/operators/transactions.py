@@ -401,22 +401,27 @@ def complete_discard(tables: dict[str, DataFrame], requests: DataFrame) -> Stage
 def adopt(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame) -> Staged:
     """A person's target becomes canonical: documents as of `prepare` with target_path, content, target_hash; units with target_text and context_key.
 
-    Document, units, trusted memory, canonical file and the finished work of both kinds are one commit.
+    Document, units, trusted memory, canonical file and the finished work of both kinds are one commit; a document whose policy or
+    content is refused leaves none of them.
     """
-    quiet = units.withColumn("enqueue", F.lit(None).cast("string"))
-    base = prepare(tables, documents, quiet)
-    good = documents.join(base.refused.select("repository_id", "path"), ["repository_id", "path"], "left_anti")
+    target = lambda df: df.select("repository_id", "locale", F.col("target_path").alias("path"), "source_revision", "content", F.col("target_hash").alias("content_hash"), "at")
+    unfit = persist_files(tables, target(documents)).refused.select("repository_id", "locale", F.col("path").alias("target_path"), "source_revision", F.col("content_hash").alias("target_hash"), "refusal").distinct()
+    asked = documents.join(unfit, ["repository_id", "locale", "target_path", "source_revision", "target_hash"], "left")
+    asked = asked.withColumn("refusal", F.when(~fingerprint_ok(F.col("policy")), "POLICY").otherwise(F.col("refusal")))
+    base = prepare(tables, asked.filter("refusal is null").select(*documents.columns), units.withColumn("enqueue", F.lit(None).cast("string")))
+    refused = asked.filter("refusal is not null").unionByName(base.refused).select("repository_id", "path", "refusal")
+    good = documents.join(refused.select("repository_id", "path"), ["repository_id", "path"], "left_anti")
     of = units.join(good.select("repository_id", "path", "locale", "source_revision", "policy", "at"), ["repository_id", "path"]).join(base.receipts, ["repository_id", "path", "unit_key"])
     wanted = of.select("repository_id", "unit_id", id_of(F.lit("unit_version"), F.col("unit_id"), F.col("source_revision"), F.col("source_hash")).alias("unit_version_id"), "locale", "source_hash", "source_revision", "context_key", F.col("target_text").alias("text"), F.lit("human_adopted").alias("provenance"), "policy", "at")
     memory = trust(tables, wanted)
-    kept = persist_files(tables, good.select("repository_id", "locale", F.col("target_path").alias("path"), "source_revision", "content", F.col("target_hash").alias("content_hash"), "at"))
+    kept = persist_files(tables, target(good))
     moves = kept.rows["files"].select("file_id", F.lit("adopted").alias("move"), F.col("content_hash").alias("new_hash"))
     document_id = id_of(F.lit("document"), F.col("repository_id"), F.col("path"))
     result = F.to_json(F.struct(F.lit("adopted").alias("status"), F.col("target_hash").alias("content_hash")))
     work = good.withColumn("kind", F.explode(F.array(F.lit("assembly"), F.lit("materialization")))).select("run_id", F.lit(None).cast("string").alias("unit_id"), document_id.alias("document_id"), "locale", "kind", F.col("metadata").alias("input"), "at", result.alias("said"))
     rows = enqueued(tables["work_items"], work.drop("said")).join(work.select(work_id().alias("work_item_id"), "said"), "work_item_id")
     done = changed(rows, status=F.lit("succeeded"), result=F.col("said")).select(*tables["work_items"].columns)
-    return Staged(base.rows | memory.rows | {"files": move_files(kept.rows["files"], moves), "content_versions": kept.rows["content_versions"], "work_items": done}, base.refused.select("repository_id", "path", "refusal"), kept.receipts)
+    return Staged(base.rows | memory.rows | {"files": move_files(kept.rows["files"], moves), "content_versions": kept.rows["content_versions"], "work_items": done}, refused, kept.receipts)
 
 
 # Publications
