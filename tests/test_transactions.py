@@ -1,14 +1,15 @@
-"""Business transactions and the store that commits them."""
+"""Business transactions, the tables they are written to, and streams of requests."""
 
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import state
 from weft.operators import transactions as tx
-from weft.sources.store import Store
+from weft.streaming.tables import Tables
 
 FP = hashlib.sha256(b"x").hexdigest()
 SCHEMAS = {
@@ -35,12 +36,28 @@ SCHEMAS = {
 KEYS = {"runs": ["run_id"], "documents": ["document_id"], "units": ["unit_id"], "unit_versions": ["unit_version_id"], "work_items": ["work_item_id"], "attempts": ["attempt_id"], "candidates": ["unit_id", "locale", "attempt_id"], "versions": ["version_id"], "memory": ["memory_id"], "findings": ["work_item_id", "fingerprint"], "outbox": ["outbox_id"], "files": ["file_id"], "content_versions": ["content_version_id"], "manifests": ["manifest_id"], "manifest_files": ["manifest_id", "content_version_id"], "publication_outbox": ["outbox_id"], "pull_requests": ["repository_id", "provider", "external_id"], "pr_events": ["repository_id", "provider", "external_id", "event_key"], "links": ["content_version_id", "version_id"]}
 
 
+class Steps(Tables):
+    def commit(self, batch, staged):
+        return self.write(batch, staged)
+
+    def done(self):
+        return [r.batch for r in self.batches().select("n", "batch").distinct().orderBy("n").collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("empty") / "state"
+    Tables(spark, str(path), SCHEMAS, KEYS).create()
+    return path
+
+
 @pytest.fixture
-def store(spark, tmp_path):
+def store(spark, empty, tmp_path):
     """Few rows and many plans: one partition each is enough."""
     was = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
-    yield Store(spark, str(tmp_path / "state"), SCHEMAS, KEYS)
+    shutil.copytree(empty, tmp_path / "state")
+    yield Steps(spark, str(tmp_path / "state"), SCHEMAS, KEYS)
     spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
@@ -90,10 +107,19 @@ def test_prepare_is_one_commit(spark, store, tmp_path):
     # a commit that breaks off leaves nothing
     with pytest.raises(Exception, match="boom"):
         store.commit("broken", {"runs": store.current("runs"), "units": store.current("units").withColumn("unit_key", F.raise_error(F.lit("boom")))})
-    assert [b for _, b in store.commits()] == ["begin", "prepare", "prepare 2"]
-    assert store.backup(str(tmp_path / "copy")) == 3
-    copy = Store(spark, str(tmp_path / "copy"), SCHEMAS, KEYS)
-    assert copy.current("units").exceptAll(store.current("units")).count() == 0 and copy.current("units").count() == 2
+    assert store.done() == ["begin", "prepare", "prepare 2"]
+    runs = store.current("runs").collect()
+    # the next batch takes the number of the broken one, whose rows in other tables do not count
+    assert store.commit("units again", {"units": store.current("units").withColumn("active", F.lit(False))})
+    assert store.current("runs").collect() == runs and store.versions("runs").count() == 1
+    assert [r.active for r in store.current("units").collect()] == [False, False] and store.current("units", upto=3).filter("active").count() == 2
+    copy = store.copy(str(tmp_path / "copy"))
+    assert copy.current("units").exceptAll(store.current("units")).count() == 0 and copy.current("units").count() == 2 and copy.versions("unit_versions").count() == 4
+    assert sorted(r.refusal for r in copy.versions("refused").collect()) == sorted(["POLICY", "RUN", "WORK", "RUN", "WORK"])
+    with pytest.raises(ValueError, match="without batches"):
+        store.copy(str(tmp_path / "copy"))
+    with pytest.raises(ValueError, match="unknown tables"):
+        store.commit("strange", {"others": store.current("runs")})
 
 
 ATTEMPT = "work_item_id string, dedupe_key string, agent string, provider string, model string, adapter string, prompt_version string, provider_fingerprint string, prompt_hash string, policy string, status string, response string, error string, at long, unit_id string, locale string, candidate_key string, text string, score double, provenance string"
@@ -229,6 +255,10 @@ def test_adoption(spark, store):
     text = "target"
     docs = frame(spark, f"{DOC}, target_path string, content string, target_hash string, policy string", (run, 1, "a.md", "ja", "r1", "h", "{}", 20, "ja/a.md", text, hashlib.sha256(text.encode()).hexdigest(), FP))
     units = frame(spark, "repository_id long, path string, unit_key string, ordinal int, source_text string, source_hash string, context string, target_text string, context_key string", (1, "a.md", "u1", 0, "Hello", "h1", "{}", "Konnichiwa", "k"))
+    # neither other bytes than the hash says nor a policy that is none leave anything
+    for bad, why in (("target_hash", "HASH"), ("policy", "POLICY")):
+        staged = tx.adopt(store.tables(), docs.withColumn(bad, F.lit("x")), units)
+        assert [(r.path, r.refusal) for r in staged.refused.collect()] == [("a.md", why)] and all(df.isEmpty() for df in staged.rows.values())
     store.commit("adopt", tx.adopt(store.tables(), docs, units))
     f = store.current("files").first()
     assert (f.state, f.provenance, f.trust_tier, f.materialized_hash) == ("adopted", "human", "trusted", f.content_hash)
@@ -293,3 +323,49 @@ def test_idle_check(spark):
 def test_ids_tell_parts_apart(spark):
     ids = spark.range(1).select(tx.id_of(F.lit("a"), F.lit("bc")).alias("x"), tx.id_of(F.lit("ab"), F.lit("c")).alias("y"), tx.id_of(F.lit(""), F.lit(None).cast("string")).alias("z"), tx.id_of(F.lit(None).cast("string"), F.lit("")).alias("w")).first()
     assert len(set(ids)) == 4 and state.duplicates is not None
+
+
+PULL = "repository_id long, provider string, external_id string, head_revision string, state string, event_key string, at long"
+
+
+def pulls(n):
+    """Batches of events; the third brings an event of the second again."""
+    rows = [[(1, "g", str(k % 3), "c", "open" if i == 0 else "merged", f"e{i}.{k}", 10 * i + k) for k in range(5)] for i in range(n)]
+    rows[2].append(rows[1][0])
+    return rows
+
+
+def test_a_stream_takes_each_request_once(spark, store, tmp_path):
+    source, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
+    source.mkdir()
+    for i, rows in enumerate(pulls(3)):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip([f.split()[0] for f in PULL.split(", ")], r, strict=True))) for r in rows))
+        if i == 1:
+            continue  # two files wait for the next start
+        stream = spark.readStream.schema(PULL).option("maxFilesPerTrigger", "1").json(str(source))
+        store.follow(stream, tx.record_pulls, checkpoint).awaitTermination()
+    assert store.batches().filter("source <> ''").select("batch").distinct().count() == 3
+    want = {f"e{i}.{k}" for i in range(3) for k in range(5)}
+    events = store.versions("pr_events").collect()
+    assert len(events) == 15 and {r.event_key for r in events} == want
+    assert {r.external_id: r.state for r in store.current("pull_requests").collect()} == {"0": "merged", "1": "merged", "2": "merged"}
+    assert sorted(r.from_state or "" for r in events if r.to_state == "open") == ["", "", "", "open", "open"]
+
+
+def test_a_stream_goes_on_after_a_failure(spark, store, tmp_path):
+    """A batch that breaks off between its tables, and one that counted though Spark did not get to note it."""
+    source, checkpoint = tmp_path / "in", tmp_path / "checkpoint"
+    spark.createDataFrame(pulls(3)[0], PULL).coalesce(1).write.json(str(source))
+    stream = spark.readStream.schema(PULL).json(str(source))
+    broken = lambda tables, asked: tx.record_pulls(tables, asked) | {"runs": tables["runs"].limit(0).union(spark.range(1).select(F.raise_error(F.lit("boom")), *[F.lit(None)] * 8))}
+    whole = lambda tables, asked: tx.record_pulls(tables, asked)
+    with pytest.raises(Exception, match="boom"):
+        store.follow(stream, broken, str(checkpoint)).awaitTermination()
+    assert store.done() == [] and store.current("pr_events").isEmpty()
+    store.follow(stream, whole, str(checkpoint)).awaitTermination()
+    assert store.versions("pr_events").count() == 5
+    before = sorted(map(str, store.versions("pull_requests").collect()))
+    for f in (checkpoint / "commits").iterdir():  # as if the driver had died before Spark noted the batch
+        f.unlink()
+    store.follow(stream, whole, str(checkpoint)).awaitTermination()
+    assert sorted(map(str, store.versions("pull_requests").collect())) == before and store.versions("pr_events").count() == 5 and len(store.done()) == 1

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .catalog import query, t
 from .catalog_state import FP, VERSIONS, none
+from .operators import state
 from .operators import transactions as tx
+from .streaming.tables import Tables
 
 WORK = "work_item_id string, run_id string, unit_id string, document_id string, locale string, kind string, input string, status string, result string, created_at long"
 MEMORY = "memory_id string, repository_id long, unit_id string, version_id string, locale string, source_hash string, source_revision string, context_key string, text string, tier string, provenance string, policy string, at long, superseded_at long"
@@ -25,7 +27,8 @@ def staged_rows(staged: tx.Staged, *refused: str) -> DataFrame:
     """All that is staged as (table, entry): an entry is its row's values in the order of the table; of refused requests the given columns."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     told = [df.select(F.lit(name).alias("table"), F.concat_ws("|", *[value(c) for c in df.columns]).alias("entry")) for name, df in staged.rows.items()]
-    told.append(staged.refused.select(F.lit("refused").alias("table"), F.concat_ws("|", *[value(c) for c in (*refused, "refusal")]).alias("entry")))
+    if staged.refused is not None:
+        told.append(staged.refused.select(F.lit("refused").alias("table"), F.concat_ws("|", *[value(c) for c in (*refused, "refusal")]).alias("entry")))
     return reduce(DataFrame.union, told)
 
 
@@ -221,3 +224,25 @@ def txn_promote(spark, sf):
     tier = F.when(F.col("o_orderstatus") == "F", "trusted").otherwise("candidate")
     tables["memory"] = table(o, MEMORY, memory_id=led("m", "o_orderkey"), unit_id=led("u", "o_custkey"), version_id=led("v", "o_orderkey"), source_hash=led("h", "o_custkey"), context_key=F.lit(""), text=led("t", "o_orderkey"), tier=tier, provenance=F.lit("model"), policy=F.lit(FP), superseded_at=F.when(F.col("o_orderstatus") == "P", 1))
     return staged_rows(tx.promote(tables, c.filter("c_acctbal > 0").select("repository_id", "locale", "commit", "at")), "commit")
+
+
+PULLS = "repository_id long, provider string, external_id string, head_revision string, state string, at long"
+PULL_EVENTS = "repository_id long, provider string, external_id string, event_key string, from_state string, to_state string, at long"
+
+
+@query(f"""WITH v AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events)
+{_rows("pr_events", "v", "1", "'g'", "user_id", "'e' || event_id", "was", "event_type", "event_id")} UNION ALL {_rows("pull_requests", "v WHERE nth = 1", "1", "'g'", "user_id", "'c' || event_id", "event_type", "event_id")}""")
+def stream_pull_requests(spark, sf):
+    """Events as a stream of pull requests' states into tables; the stream is then started again, which must change nothing."""
+    path = state.shared_folder(spark, "pulls")
+    key = ["repository_id", "provider", "external_id"]
+    held = Tables(spark, f"{path}/state", {"pull_requests": PULLS, "pr_events": PULL_EVENTS}, {"pull_requests": key, "pr_events": [*key, "event_key"]}).create()
+    events = t(spark, sf, "events")
+    # a stream takes a single file only where its path is a pattern
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
+    n = F.col("event_id")
+    asked = stream.select(F.lit(1).cast("long").alias("repository_id"), F.lit("g").alias("provider"), F.col("user_id").cast("string").alias("external_id"), F.concat(F.lit("c"), n.cast("string")).alias("head_revision"), F.col("event_type").alias("state"), F.concat(F.lit("e"), n.cast("string")).alias("event_key"), n.alias("at"))
+    for _ in range(2):
+        held.follow(asked, tx.record_pulls, f"{path}/checkpoint").awaitTermination()
+    rows = {"pr_events": held.versions("pr_events").drop("n"), "pull_requests": held.current("pull_requests").select(*[f.split()[0] for f in PULLS.split(", ")])}
+    return staged_rows(tx.Staged(rows))

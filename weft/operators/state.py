@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # How far a publication has come, for the strongest state and for moves that only go forward.
@@ -88,17 +89,27 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, written to the folder that spark.checkpoint.dir names, at once.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
-    Where no folder is named, a local session gets one of its own; on a cluster that is an error, as executors share no other folder.
+    Where none is named, a local session gets one of its own; on a cluster that is an error, as executors share no other folder.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return base or tempfile.mkdtemp(prefix="weft-checkpoints-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder there, for what is kept between jobs."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, written to the checkpoint folder at once."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="weft-checkpoints-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
