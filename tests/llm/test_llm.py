@@ -444,7 +444,8 @@ def test_license_cosines_against_plain_ones(spark):
     df = Counter(w for t in texts for w in set(bag(t)))
     idf = lambda w: math.log((1 + len(texts)) / (1 + (df[w] if w in known else 0))) + 1
     size = lambda b: math.sqrt(sum((n * idf(w)) ** 2 for w, n in b.items()))
-    cos = lambda a, b: sum(n * b[w] * idf(w) ** 2 for w, n in a.items()) / (size(a) * size(b)) if a else 0.0
+    tag = lower(license_scan.TAG.strip(marks))
+    cos = lambda a, b: sum(n * b[w] * idf(w) ** 2 for w, n in a.items()) / (size(a) * size(b)) if a and (tag not in b or set(b) <= {tag, *a}) else 0.0
     for i, t in enumerate(texts):
         spans = lambda by: [bag(x) for x in re.split(by, t or "")]
         best = max(cos(bag(t), b) for b in bags)
@@ -453,7 +454,22 @@ def test_license_cosines_against_plain_ones(spark):
         else:
             want = max(cos(x, b) for x in [*spans("\n"), *spans(r"\n[ \t\r\f\v]*\n\s*")] for b, (_, _, full) in zip(bags, given, strict=True) if not full)
             want = want if want >= license_scan.THRESHOLD else 0.0
-        assert abs(got[i].own_score - want) < 1e-9 and got[i].own_file == whole, (i, t, want, got[i])
+        assert abs(got[i].own_score - want) < 1e-9 and got[i].own_whole == whole, (i, t, want, got[i])
+
+
+def test_license_files_and_identifiers(spark):
+    """A header alone does not speak for its directory, versions of a header are told apart, and only a listed identifier is one."""
+    rng = random.Random(10)
+    given = {n: t for n, t, full in license_scan.templates() if not full and not t.startswith(license_scan.TAG)}
+    gpl2, gpl3 = given["GPL-2.0-or-later"], given["GPL-3.0-or-later"]
+    rows = [(1, "x/w.py", gpl2), (2, "x/z.py", prose(rng, 60)), (3, "x/LICENSE", "see elsewhere"), (4, "y/COPYING.txt", gpl3), (5, "y/a/z.py", prose(rng, 60)), (6, "y/license_scan.py", given["CC0-1.0"])]
+    rows += [(7, "s/a.py", f"# {license_scan.TAG} GPL-2.0-or-later\n{prose(rng, 50)}"), (8, "s/b.py", f"// {license_scan.TAG} MIT\n{prose(rng, 50)}"), (9, "s/c.py", f"{license_scan.TAG} EUPL-1.2\n{prose(rng, 50)}"), (10, "s/d.py", license_scan.TAG), (11, "s/e.py", prose(rng, 50))]
+    rows += [(12, "t/LICENSE-MIT", given["MIT"]), (13, "t/b", None), (14, None, given["MIT"])]
+    rows += [(100 + i, f"u/{i}", "mit " + prose(rng, 5)) for i in range(60)]  # a frequent word, which alone must not make another identifier one
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i].own for i in range(1, 15)] == ["GPL-2.0-or-later", None, None, "GPL-3.0-or-later", None, "CC0-1.0", "GPL-2.0-or-later", "MIT", None, None, None, "MIT", None, "MIT"]
+    assert [i for i in sorted(got) if got[i].own_file] == [4, 12] and got[1].own_whole and got[14].own_whole
+    assert [got[i].license for i in (2, 3, 5, 11, 13)] == [None, None, "GPL-3.0-or-later", None, "MIT"] and got[5].from_dir == "y"
 
 
 def test_token_rollup(spark, docs, rows):

@@ -7,8 +7,10 @@ templates' words are counted over all texts, and a word of no template weighs as
 templates are a few constants, so what is broadcast is bounded. A first pass over hashed words gives every span
 an upper bound of its cosine from prefix sums; only spans that reach the threshold are scored exactly. What the
 whole text says comes before what a line or paragraph says: a licence text that contains another's notice, or reserves
-rights, is still its own licence. A text that as a whole matches is a licence file and speaks for its
-directory. A document without a licence of its own takes
+rights, is still its own licence. A text that as a whole is a full licence text is a licence file and speaks for its
+directory; one that as a whole is a notice is one only where its file is named as licence files are, so that a source file of a
+header alone speaks for itself. A line that names its licence by an SPDX identifier is a notice like the others, but matches only with
+that very identifier. A document without a licence of its own takes
 that of the nearest directory at or above its own which has a licence file: directories, not documents, are
 exploded to their ancestors and joined by path, and the documents then join their directory's row.
 
@@ -48,10 +50,22 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
 ]
+# Identifiers that a line may name after TAG.
+TAG = "SPDX-License-Identifier:"
+IDENTIFIERS = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
+TEMPLATES += [(i, f"{TAG} {i}") for i in IDENTIFIERS]
+# names of licence files
+NAMES = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright|notice)([-_][a-z0-9+-]+(\.[0-9]+)*)?(\.(md|txt|rst|html|lesser))?$"
 PUNCT = np.zeros(256, bool)
 PUNCT[list(b".,;:!?()[]{}\"'`*#/|-_<>")] = True
-SCHEMA = "doc_id long, path string, own string, own_score double, own_file boolean"
+SCHEMA = "doc_id long, path string, own string, own_score double, own_whole boolean, own_full boolean"
 
 
 TEXTS = Path(__file__).with_name("licenses")
@@ -83,6 +97,7 @@ class Model:
     unknown: float
     weights: np.ndarray  # by word and template: idf squared times frequency, over the template's norm
     threshold: float
+    tag: np.ndarray  # by template: the hash of the identifier that an SPDX line has to name, or 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place in the vocabulary of each word, or its length."""
@@ -92,7 +107,8 @@ class Model:
     def cosine(self, h: np.ndarray, place: np.ndarray) -> np.ndarray:
         counts = Counter(h.tolist())
         idf = dict(zip(h.tolist(), np.append(self.idf, self.unknown)[place].tolist(), strict=True))
-        return self.weights[place[place < len(self.idf)]].sum(axis=0) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
+        cos = self.weights[place[place < len(self.idf)]].sum(axis=0) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
+        return np.where((self.tag == 0) | np.isin(self.tag, h), cos, -1.0)
 
     def best(self, s: Slice) -> list[tuple[int, float, bool]]:
         """(template or -1, score, whether the whole text matches) for each text."""
@@ -169,14 +185,15 @@ def train(docs: DataFrame, threshold: float = THRESHOLD, folder: Path | str = TE
     for t, h in enumerate(by_template):
         at, tf = np.unique(np.searchsorted(vocabulary, h), return_counts=True)
         weights[at, t] = idf[at] ** 2 * tf / math.sqrt(((idf[at] * tf) ** 2).sum())
-    return Model([n for n, _, _ in given], np.array([f for _, _, f in given]), vocabulary, idf, math.log(1 + total) + 1, weights, threshold)
+    tag = np.array([h[-1] if text.startswith(TAG) else 0 for h, (_, text, _) in zip(by_template, given, strict=True)], np.uint64)
+    return Model([n for n, _, _ in given], np.array([f for _, _, f in given]), vocabulary, idf, math.log(1 + total) + 1, weights, threshold, tag)
 
 
 def _scan(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             best = held.value.best(s)
-            yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), s.batch.column("path"), pa.array([held.value.names[t] if t >= 0 else None for t, _, _ in best], pa.string()), pa.array([x for _, x, _ in best], pa.float64()), pa.array([w for _, _, w in best])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([s.batch.column("doc_id"), s.batch.column("path"), pa.array([held.value.names[t] if t >= 0 else None for t, _, _ in best], pa.string()), pa.array([x for _, x, _ in best], pa.float64()), pa.array([w for _, _, w in best]), pa.array([w and bool(held.value.full[t]) for t, _, w in best])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
@@ -187,7 +204,8 @@ def scan(docs: DataFrame, scratch: Scratch | None = None, threshold: float = THR
     held = docs.sparkSession.sparkContext.broadcast(train(docs, threshold, folder))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     dir_ = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    found = scratch.keep(rows.mapInArrow(_scan(held), SCHEMA).withColumn("dir", dir_))
+    named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    found = scratch.keep(rows.mapInArrow(_scan(held), SCHEMA).withColumn("own_file", F.col("own_full") | (F.col("own_whole") & named)).withColumn("dir", dir_))
     files = found.filter("own_file and path is not null").groupBy(F.col("dir").alias("of")).agg(F.min_by("own", F.struct(-F.col("own_score"), F.col("path"))).alias("license"))
     # every directory once, exploded to itself and those above it
     steps = F.split("dir", "/")
@@ -196,7 +214,7 @@ def scan(docs: DataFrame, scratch: Scratch | None = None, threshold: float = THR
     out = found.join(nearest, "dir", "left")
     inherited = F.col("own").isNull() & F.col("path").isNotNull()
     return out.select(
-        "doc_id", "path", "own", "own_score", "own_file",
+        "doc_id", "path", "own", "own_score", "own_whole", "own_file",
         F.coalesce("own", F.when(inherited, F.col("got.license"))).alias("license"),
         F.when(F.col("own").isNotNull(), "own").when(inherited & F.col("got.license").isNotNull(), "inherited").alias("origin"),
         F.when(inherited, F.col("got.of")).alias("from_dir"),
