@@ -1,6 +1,8 @@
 """Business transactions, the tables they are written to, and streams of requests."""
 
+import contextlib
 import hashlib
+import io
 import json
 import shutil
 
@@ -266,6 +268,25 @@ def test_adoption(spark, store):
     assert sorted((r.kind, r.status) for r in store.current("work_items").collect()) == [("assembly", "succeeded"), ("materialization", "succeeded")]
 
 
+def test_adoption_shuffles_no_text_for_each_table(spark, store):
+    """Every table with texts is read from one kept table; a unit or request that is listed twice is trusted once."""
+    run = begun(spark, store)
+    text = "target"
+    doc = (run, 1, "a.md", "ja", "r1", "h", "{}", 20, "ja/a.md", text, hashlib.sha256(text.encode()).hexdigest(), FP)
+    docs = frame(spark, f"{DOC}, target_path string, content string, target_hash string, policy string", doc)
+    unit = "repository_id long, path string, unit_key string, ordinal int, source_text string, source_hash string, context string, target_text string, context_key string"
+    rows = [(1, "a.md", f"u{i}", i, "Hello", "h1", "{}", "t1", "k") for i in (0, 1, 1)] + [(1, "a.md", "u2", 2, "World", "h2", "{}", "t2", None)]
+    staged = tx.adopt(store.tables(), docs, frame(spark, unit, *rows))
+    for name in ("units", "unit_versions", "files", "content_versions"):
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said):
+            staged.rows[name].explain()
+        assert "Exchange" not in said.getvalue(), name
+    assert sorted(r.text for r in staged.rows["versions"].collect()) == sorted(r.text for r in staged.rows["memory"].collect()) == ["t1", "t2"]
+    twice = tx.adopt(store.tables(), docs.union(docs), frame(spark, unit, *rows))
+    assert [r.content for r in twice.rows["files"].collect()] == [text] and twice.rows["memory"].count() == 2
+
+
 def test_verification_work(spark, store):
     run = begun(spark, store)
     staged = tx.begin_verification(store.tables(), frame(spark, "run_id string, document_id string, locale string, kind string, input string, at long", (run, "d1", "ja", "assembly", "{}", 20), (run, "d2", "ja", "assembly", "{}", 20), (run, "d1", "ja", "pipeline", "{}", 20)))

@@ -63,7 +63,7 @@ def _documents(spark, sf) -> DataFrame:
     labels = t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("known", F.lit(True))
     path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return t(spark, sf, "documents").join(labels, "doc_id", "left").select(
-        "doc_id", "lang", "text", "quality", "toxic", "known", F.concat(F.lit("run-"), "lang").alias("run_id"), F.lit(1).cast("long").alias("repository_id"), path.alias("path"), F.lit("ja").alias("locale"), F.lit("r2").alias("source_revision"),
+        "doc_id", "lang", "text", "n_chars", "quality", "toxic", "known", F.concat(F.lit("run-"), "lang").alias("run_id"), F.lit(1).cast("long").alias("repository_id"), path.alias("path"), F.lit("ja").alias("locale"), F.lit("r2").alias("source_revision"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.when(F.col("n_chars") > 20000, "{").otherwise("{}").alias("metadata"), F.col("doc_id").alias("at"), tx.id_of(F.lit("document"), F.lit(1), path).alias("document_id"),
     )
 
@@ -132,7 +132,7 @@ def txn_adopt(spark, sf):
     docs = _documents(spark, sf)
     lines = _lines(docs)
     target = F.concat(F.coalesce("text", F.lit("")), F.lit("!"))
-    asked = docs.join(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select(
+    asked = docs.select(
         "run_id", "repository_id", "path", "locale", "source_revision", "content_hash", "metadata", "at", F.concat(F.lit("ja/"), "path").alias("target_path"), target.alias("content"),
         F.when(F.col("toxic") == 1, "bad").otherwise(F.sha2(target, 256)).alias("target_hash"), F.when(F.col("n_chars") < 40, "none").otherwise(FP).alias("policy"),
     )

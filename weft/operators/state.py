@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -113,6 +114,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The rows as a table of Parquet in the checkpoint folder, written at once: for what several plans read some columns of."""
+    path = shared_folder(df.sparkSession, "kept")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    # the shuffle files of the plan go when it is garbage; the scheduler holds on to the last one until another has run
+    gc.collect()
+    df.sparkSession.range(0, 1, 1, 1).collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 # Jumps are doubled as long as there are at most so many times as many of them as edges.
 GROWTH = 4
 

@@ -12,6 +12,7 @@ hashes of the natural keys, so a batch that is brought again stages the same row
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from . import state
 from ..plans.reads import fingerprint_ok, json_ok
 
 DONE = "superseded by newer canonical content"
+TRUSTED_PLACE = ["repository_id", "locale", "source_hash", "context_key"]
 IDENTITY = ["agent", "provider", "model", "adapter", "prompt_version"]
 
 
@@ -36,6 +38,12 @@ def id_of(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*led), 256), 1, 16)
 
 
+def digest_of(*parts: Column) -> Column:
+    """128 bits of the parts, told apart as in `id_of`."""
+    led = [F.coalesce(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.unhex(F.substring(F.sha2(F.concat(*led), 256), 1, 32))
+
+
 def guarded(requests: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Requests that keep all rules, and the others with the first one they break; a rule that is null is broken."""
     first = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()], F.lit(None).cast("string"))
@@ -176,19 +184,31 @@ def trust(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
     """Trusted memory from requests(repository_id, unit_id, unit_version_id, locale, source_hash, source_revision, context_key, text, provenance, policy, at): a
     text that is trusted already stays, another becomes history and is followed by the new one with a version of its own."""
     versions, memory = tables["versions"], tables["memory"]
-    place = ["repository_id", "locale", "source_hash", "context_key"]
+    place = TRUSTED_PLACE
     good, refused = guarded(requests, {"UNIT": F.col("unit_version_id").isNotNull(), "POLICY": fingerprint_ok(F.col("policy"))})
     good = _newest(good, place)
     held = memory.filter("tier = 'trusted' and superseded_at is null")
     new = good.join(held.select(*place, "text"), [*place, "text"], "left_anti")
     old = held.join(new.select(*place, F.col("at").alias("new_at")), place)
+    made = trusted_rows(tables, new)
+    return Staged({"versions": made["versions"], "memory": _history(old, memory).unionByName(made["memory"])}, refused)
+
+
+def _history(old: DataFrame, memory: DataFrame) -> DataFrame:
+    """Entries that others follow at `new_at`."""
+    return changed(old, tier=F.lit("history"), superseded_at=F.col("new_at")).select(*memory.columns)
+
+
+def trusted_rows(tables: dict[str, DataFrame], new: DataFrame) -> dict[str, DataFrame]:
+    """The versions and entries of memory that newly trusted texts make."""
+    versions, memory = tables["versions"], tables["memory"]
+    place = [F.col(c) for c in TRUSTED_PLACE]
     values = {
-        "version_id": id_of(F.lit("trusted"), *[F.col(c) for c in place], F.col("text"), F.col("at")), "memory_id": id_of(F.lit("memory"), F.lit("trusted"), *[F.col(c) for c in place], F.col("at")), "tier": F.lit("trusted"),
+        "version_id": id_of(F.lit("trusted"), *place, F.col("text"), F.col("at")), "memory_id": id_of(F.lit("memory"), F.lit("trusted"), *place, F.col("at")), "tier": F.lit("trusted"),
         "validation": F.lit("passed"), "review": F.lit("approved"), "publication": F.lit("candidate"), "superseded_at": F.lit(None).cast("long"), "attempt_id": F.lit(None).cast("string"),
     }
     made = new.select(*[(F.lit("trusted_tm") if c == "provenance" else values.get(c, F.col(c) if c in new.columns else F.lit(None))).alias(c) for c in versions.columns])
-    entries = new.select(*[values.get(c, F.col(c)).alias(c) for c in memory.columns])
-    return Staged({"versions": made, "memory": changed(old, tier=F.lit("history"), superseded_at=F.col("new_at")).select(*memory.columns).unionByName(entries)}, refused)
+    return {"versions": made, "memory": new.select(*[values.get(c, F.col(c)).alias(c) for c in memory.columns])}
 
 
 # Documents and work
@@ -205,24 +225,88 @@ def prepare(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame
     ordinal, source_text, source_hash, context, enqueue (the work's input, or null). A request whose unit has work
     for another revision, path or unit is refused as a whole.
     """
+    good, refused = _prepared(tables, documents, units)
+    facts = _unit_facts(tables, good, units)
+    rows, of = _staged_units(tables, good, _with_texts(units, facts))
+    work = of.filter("enqueue is not null").select("run_id", "unit_id", F.lit(None).cast("string").alias("document_id"), "locale", F.lit("pipeline").alias("kind"), F.col("enqueue").alias("input"), "at")
+    return Staged(rows | {"work_items": enqueued(tables["work_items"], work)}, refused.select(*documents.columns, "refusal"), of.select("repository_id", "path", "unit_key", "unit_id", "document_id"))
+
+
+def _prepared(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that may come in, with their document's id, and the others; kept, as both are read again. Of units nothing but what their work names is shuffled."""
     place = ["repository_id", "path"]
     asked = of_run(documents, tables["runs"])
-    named = lambda c: F.get_json_object("enqueue", f"$.{c}")
-    strange = units.join(documents.select(*place, "source_revision"), place).filter(F.col("enqueue").isNotNull() & ~F.coalesce((named("source_revision") == F.col("source_revision")) & (named("path") == F.col("path")) & (named("unit") == F.col("unit_key")), F.lit(False)))
-    asked = asked.join(strange.select(*place).distinct().withColumn("odd", F.lit(True)), place, "left")
-    good, refused = guarded(asked, {"RUN": F.col("run_ok"), "METADATA": json_ok(F.col("metadata")), "WORK": F.col("odd").isNull()})
-    good = good.withColumn("document_id", id_of(F.lit("document"), F.col("repository_id"), F.col("path")))
-    old = tables["documents"]
-    none = F.lit(None).cast("long")
+    if "enqueue" in units.columns:
+        named = lambda c: F.get_json_object("enqueue", f"$.{c}")
+        fits = F.coalesce((named("path") == F.col("path")) & (named("unit") == F.col("unit_key")), F.lit(False))
+        said = units.filter("enqueue is not null").select(*place, F.when(fits, named("source_revision")).alias("said")).distinct()
+        strange = said.join(documents.select(*place, "source_revision"), place).filter(~F.coalesce(F.col("said") == F.col("source_revision"), F.lit(False)))
+        asked = asked.join(strange.select(*place).distinct().withColumn("odd", F.lit(True)), place, "left")
+    else:
+        asked = asked.withColumn("odd", F.lit(None).cast("boolean"))
+    rules = {"RUN": F.col("run_ok"), "METADATA": json_ok(F.col("metadata")), "WORK": F.col("odd").isNull()}
+    both = [df.select(*documents.columns, r.alias("refusal")) for df, r in zip(guarded(asked, rules), (F.lit(None).cast("string"), F.col("refusal")), strict=True)]
+    both = state.keep(both[0].union(both[1]).withColumn("document_id", _document_id()))
+    return both.filter("refusal is null").drop("refusal"), both.filter("refusal is not null").drop("document_id")
+
+
+def _document_id() -> Column:
+    return id_of(F.lit("document"), F.col("repository_id"), F.col("path"))
+
+
+def _unit_id() -> Column:
+    return id_of(F.lit("unit"), _document_id(), F.col("unit_key"))
+
+
+def _version_id() -> Column:
+    return id_of(F.lit("unit_version"), F.col("unit_id"), F.col("source_revision"), F.col("source_hash"))
+
+
+def _spot() -> Column:
+    return digest_of(*[F.col(c) for c in TRUSTED_PLACE])
+
+
+def _whole(columns: list[str]) -> Column:
+    """Whether none is null: such rows equal no others in a join."""
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+
+
+def _unit_key(units: DataFrame) -> Column:
+    """Tells units apart by all that facts are about."""
+    return digest_of(*[F.col(c) for c in ("repository_id", "path", "unit_key", "source_hash", "context_key", "target_text") if c in units.columns])
+
+
+def _unit_facts(tables: dict[str, DataFrame], good: DataFrame, units: DataFrame) -> DataFrame:
+    """What is known of each unit of a good request, by `key`, without its texts: ids, when it came in first (`was`), whether its version is there (`seen`)."""
+    place, of_request = ["repository_id", "path"], [c for c in ("run_id", "locale", "source_revision", "policy", "at") if c in good.columns]
+    target = [digest_of(F.col("target_text")).alias("target")] if "target_text" in units.columns else []
+    slim = units.select(*place, _unit_key(units).alias("key"), "source_hash", *[c for c in ("context_key",) if c in units.columns], *target, _unit_id().alias("unit_id"))
+    of = slim.join(good.select(*place, *of_request), place).withColumn("unit_version_id", _version_id())
+    if target:
+        of = of.withColumns({"spot": _spot(), "whole": _whole(TRUSTED_PLACE), "fact": digest_of(F.hex("key"), *[F.col(c) for c in of_request])})
+    of = of.drop("repository_id", "path", "source_hash", "context_key")
+    of = of.groupBy(*of.columns).agg((F.count("*") > 1).alias("twice"))
+    known = of.join(tables["units"].select("unit_id", F.col("created_at").alias("was")), "unit_id", "left")
+    there = tables["unit_versions"].select("unit_version_id").distinct().withColumn("seen", F.lit(True))
+    return state.keep(known.join(there, "unit_version_id", "left"))
+
+
+def _with_texts(units: DataFrame, facts: DataFrame) -> DataFrame:
+    """Units with their facts; kept, for each table is made of it and a text is to be shuffled once."""
+    of = units.withColumn("key", _unit_key(units)).join(facts.drop("unit_id"), "key").drop("key")
+    # what is not trusted anew needs no target
+    return state.keep(of.withColumn("target_text", F.when(F.col("won"), F.col("target_text"))) if "won" in facts.columns else of)
+
+
+def _staged_units(tables: dict[str, DataFrame], good: DataFrame, texts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Rows of documents, units and unit_versions, and the units with their ids."""
+    old, none = tables["documents"], F.lit(None).cast("long")
     first = good.join(old.select("document_id", F.col("created_at").alias("was")), "document_id", "left")
     doc_rows = first.select(*[{"created_at": F.coalesce("was", "at"), "deleted_at": none}.get(c, F.col(c)).alias(c) for c in old.columns])
-    of = units.join(good.select(*place, "document_id", "source_revision", "run_id", "locale", "at"), place).withColumn("unit_id", id_of(F.lit("unit"), F.col("document_id"), F.col("unit_key")))
-    seen = of.join(tables["units"].select("unit_id", F.col("created_at").alias("was")), "unit_id", "left")
-    unit_rows = seen.select(*[{"created_at": F.coalesce("was", "at"), "active": F.lit(True)}.get(c, F.col(c)).alias(c) for c in tables["units"].columns])
-    versions = of.withColumn("unit_version_id", id_of(F.lit("unit_version"), F.col("unit_id"), F.col("source_revision"), F.col("source_hash")))
-    version_rows = versions.select(*tables["unit_versions"].columns).join(tables["unit_versions"].select("unit_version_id"), "unit_version_id", "left_anti").select(*tables["unit_versions"].columns)
-    work = of.filter("enqueue is not null").select("run_id", "unit_id", F.lit(None).cast("string").alias("document_id"), "locale", F.lit("pipeline").alias("kind"), F.col("enqueue").alias("input"), "at")
-    return Staged({"documents": doc_rows, "units": unit_rows, "unit_versions": version_rows, "work_items": enqueued(tables["work_items"], work)}, refused.select(*documents.columns, "refusal"), of.select(*place, "unit_key", "unit_id", "document_id"))
+    of = texts.withColumns({"document_id": _document_id(), "unit_id": _unit_id()})
+    unit_rows = of.select(*[{"created_at": F.coalesce("was", "at"), "active": F.lit(True)}.get(c, F.col(c)).alias(c) for c in tables["units"].columns])
+    version_rows = of.filter("seen is null").select(*tables["unit_versions"].columns)
+    return {"documents": doc_rows, "units": unit_rows, "unit_versions": version_rows}, of
 
 
 def work_id() -> Column:
@@ -326,20 +410,25 @@ FILES = "file_id string, repository_id long, locale string, path string, content
 
 def move_files(files: DataFrame, moves: DataFrame) -> DataFrame:
     """Files of moves(file_id, move, new_hash) as they are after it; the first three moves also note what was seen in the tree."""
-    both = files.join(moves, "file_id")
+    return _moved(files.join(moves, "file_id")).select(*files.columns)
+
+
+def _moved(both: DataFrame) -> DataFrame:
     out = {c: F.coalesce(*[F.when(F.col("move") == m, F.lit(v[c])) for m, v in FILE_MOVES.items() if c in v], F.col(c)) for c in {c for v in FILE_MOVES.values() for c in v}}
     out["materialized_hash"] = F.when(F.col("move").isin("materialized", "human_edit", "adopted"), F.col("new_hash")).otherwise(F.col("materialized_hash"))
-    return changed(both, **out).select(*files.columns)
+    return changed(both, **out)
 
 
-def persist_files(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
+def persist_files(tables: dict[str, DataFrame], requests: DataFrame, hashed: bool = False) -> Staged:
     """Canonical contents, requests(repository_id, locale, path, source_revision, content, content_hash, at); content_versions(content_version_id,
-    file_id, source_revision, content_hash, content) are immutable: other bytes under a hash that is there are refused."""
+    file_id, source_revision, content_hash, content) are immutable: other bytes under a hash that is there are refused. With `hashed`, requests and
+    rows have their content's SHA-256 in its place, so that contents are not shuffled."""
+    told = (lambda c: c) if hashed else (lambda c: F.sha2(c, 256))
     files, versions = tables["files"], tables["content_versions"]
     named = _newest(requests, ["repository_id", "locale", "path"]).withColumn("file_id", id_of(F.lit("file"), F.col("repository_id"), F.col("locale"), F.col("path")))
     named = named.withColumn("content_version_id", id_of(F.lit("content"), F.col("file_id"), F.col("source_revision"), F.col("content_hash")))
-    asked = named.join(versions.select("content_version_id", F.col("content").alias("stored")), "content_version_id", "left")
-    good, refused = guarded(asked, {"HASH": fingerprint_ok(F.col("content_hash")) & (F.sha2("content", 256) == F.col("content_hash")), "IMMUTABLE": F.col("stored").isNull() | (F.col("stored") == F.col("content"))})
+    asked = named.join(versions.select("content_version_id", (F.sha2("content", 256) if hashed else F.col("content")).alias("stored")), "content_version_id", "left")
+    good, refused = guarded(asked, {"HASH": fingerprint_ok(F.col("content_hash")) & (told(F.col("content")) == F.col("content_hash")), "IMMUTABLE": F.col("stored").isNull() | (F.col("stored") == F.col("content"))})
     old = files.select("file_id", *[F.col(c).alias(f"was_{c}") for c in files.columns if c not in good.columns])
     begin = {"state": "verified", "freshness": "exact", "provenance": "generated", "validation_state": "passed", "review_state": "unreviewed", "publication_state": "candidate", "trust_tier": "candidate"}
     rows = good.join(old, "file_id", "left").select(*[F.col(c) if c in good.columns else F.lit(begin[c]).alias(c) if c in begin else F.col(f"was_{c}").alias(c) for c in files.columns])
@@ -404,24 +493,45 @@ def adopt(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame)
     Document, units, trusted memory, canonical file and the finished work of both kinds are one commit; a document whose policy or
     content is refused leaves none of them.
     """
+    # all is decided on requests that have their content's SHA-256 in its place, and on units without their texts
+    slim = state.keep(documents.withColumn("content", F.sha2("content", 256)))
     target = lambda df: df.select("repository_id", "locale", F.col("target_path").alias("path"), "source_revision", "content", F.col("target_hash").alias("content_hash"), "at")
-    unfit = persist_files(tables, target(documents)).refused.select("repository_id", "locale", F.col("path").alias("target_path"), "source_revision", F.col("content_hash").alias("target_hash"), "refusal").distinct()
-    asked = documents.join(unfit, ["repository_id", "locale", "target_path", "source_revision", "target_hash"], "left")
+    unfit = persist_files(tables, target(slim), hashed=True).refused.select("repository_id", "locale", F.col("path").alias("target_path"), "source_revision", F.col("content_hash").alias("target_hash"), "refusal").distinct()
+    asked = slim.join(unfit, ["repository_id", "locale", "target_path", "source_revision", "target_hash"], "left")
     asked = asked.withColumn("refusal", F.when(~fingerprint_ok(F.col("policy")), "POLICY").otherwise(F.col("refusal")))
-    base = prepare(tables, asked.filter("refusal is null").select(*documents.columns), units.withColumn("enqueue", F.lit(None).cast("string")))
-    refused = asked.filter("refusal is not null").unionByName(base.refused).select("repository_id", "path", "refusal")
-    good = documents.join(refused.select("repository_id", "path"), ["repository_id", "path"], "left_anti")
-    of = units.join(good.select("repository_id", "path", "locale", "source_revision", "policy", "at"), ["repository_id", "path"]).join(base.receipts, ["repository_id", "path", "unit_key"])
-    wanted = of.select("repository_id", "unit_id", id_of(F.lit("unit_version"), F.col("unit_id"), F.col("source_revision"), F.col("source_hash")).alias("unit_version_id"), "locale", "source_hash", "source_revision", "context_key", F.col("target_text").alias("text"), F.lit("human_adopted").alias("provenance"), "policy", "at")
-    memory = trust(tables, wanted)
-    kept = persist_files(tables, target(good))
-    moves = kept.rows["files"].select("file_id", F.lit("adopted").alias("move"), F.col("content_hash").alias("new_hash"))
-    document_id = id_of(F.lit("document"), F.col("repository_id"), F.col("path"))
+    fit, unready = _prepared(tables, asked.filter("refusal is null").select(*slim.columns), units.drop("enqueue"))
+    refused = state.keep(asked.filter("refusal is not null").unionByName(unready).select("repository_id", "path", "refusal"))
+    good = state.keep(fit.join(refused.select("repository_id", "path"), ["repository_id", "path"], "left_anti"))
+    facts = _unit_facts(tables, good, units.drop("enqueue"))
+    held = tables["memory"].filter("tier = 'trusted' and superseded_at is null")
+    newest = facts.groupBy("spot").agg(F.max(F.struct("at", "unit_id", "unit_version_id", "source_revision", "target", "policy", "fact", "whole")).alias("top")).select("spot", "top.at", "top.target", "top.fact", "top.whole")
+    said = held.filter(_whole([*TRUSTED_PLACE, "text"])).select(_spot().alias("spot"), digest_of(F.col("text")).alias("target"))
+    new = state.keep(newest.join(said, ["spot", "target"], "left_anti"))
+    texts = _with_texts(units.drop("enqueue"), state.keep(facts.join(new.select("fact", F.lit(True).alias("won")), "fact", "left").drop("fact", "target", "whole")))
+    rows, of = _staged_units(tables, good, texts)
+    won = of.filter("won").drop("won", "seen", "was")
+    trusted = trusted_rows(tables, won.filter("not twice").unionByName(won.filter("twice").dropDuplicates(["spot"])).withColumns({"text": F.col("target_text"), "provenance": F.lit("human_adopted")}))
+    old = held.filter(_whole(TRUSTED_PLACE)).withColumn("spot", _spot()).join(new.filter("whole").select("spot", F.col("at").alias("new_at")), "spot")
+    memory = {"versions": trusted["versions"], "memory": _history(old, tables["memory"]).unionByName(trusted["memory"])}
+    kept = persist_files(tables, target(good), hashed=True)
+    files = _with_contents(kept, documents)
     result = F.to_json(F.struct(F.lit("adopted").alias("status"), F.col("target_hash").alias("content_hash")))
-    work = good.withColumn("kind", F.explode(F.array(F.lit("assembly"), F.lit("materialization")))).select("run_id", F.lit(None).cast("string").alias("unit_id"), document_id.alias("document_id"), "locale", "kind", F.col("metadata").alias("input"), "at", result.alias("said"))
-    rows = enqueued(tables["work_items"], work.drop("said")).join(work.select(work_id().alias("work_item_id"), "said"), "work_item_id")
-    done = changed(rows, status=F.lit("succeeded"), result=F.col("said")).select(*tables["work_items"].columns)
-    return Staged(base.rows | memory.rows | {"files": move_files(kept.rows["files"], moves), "content_versions": kept.rows["content_versions"], "work_items": done}, refused, kept.receipts)
+    work = good.withColumn("kind", F.explode(F.array(F.lit("assembly"), F.lit("materialization")))).select("run_id", F.lit(None).cast("string").alias("unit_id"), "document_id", "locale", "kind", F.col("metadata").alias("input"), "at", result.alias("said"))
+    done = enqueued(tables["work_items"], work.drop("said")).join(work.select(work_id().alias("work_item_id"), "said"), "work_item_id")
+    done = changed(done, status=F.lit("succeeded"), result=F.col("said")).select(*tables["work_items"].columns)
+    moved = files.withColumns({"move": F.lit("adopted"), "new_hash": F.col("content_hash")})
+    fresh = files.filter("fresh").select(*tables["content_versions"].columns)
+    return Staged(rows | memory | {"files": _moved(moved).select(*tables["files"].columns), "content_versions": fresh, "work_items": done}, refused, kept.receipts)
+
+
+def _with_contents(kept: Staged, requests: DataFrame) -> DataFrame:
+    """Files of `persist_files` on hashed contents with the contents of requests(repository_id, locale, target_path, source_revision, content, ...); `fresh`: whether the content is not stored yet."""
+    named = lambda path, content: digest_of(F.col("repository_id"), F.col("locale"), F.col(path), F.col("source_revision"), content)
+    of = kept.rows["files"].join(kept.rows["content_versions"].select("content_version_id", F.lit(True).alias("fresh")), "content_version_id", "left")
+    wanted = of.withColumn("name", named("path", F.col("content"))).drop("content")
+    # a request may be listed twice
+    both = requests.select(named("target_path", F.sha2("content", 256)).alias("name"), "content").join(wanted, "name").dropDuplicates(["name"])
+    return state.keep(both.drop("name"))
 
 
 # Publications
