@@ -9,6 +9,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from weft import catalog_txn
 from weft.operators import state
 from weft.operators import transactions as tx
 from weft.streaming.tables import Tables
@@ -287,6 +288,31 @@ def test_adoption_shuffles_no_text_for_each_table(spark, store):
     assert [r.content for r in twice.rows["files"].collect()] == [text] and twice.rows["memory"].count() == 2
 
 
+ORDERS = "/root/testdata/sf0.001"
+
+
+def settled_orders(spark, how):
+    """What `how` stages of the orders' entries, each asked for by who holds it."""
+    o, tables = catalog_txn._entries(spark, ORDERS)
+    asked = o.select("outbox_id", F.col("holder").alias("owner"), "work_item_id", "file_id", F.lit("materialized").alias("move"), F.col("content_hash").alias("new_hash"), "content_hash", F.lit(True).alias("succeeded"), F.lit("{}").alias("result"), "at")
+    return how(tables, asked)
+
+
+def shuffles_nothing(*frames):
+    for df in frames:
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said):
+            df.explain()
+        assert "Exchange" not in said.getvalue()
+
+
+def test_discards_read_entries_and_files_once(spark):
+    """Files, entries and refusals come of one kept table."""
+    staged = settled_orders(spark, tx.complete_discard)
+    shuffles_nothing(staged.rows["files"], staged.rows["outbox"], staged.refused)
+    assert 0 < staged.rows["files"].count() == staged.rows["outbox"].count() == staged.rows["work_items"].count() == 1500 - staged.refused.count()
+
+
 def test_verification_work(spark, store):
     run = begun(spark, store)
     staged = tx.begin_verification(store.tables(), frame(spark, "run_id string, document_id string, locale string, kind string, input string, at long", (run, "d1", "ja", "assembly", "{}", 20), (run, "d2", "ja", "assembly", "{}", 20), (run, "d1", "ja", "pipeline", "{}", 20)))

@@ -458,6 +458,24 @@ def settle(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
     }, refused.select(*requests.columns, "refusal"))
 
 
+def _with_entries(requests: DataFrame, held: DataFrame, mine: Column) -> DataFrame:
+    """Requests with the entry of `held` that each names, as a struct that is null unless it is `mine`; kept, so that only requests with an entry look for their file."""
+    entries = held.select(F.col("outbox_id").alias("_id"), F.struct(*[F.col(c) for c in held.columns]).alias("entry"))
+    both = requests.join(entries, F.col("outbox_id") == F.col("_id"), "left").drop("_id")
+    return state.keep(both.withColumn("entry", F.when(mine, F.col("entry"))))
+
+
+def _judged(asked: DataFrame, files: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Requests of `_with_entries` that keep all rules, with their `entry` and `file`, and the others; one without an entry breaks the first."""
+    of = files.select(F.col("file_id").alias("_id"), F.struct(*[F.col(c) for c in files.columns]).alias("file"))
+    found = asked.filter("entry is not null").join(of, F.col("file_id") == F.col("_id"), "left").drop("_id")
+    good, bad = guarded(found, rules)
+    marked = state.keep(good.withColumn("refusal", F.lit(None).cast("string")).union(bad.withColumns({"entry": F.lit(None), "file": F.lit(None)})))
+    alone = asked.filter("entry is null").withColumn("refusal", F.lit(next(iter(rules))))
+    rest = [c for c in asked.columns if c != "entry"]
+    return marked.filter("refusal is null").drop("refusal"), marked.filter("refusal is not null").select(*rest, "refusal").union(alone.select(*rest, "refusal"))
+
+
 def begin_discard(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
     """Intents to put canonical bytes back: requests(run_id, repository_id, document_id, file_id, content_version_id, locale, path, content_hash, observed_hash, at)."""
     of = tables["files"].select("file_id", "content_version_id", "repository_id", "locale", "path", "content_hash").withColumn("current", F.lit(True))
@@ -474,16 +492,15 @@ def begin_discard(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
 def complete_discard(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
     """requests(outbox_id, work_item_id, file_id, content_hash, at): the entry must still be pending, a discard, and for the file's current content."""
     outbox, files, work = tables["outbox"], tables["files"], tables["work_items"]
-    asked = requests.join(outbox.select("outbox_id", F.col("work_item_id").alias("of_work"), "state", "payload"), "outbox_id", "left").join(files.select("file_id", F.col("content_version_id").alias("now_version")), "file_id", "left")
-    says = lambda p: F.get_json_object("payload", f"$.{p}")
-    ok = (F.col("of_work") == F.col("work_item_id")) & (F.col("state") == "pending") & (says("operation") == "discard") & (says("canonical_file_id") == F.col("file_id")) & (says("canonical_content_version_id") == F.col("now_version")) & (says("content_hash") == F.col("content_hash"))
-    good, refused = guarded(asked, {"RECEIPT": ok})
+    says = lambda p: F.get_json_object("entry.payload", f"$.{p}")
+    mine = (F.col("entry.work_item_id") == F.col("work_item_id")) & (says("operation") == "discard") & (says("canonical_file_id") == F.col("file_id")) & (says("content_hash") == F.col("content_hash"))
+    asked = _with_entries(requests, outbox.filter("state = 'pending'"), mine)
+    good, refused = _judged(asked, files, {"RECEIPT": says("canonical_content_version_id") == F.col("file.content_version_id")})
     said = F.to_json(F.struct(F.lit("discarded").alias("status"), F.col("content_hash")))
-    done = good.select("outbox_id", "work_item_id", "file_id", F.lit("materialized").alias("move"), F.col("content_hash").alias("new_hash"), said.alias("said"), "at")
     return Staged({
-        "files": move_files(files, done.select("file_id", "move", "new_hash")),
-        "work_items": changed(work.join(done.select("work_item_id", "said"), "work_item_id"), status=F.lit("succeeded"), result=F.col("said")).select(*work.columns),
-        "outbox": changed(outbox.join(done.select("outbox_id", "at"), "outbox_id"), state=F.lit("done"), completed_at=F.col("at")).select(*outbox.columns),
+        "files": _moved(good.select("file.*", F.lit("materialized").alias("move"), F.col("content_hash").alias("new_hash"))).select(*files.columns),
+        "work_items": changed(work.join(good.select("work_item_id", said.alias("said")), "work_item_id"), status=F.lit("succeeded"), result=F.col("said")).select(*work.columns),
+        "outbox": changed(good.select("entry.*", "at"), state=F.lit("done"), completed_at=F.col("at")).select(*outbox.columns),
     }, refused.select(*requests.columns, "refusal"))
 
 
