@@ -313,6 +313,14 @@ def test_discards_read_entries_and_files_once(spark):
     assert 0 < staged.rows["files"].count() == staged.rows["outbox"].count() == staged.rows["work_items"].count() == 1500 - staged.refused.count()
 
 
+def test_settling_reads_entries_and_files_once(spark):
+    """As discards; only entries in work are looked up, and every request is settled or refused."""
+    staged = settled_orders(spark, tx.settle)
+    shuffles_nothing(staged.rows["files"], staged.rows["outbox"], staged.refused)
+    assert 0 < staged.rows["files"].count() == staged.rows["outbox"].count() == staged.rows["work_items"].count() == 1500 - staged.refused.count()
+    assert {r.refusal for r in staged.refused.select("refusal").distinct().collect()} == {"OWNER", "CONTENT"}
+
+
 def test_verification_work(spark, store):
     run = begun(spark, store)
     staged = tx.begin_verification(store.tables(), frame(spark, "run_id string, document_id string, locale string, kind string, input string, at long", (run, "d1", "ja", "assembly", "{}", 20), (run, "d2", "ja", "assembly", "{}", 20), (run, "d1", "ja", "pipeline", "{}", 20)))

@@ -441,20 +441,19 @@ def settle(tables: dict[str, DataFrame], requests: DataFrame) -> Staged:
     Refused unless the owner still holds the entry, the entry is for that file, and a move finds the very content that was scheduled.
     """
     outbox, files, work = tables["outbox"], tables["files"], tables["work_items"]
-    held = outbox.select("outbox_id", F.col("owner").alias("holder"), "state", F.col("work_item_id").alias("of_work"), F.col("path").alias("for_path"), F.col("locale").alias("for_locale"), F.col("repository_id").alias("for_repository"), "payload")
-    of = files.select("file_id", "path", "locale", "repository_id", "content_hash", "content_version_id")
-    asked = requests.join(held, "outbox_id", "left").join(of, "file_id", "left")
-    says = lambda p: F.get_json_object("payload", f"$.{p}")
-    owned = (F.col("holder") == F.col("owner")) & (F.col("state") == "processing") & (F.col("of_work") == F.col("work_item_id")) & (F.col("for_path") == F.col("path")) & (F.col("for_locale") == F.col("locale")) & (F.col("for_repository") == F.col("repository_id"))
-    bound = (says("canonical_content_version_id") == F.col("content_version_id")) & (says("canonical_file_id") == F.col("file_id")) & (says("content_hash") == F.col("content_hash"))
-    seen = (F.col("move") != "materialized") | (F.col("new_hash") == F.col("content_hash"))
-    good, refused = guarded(asked, {"OWNER": owned, "CONTENT": F.col("move").isNull() | bound, "BYTES": F.col("move").isNull() | seen, "RESULT": json_ok(F.col("result"))})
-    done = good.select("outbox_id", "work_item_id", "file_id", "move", "new_hash", "succeeded", F.col("result").alias("new_result"), "at")
+    mine = (F.col("entry.owner") == F.col("owner")) & (F.col("entry.work_item_id") == F.col("work_item_id"))
+    asked = _with_entries(requests, outbox.filter("state = 'processing'"), mine)
+    says = lambda p: F.get_json_object("entry.payload", f"$.{p}")
+    owned = reduce(Column.__and__, [F.col(f"entry.{c}") == F.col(f"file.{c}") for c in ("path", "locale", "repository_id")])
+    bound = (says("canonical_content_version_id") == F.col("file.content_version_id")) & (says("canonical_file_id") == F.col("file_id")) & (says("content_hash") == F.col("file.content_hash"))
+    seen = (F.col("move") != "materialized") | (F.col("new_hash") == F.col("file.content_hash"))
+    good, refused = _judged(asked, files, {"OWNER": owned, "CONTENT": F.col("move").isNull() | bound, "BYTES": F.col("move").isNull() | seen, "RESULT": json_ok(F.col("result"))})
+    ended = {"status": F.when(F.col("succeeded"), "succeeded").otherwise("failed"), "result": F.col("new_result")}
     null = lambda t: F.lit(None).cast(t)
     return Staged({
-        "files": move_files(files, done.filter("move is not null").select("file_id", "move", "new_hash")),
-        "work_items": changed(work.join(done.select("work_item_id", "succeeded", "new_result"), "work_item_id"), status=F.when(F.col("succeeded"), "succeeded").otherwise("failed"), result=F.col("new_result")).select(*work.columns),
-        "outbox": changed(outbox.join(done.select("outbox_id", "at"), "outbox_id"), state=F.lit("done"), owner=null("string"), lease_expires_at=null("long"), completed_at=F.col("at")).select(*outbox.columns),
+        "files": _moved(good.filter("move is not null").select("file.*", "move", "new_hash")).select(*files.columns),
+        "work_items": changed(work.join(good.select("work_item_id", "succeeded", F.col("result").alias("new_result")), "work_item_id"), **ended).select(*work.columns),
+        "outbox": changed(good.select("entry.*", "at"), state=F.lit("done"), owner=null("string"), lease_expires_at=null("long"), completed_at=F.col("at")).select(*outbox.columns),
     }, refused.select(*requests.columns, "refusal"))
 
 
