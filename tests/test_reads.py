@@ -1,8 +1,12 @@
 """The named reads' edges: no rows, nulls, ties and repeated rows; the queries themselves are held against SQL in test_engine."""
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
+from weft.operators import state
 from weft.plans import reads
 
 
@@ -71,3 +75,21 @@ def test_pairs_and_sets(spark):
 @pytest.mark.parametrize("text,ok", [('{"a":1}', True), ("1", True), (' "x" ', True), ("1,2", False), ("1] [2", False), ('{"a":1}}', False), ("", False), ("nul", False), (None, False)])
 def test_json(spark, text, ok):
     assert spark.createDataFrame([(text,)], "x string").select(reads.json_ok(F.col("x")).alias("ok")).first()["ok"] is ok
+
+
+def plan_of(df):
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        df.explain()
+    return said.getvalue()
+
+
+def test_set_relations_join_and_sort_nothing(spark, monkeypatch):
+    """Rows are dealt out by their number; one with a null equals no other, and a row listed twice counts once."""
+    a = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, None), (4, 1), (5, 1), (5, 2), (None, 1)], "k long, x long")
+    b = spark.createDataFrame([(1, 2), (1, 1), (2, 1), (2, 2), (3, None), (4, 2), (5, 2), (None, 1)], "k long, x long")
+    monkeypatch.setattr(state, "ROWS_A_TASK", 2)
+    got = reads.set_relations(a, b, ["k"])
+    assert {r.k: r.relation for r in got.collect()} == {1: "equal", 2: "subset", 3: "differs", 4: "differs", 5: "superset", None: "differs"}
+    said = plan_of(got)
+    assert "Join" not in said and "Sort" not in said and "9), REPARTITION_BY_NUM" in said

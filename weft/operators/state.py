@@ -114,6 +114,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Rows that one task groups, sorts or joins, where a table is dealt out by `spread`.
+ROWS_A_TASK = 1 << 20
+
+
+def spread(df: DataFrame, *by: str, like: DataFrame | None = None) -> DataFrame:
+    """The rows dealt out by columns to as many tasks as their number asks for, so that no task's memory grows with the table; counts them, or those of `like`, first."""
+    ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(ways, -(-(df if like is None else like).count() // ROWS_A_TASK)), *by)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The rows as a table of Parquet in the checkpoint folder, written at once: for what several plans read some columns of."""
     path = shared_folder(df.sparkSession, "kept")

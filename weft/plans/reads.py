@@ -5,9 +5,13 @@ Every read answers for all keys at once; a point lookup is a filter on its resul
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import state
+
 REVIEWS = (":revision", ":proofread")
 # What an attempt can have come to.
 ATTEMPT_STATES = ("succeeded", "failed", "timed_out", "cancelled")
@@ -196,8 +200,11 @@ def positional(source: DataFrame, target: DataFrame, key: list[str], ordinal: st
 
 def set_relations(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """equal, superset, subset or differs for each key's set of other columns; compared row by row, no set is gathered."""
-    both = a.distinct().withColumn("_a", F.lit(True)).join(b.distinct().withColumn("_b", F.lit(True)), a.columns, "full")
-    seen = both.groupBy(*key).agg(F.bool_or(F.col("_a").isNull()).alias("less"), F.bool_or(F.col("_b").isNull()).alias("more"))
+    # the two are one table of marked rows, so neither is sorted to be joined; a row with a null equals none of the other side
+    marked = a.select("*", F.lit(1).alias("_side")).union(b.select(*a.columns, F.lit(2).alias("_side")))
+    rows = state.spread(marked, *a.columns).groupBy(*a.columns).agg(F.bit_or("_side").alias("_sides"))
+    odd = reduce(Column.__or__, [F.col(c).isNull() for c in a.columns]) & (F.col("_sides") == 3)
+    seen = rows.groupBy(*key).agg(F.bool_or((F.col("_sides") == 2) | odd).alias("less"), F.bool_or((F.col("_sides") == 1) | odd).alias("more"))
     return seen.select(*key, F.when(F.col("less") & F.col("more"), "differs").when(F.col("more"), "superset").when(F.col("less"), "subset").otherwise("equal").alias("relation"))
 
 
