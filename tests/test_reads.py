@@ -93,3 +93,14 @@ def test_set_relations_join_and_sort_nothing(spark, monkeypatch):
     assert {r.k: r.relation for r in got.collect()} == {1: "equal", 2: "subset", 3: "differs", 4: "differs", 5: "superset", None: "differs"}
     said = plan_of(got)
     assert "Join" not in said and "Sort" not in said and "9), REPARTITION_BY_NUM" in said
+
+
+def test_publishable_deals_files_out_by_their_number(spark, monkeypatch):
+    """What is joined and grouped is dealt out, and nothing is sorted to be grouped by publication and path."""
+    files = spark.createDataFrame([(1, 1, 0, 5, 1), (1, 2, 0, None, 1), (2, 1, 0, 5, 1), (2, 1, 1, 5, 1), (3, 2, 1, 6, 1), (4, 9, 1, 5, 1)], "publication long, path long, revision long, shape long, n_units int")
+    sources = spark.createDataFrame([(1, 5, 1), (2, None, 1)], "path long, shape long, n_units int")
+    monkeypatch.setattr(state, "ROWS_A_TASK", 1)
+    got = reads.publishable(files, sources)
+    assert {r.publication: (r.ok, r.uniform) for r in got.collect()} == {1: (True, True), 2: (False, False), 3: (False, True), 4: (False, True)}
+    said = plan_of(got)
+    assert said.count("6), REPARTITION_BY_NUM") >= 2 and "SortAggregate" not in said

@@ -159,11 +159,12 @@ def publishable(files: DataFrame, sources: DataFrame) -> DataFrame:
 
     uniform says whether all files come from one revision.
     """
-    # a path's rows are combined first, so that no publication's paths are gathered
-    paths = files.groupBy("publication", "path").agg(F.count("*").alias("n"), F.min("revision").alias("r0"), F.max("revision").alias("r1"), F.max(F.struct("shape", "n_units")).alias("is"))
-    alike = (F.col("n") == 1) & (F.col("is") == F.col("was"))
-    both = paths.join(sources.select("path", F.struct("shape", "n_units").alias("was")), "path", "left")
-    return both.groupBy("publication").agg(F.bool_and(F.coalesce(alike, F.lit(False))).alias("ok"), (F.min("r0") == F.max("r1")).alias("uniform"))
+    # a path's rows are combined first, so that no publication's paths are gathered; what a path holds counts only where it is one row
+    rows = state.spread(files, "publication", "path").groupBy("publication", "path").agg(F.count("*").alias("n"), F.min("revision").alias("r0"), F.max("revision").alias("r1"), F.max("shape").alias("s"), F.max("n_units").alias("u"))
+    wanted = rows.select("publication", "path", "r0", "r1", F.when(F.col("n") == 1, F.struct("s", "u")).alias("is"))
+    both = state.spread(wanted, "path", like=files).join(sources.select("path", F.struct("shape", "n_units").alias("was")), "path", "left")
+    alike = F.coalesce(F.col("is") == F.col("was"), F.lit(False))
+    return both.groupBy("publication").agg(F.bool_and(alike).alias("ok"), (F.min("r0") == F.max("r1")).alias("uniform"))
 
 
 def assessed(publications: DataFrame, verdicts: DataFrame) -> DataFrame:
