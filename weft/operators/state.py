@@ -129,6 +129,7 @@ def keep(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "kept")
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
     # the shuffle files of the plan go when it is garbage; the scheduler holds on to the last one until another has run
     gc.collect()
     df.sparkSession.range(0, 1, 1, 1).collect()
@@ -136,6 +137,14 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def drop(*kept: DataFrame) -> None:
+    """Deletes tables of `keep` that nothing reads any more."""
+    for df in kept:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Jumps are doubled as long as there are at most so many times as many of them as edges.
 GROWTH = 4
 

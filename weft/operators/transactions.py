@@ -227,7 +227,9 @@ def prepare(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame
     """
     good, refused = _prepared(tables, documents, units)
     facts = _unit_facts(tables, good, units)
-    rows, of = _staged_units(tables, good, _with_texts(units, facts))
+    texts = _with_texts(units, facts)
+    state.drop(facts)
+    rows, of = _staged_units(tables, good, texts)
     work = of.filter("enqueue is not null").select("run_id", "unit_id", F.lit(None).cast("string").alias("document_id"), "locale", F.lit("pipeline").alias("kind"), F.col("enqueue").alias("input"), "at")
     return Staged(rows | {"work_items": enqueued(tables["work_items"], work)}, refused.select(*documents.columns, "refusal"), of.select("repository_id", "path", "unit_key", "unit_id", "document_id"))
 
@@ -523,7 +525,10 @@ def adopt(tables: dict[str, DataFrame], documents: DataFrame, units: DataFrame)
     newest = facts.groupBy("spot").agg(F.max(F.struct("at", "unit_id", "unit_version_id", "source_revision", "target", "policy", "fact", "whole")).alias("top")).select("spot", "top.at", "top.target", "top.fact", "top.whole")
     said = held.filter(_whole([*TRUSTED_PLACE, "text"])).select(_spot().alias("spot"), digest_of(F.col("text")).alias("target"))
     new = state.keep(newest.join(said, ["spot", "target"], "left_anti"))
-    texts = _with_texts(units.drop("enqueue"), state.keep(facts.join(new.select("fact", F.lit(True).alias("won")), "fact", "left").drop("fact", "target", "whole")))
+    told = state.keep(facts.join(new.select("fact", F.lit(True).alias("won")), "fact", "left").drop("fact", "target", "whole"))
+    state.drop(facts)
+    texts = _with_texts(units.drop("enqueue"), told)
+    state.drop(told)
     rows, of = _staged_units(tables, good, texts)
     won = of.filter("won").drop("won", "seen", "was")
     trusted = trusted_rows(tables, won.filter("not twice").unionByName(won.filter("twice").dropDuplicates(["spot"])).withColumns({"text": F.col("target_text"), "provenance": F.lit("human_adopted")}))
