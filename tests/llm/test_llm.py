@@ -205,6 +205,52 @@ def test_quality_counts_all_texts(spark):
     assert sum(got[i].kept for i in range(100)) >= 95 and not got[500].kept
 
 
+def _plain_kneser_ney(texts):
+    """-log10 P of each character of each text given the three before it, by dictionaries over the characters themselves."""
+    grams = [["   "[i:] + t[max(0, i - 3) : i] + t[i] if i < 3 else t[i - 3 : i + 1] for i in range(len(t))] for t in texts]
+    orders = [Counter(g for t in grams for g in t)]
+    for _ in range(3):
+        orders.insert(0, Counter(g[1:] for g in orders[0]))
+    p = {"": 1 / len(orders[0])}
+    for c in orders:
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        d = {k: min(k - 0.01, max(0.05, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3)}
+        total, lost = Counter(), Counter()
+        for g, m in c.items():
+            total[g[:-1]] += m
+            lost[g[:-1]] += d[min(m, 3)]
+        p = {g: (m - d[min(m, 3)]) / total[g[:-1]] + lost[g[:-1]] / total[g[:-1]] * p[g[1:] if len(g) > 1 else ""] for g, m in c.items()}
+    return [sum(-math.log10(p[g]) for g in t) / len(t) if t else 0.0 for t in grams]
+
+
+def test_quality_entropies_are_of_the_characters_themselves(spark, monkeypatch):
+    """Modified Kneser-Ney over unfolded 4-grams, as a plain reading has it, in one block, in many and in parts of a language's model."""
+    rng = random.Random(8)
+    texts = [prose(rng, 80) + " É" * (i % 3) + "ß" for i in range(30)] + ["日本語 𝒳 x", "", "a", "AB 12"]
+    docs = spark.createDataFrame([(i, t, "xx", 7) for i, t in enumerate(texts)] + [(i + 100, t, None, 7) for i, t in enumerate(texts[:9])], "doc_id long, text string, lang string, cost int")
+    want = dict(enumerate(_plain_kneser_ney(texts))) | {i + 100: x for i, x in enumerate(_plain_kneser_ney(texts[:9]))}
+    one = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert one.keys() == want.keys() and all(abs(r.entropy - want[i]) < 1e-5 for i, r in one.items())
+    kept = {r.doc_id for r in quality_rules.keep(docs).collect()}
+    assert kept == {i for i, r in one.items() if r.kept} and kept
+    monkeypatch.setattr(quality_rules, "BLOCK", 150)
+    monkeypatch.setattr(quality_rules, "MERGE", 200)
+    assert {r.doc_id: r for r in quality_rules.judge(docs).collect()} == one
+    cut = quality_rules.keep(docs)
+    assert cut.columns == docs.columns and {r.doc_id for r in cut.collect()} == kept
+
+
+def test_quality_tells_accents_and_capitals_apart(spark):
+    """Texts that only a folded alphabet takes for their language's: all vowels with accents, or letters in strange capitals."""
+    rng = random.Random(9)
+    accents = str.maketrans("aeiou", "ãêîõű")
+    rows = [(i, prose(rng, 120), "xx") for i in range(300)] + [(500 + i, prose(rng, 120).translate(accents), "xx") for i in range(5)]
+    rows += [(600 + i, prose(rng, 120).replace("a", "Ω").replace("e", "Ж"), "xx") for i in range(5)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 297 and not any(r.kept for i, r in got.items() if i >= 500)
+
+
 def shingle_set(text):
     w = words(lower(text))
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
