@@ -59,29 +59,31 @@ def in_order(previous: DataFrame, current: DataFrame) -> DataFrame:
     previous unit goes to the first that wants it. What the units before the n-th do is right after n rounds at the latest, and a round that changes
     nothing is the answer; as most units have no rival, a few rounds do. Units of equal text are never paired: how many are left, and which if it is the last,
     are running sums over those taken. Similar texts are sought only for units that find no equal one. Each round is a job; the tables are written between them.
+    Texts are kept once, in columns, and read where similar ones are sought; all else goes by numbers and hashes (a source by 128 bits), so no round shuffles a text.
     """
     hints = F.col("hint") if "hint" in current.columns else F.lit(None).cast("string")
     known = lambda df: df.withColumn("doc", F.struct("doc_id")).withColumn("scope", F.xxhash64("doc_id", "unit_kind", "context")).withColumn("same", F.xxhash64("unit_kind", "context", "norm"))
     place, own = running.pieces("ordinal"), [F.col("ordinal"), F.xxhash64("norm", "source")]
-    texts = ["doc", "scope", "same", "ordinal", "source", "norm"]
-    old = running.numbered(known(previous), ["doc_id"], place, [F.col("ordinal"), F.col("stable_id"), own[1]], "pid").select(*texts, "pid", "stable_id", "trusted")
-    old = state.cut(old)
+    texts = ["doc", "scope", "same", "ordinal", "norm"]
+    hashes = [F.when(F.col("source").isNotNull(), F.xxhash64(*x, "source")).alias(n) for n, x in (("s1", []), ("s2", [F.lit(1)]))]
+    bare = lambda df, *more: known(df).withColumn("own", own[1]).select("doc_id", *texts, "own", "trusted", *hashes, *more)
+    old = state.keep(running.numbered(bare(previous, "stable_id"), ["doc_id"], place, [F.col("ordinal"), F.col("stable_id"), F.col("own")], "pid").drop("doc_id", "own"))
     groups = state.cut(old.groupBy("doc", "same").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"), F.min("pid").alias("only")))
-    now = running.numbered(known(current.withColumn("hint", hints)), ["doc_id"], place, own, "at").select("doc_id", *texts, "at", "hint")
-    now = state.cut(now.join(groups, ["doc", "same"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    whole = state.keep(running.numbered(bare(current.withColumn("hint", hints), "hint"), ["doc_id"], place, [F.col("ordinal"), F.col("own")], "at").drop("own"))
+    now = state.cut(whole.select("doc_id", "doc", "same", "ordinal", "at", "hint", "s1", "s2").join(groups, ["doc", "same"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
     hinted = state.cut(now.filter("hint is not null").select("doc", "same", "at", F.col("hint").alias("stable_id")).join(old.select("doc", "same", "stable_id", "pid"), ["doc", "same", "stable_id"]).select("doc", "at", "pid"))
     any_hint = not hinted.isEmpty()
 
-    def similar_to(units: DataFrame) -> DataFrame:
+    def similar_to(asking: DataFrame) -> DataFrame:
+        units = whole.select(*texts, "at").join(asking, ["doc", "at"], "left_semi")
         # texts of equal norm are told apart by `same`: a unit only gets here if no equal one is left
         found = similar.pairs(old, units, ["scope"], ["doc", "same", "at"], ["doc", "same", "pid", "stable_id"])
         return found.filter("doc = p_doc and same <> p_same").select("doc", "at", F.col("p_pid").alias("pid"), F.col("p_stable_id").alias("stable_id"), "score")
 
     # second and further units of a text that stood once before will not find it
     later = F.row_number().over(Window.partitionBy("doc", "same", F.floor(F.col("at") / running.PIECE)).orderBy("at")) > 1
-    asked = state.cut(now.withColumn("later", later).filter("n = 0 or (n = 1 and later)").select(*texts, "at"))
+    asked = state.cut(now.withColumn("later", later).filter("n = 0 or (n = 1 and later)").select("doc", "at"))
     edges = state.cut(similar_to(asked))
-    asked = asked.select("doc", "at")
     taken = state.cut(now.limit(0).select("doc", F.col("at").alias("pid"), F.col("at").alias("time")))
     mark = None
     while True:
@@ -106,16 +108,16 @@ def in_order(previous: DataFrame, current: DataFrame) -> DataFrame:
         made = units.select("doc", "at", how.alias("how"), told.alias("told"), "pid", "near", "score", F.col("left").isNull().alias("asks"))
         choice = F.when(F.col("how") == "hinted", F.col("told")).when(F.col("how") == "equal", F.col("pid")).when(F.col("how") == "fuzzy", F.col("near"))
         decided = state.cut(made.select("doc", "at", "how", choice.alias("pid"), F.when(F.col("how") == "fuzzy", F.col("score")).alias("score"), (F.col("asks") & (F.col("how") != "hinted")).alias("asks")))
-        more = state.cut(now.join(decided.filter("asks").select("doc", "at"), ["doc", "at"], "left_semi").join(asked, ["doc", "at"], "left_anti").select(*texts, "at"))
+        more = state.cut(decided.filter("asks").select("doc", "at").join(asked, ["doc", "at"], "left_anti"))
         taken = state.cut(decided.filter("pid is not null").groupBy("doc", "pid").agg(F.min("at").alias("time")))
         was, mark = mark, taken.agg(F.count("*"), F.sum(F.xxhash64("doc", "pid", "time").cast("decimal(38,0)"))).first()
         if not more.isEmpty():
-            edges, asked, mark = state.cut(edges.union(similar_to(more))), state.cut(asked.union(more.select("doc", "at"))), None
+            edges, asked, mark = state.cut(edges.union(similar_to(more))), state.cut(asked.union(more)), None
         elif mark == was:
             break
-    found = now.join(decided, ["doc", "at"]).join(old.select("doc", "pid", F.col("ordinal").alias("previous_ordinal"), "stable_id", F.col("source").alias("p_source"), "trusted"), ["doc", "pid"], "left")
+    found = now.join(decided, ["doc", "at"]).join(old.select("doc", "pid", F.col("ordinal").alias("previous_ordinal"), "stable_id", F.col("s1").alias("p_s1"), F.col("s2").alias("p_s2"), "trusted"), ["doc", "pid"], "left")
     kind = F.when(F.col("how") == "hinted", "exact").when(F.col("how") == "equal", F.when(F.col("ordinal") == F.col("previous_ordinal"), "exact").otherwise("moved")).otherwise(F.col("how"))
-    reuse = F.coalesce(F.col("how").isin("hinted", "equal") & F.col("trusted") & (F.col("source") == F.col("p_source")), F.lit(False))
+    reuse = F.coalesce(F.col("how").isin("hinted", "equal") & F.col("trusted") & (F.col("s1") == F.col("p_s1")) & (F.col("s2") == F.col("p_s2")), F.lit(False))
     return found.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), kind.alias("kind"), "score", F.col("previous_ordinal").cast("long").alias("previous_ordinal"), "stable_id", reuse.alias("trusted_reuse"))
 
 

@@ -125,9 +125,9 @@ def pairs(previous: DataFrame, current: DataFrame, scope: list[str], carry: list
     ways = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt out evenly, whatever the scan's or a broadcast's partitions; the number is stated, as few bytes can be much work
     side = lambda df: df.filter(known).withColumn("_part", F.xxhash64(*scope)).withColumn("id", F.xxhash64("_part", "ordinal", "norm")).withColumn("n", F.char_length("norm"))
-    a = state.cut(side(current.select(*dict.fromkeys([*scope, "ordinal", "norm", *carry]))).repartition(ways, "id"))
+    a = state.keep(side(current.select(*dict.fromkeys([*scope, "ordinal", "norm", *carry]))).repartition(ways, "id"))
     b = side(previous.select(*dict.fromkeys([*scope, "ordinal", "norm", *p_carry])))
-    b = state.cut(b.join(a.select("_part").distinct(), "_part", "left_semi").repartition(ways, "id"))
+    b = state.keep(b.join(a.select("_part").distinct(), "_part", "left_semi").repartition(ways, "id"))
     block = lambda c: F.floor(c / (2 * NEARBY)).cast("long")
     then = b.select("_part", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("ordinal").alias("p_at"), block(F.col("ordinal")).alias("block"))
     here = a.select("_part", F.col("id").alias("c"), "n", "ordinal", F.explode(F.sequence(block(F.col("ordinal") - NEARBY), block(F.col("ordinal") + NEARBY))).alias("block"))
