@@ -156,6 +156,70 @@ def test_rounds_shuffle_no_texts(spark):
     assert written() - before < 4 * sum(map(len, lines)), (written() - before, sum(map(len, lines)))
 
 
+def test_edits_are_those_of_the_table(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from weft.functions import edits
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcé𝒳 d") for _ in range(n))
+    pairs = [("", ""), ("", "ab"), ("abc", "abc"), ("ab" * 3000, "x" + "ab" * 3000), (text(3000), text(3000)), ("a" * 5000, "b" * 5000)]
+    for _ in range(1500):
+        a = text(rng.choice([1, 2, 3, 9, 60, 200]))
+        b = list(a) if rng.random() < 0.7 else list(text(rng.choice([1, 3, 9, 60, 200])))
+        for _ in range(rng.randrange(2 + len(b) // 3)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["x", "", "é"])
+        pairs.append((a, "".join(b)))
+    real = [plain_matching.distance(a, b) for a, b in pairs]
+    most = [max(0, d + rng.randrange(-3, 4)) if rng.random() < 0.7 else rng.randrange(len(a) + 1) for d, (a, _) in zip(real, pairs, strict=True)]
+    want = [d if d <= m else -1 for d, m in zip(real, most, strict=True)]
+    columns = [pa.array(x) for x in zip(*pairs, strict=True)]
+    for cells, chars in ((edits.CELLS, edits.SLICE_CHARS), (1 << 9, 300)):
+        monkeypatch.setattr(edits, "CELLS", cells)
+        monkeypatch.setattr(edits, "SLICE_CHARS", chars)
+        assert edits.within(*columns, pa.array(most, pa.int32())).to_pylist() == want
+    assert min(want.count(-1), len(want) - want.count(-1)) > 300
+    # by counts alone some far pairs are told, at once and however long
+    a, b = ([text(300) for _ in range(200)] for _ in range(2))
+    monkeypatch.setattr(edits, "distance", lambda a, b, most: 1 / 0)
+    assert set(edits.within(pa.array(a), pa.array(b), pa.array([20] * 200)).to_pylist()) == {-1}
+
+
+def test_similar_texts_are_shuffled_once(spark, monkeypatch):
+    """Pairs are met by ids: a text goes to its pairs once, and with them to the other text."""
+    import random
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # lengths double, so no text meets another than its own
+    old = [(d, i, text(100 << i)) for d in range(20) for i in range(8)]
+    new = [(d, i, "y" + x) for d, i, x in old]
+    columns = "doc_id long, ordinal long, norm string"
+    old, new = (spark.createDataFrame(x, columns) for x in (old, new))
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def pairs():
+        before = written()
+        got = similar.pairs(old, new, ["doc_id"], ["ordinal"], ["ordinal"]).collect()
+        return sorted((r.doc_id, r.ordinal, r.p_ordinal, r.score) for r in got), written() - before
+
+    got, moved = pairs()
+    assert [r[:3] for r in got] == [(d, i, i) for d in range(20) for i in range(8)]
+    # small tables are broadcast, so a text is dealt out with its pair; before, it went around more than three times
+    chars = sum(len(x) for _, _, x in new.collect())
+    assert moved < 2.5 * chars, (moved, chars)
+    monkeypatch.setattr(similar, "BROADCAST", 0)
+    monkeypatch.setattr(similar, "PAIRS_A_TASK", 100)
+    assert pairs()[0] == got
+
+
 def edited(rng, norm):
     out = list(norm)
     for _ in range(rng.randrange(4)):
@@ -230,6 +294,15 @@ def test_pieces_are_as_long_as_stated():
         assert n // (similar.most_edits(n) + 1) >= q
 
 
+def test_unmatched_is_what_no_text_matches(spark):
+    columns = "doc_id long, ordinal long, norm string, source string, trusted boolean"
+    old = spark.createDataFrame([(1, 0, "a", "a", True), (1, 1, "b", "b", True), (2, 0, "c", "c", False), (None, 0, "d", "d", True)], columns)
+    new = spark.createDataFrame([(1, 0, "b", "b", True), (1, 1, "c", "c", True), (1, 2, "c", "c", True), (2, 0, "c", "c", True), (3, 0, "a", "a", True), (None, 0, "d", "d", True)], columns)
+    want = sorted((r.doc_id or 0, r.ordinal) for r in matching.by_text(old, new).filter("kind = 'no_text_match'").collect())
+    got = matching.unmatched(old, new)
+    assert got.columns == new.columns and sorted((r.doc_id or 0, r.ordinal) for r in got.collect()) == want == [(0, 0), (1, 1), (1, 2), (3, 0)]
+
+
 def test_running_totals(spark):
     import random
 

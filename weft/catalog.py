@@ -160,9 +160,12 @@ s AS (SELECT doc_id, ordinal, p_ordinal, {text.TEXT_WEIGHT}::DOUBLE * (1::DOUBLE
 r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM s WHERE score >= {text.FUZZY_FLOOR}::DOUBLE WINDOW w AS (PARTITION BY doc_id, ordinal ORDER BY score DESC, p_ordinal))
 SELECT doc_id, ordinal, p_ordinal, round(score, 9) AS score, coalesce(score - next < {text.MARGIN}::DOUBLE, false) AS ambiguous FROM r WHERE rank = 1""")
 def match_fuzzy(spark, sf):
-    units = _units(spark, sf)
-    rest = _matched(spark, sf).filter("kind = 'no_text_match'").select("doc_id", "ordinal")
-    return matching.fuzzy(_previous(units), units.join(rest, ["doc_id", "ordinal"], "left_semi"))
+    # read several times, and split and normalised once
+    units = state.keep(_units(spark, sf).drop("source"))
+    old = _previous(units.withColumn("source", F.col("norm")))
+    found = matching.fuzzy(old, matching.unmatched(old, units))
+    state.drop(units)
+    return found
 
 
 @query("""WITH c AS (SELECT role, turn, text, row_number() OVER (PARTITION BY role, turn ORDER BY conv_id) AS rn, conv_id FROM conversations),

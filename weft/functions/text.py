@@ -48,12 +48,6 @@ def fuzzy_score(a: Column, b: Column, steps: Column, distance: Column | None = N
     return TEXT_WEIGHT * similarity(a, b, distance) + PLACE_WEIGHT / (1.0 + F.abs(steps))
 
 
-def could_match(a: Column, b: Column) -> Column:
-    """A bound on lengths alone that every pair above the floor meets; spares the edit distance."""
-    x, y = F.char_length(a), F.char_length(b)
-    return F.abs(x - y) <= (1 - LEAST_SIMILARITY) * F.greatest(x, y) + 1e-9
-
-
 def rfind(text: Column, part: str) -> Column:
     """Place of the last occurrence, from 0; -1 if there is none."""
     at = F.instr(F.reverse(text), part[::-1])

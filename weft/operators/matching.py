@@ -40,6 +40,12 @@ def by_text(previous: DataFrame, current: DataFrame) -> DataFrame:
     return found.select("doc_id", "ordinal", kind.alias("kind"), reuse.alias("trusted_reuse"))
 
 
+def unmatched(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of current that `by_text` calls no_text_match. Texts meet by 128 bits of hash, so those of previous are not shuffled."""
+    hashes = {"_h1": F.xxhash64("norm"), "_h2": F.xxhash64(F.lit(1), "norm")}
+    return current.withColumns(hashes).join(previous.withColumns(hashes).select("doc_id", *hashes), ["doc_id", *hashes], "left_anti").drop(*hashes)
+
+
 def fuzzy(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Scores above the floor of current against previous units of the same document, ranked, with ambiguity (see `similar`)."""
     scored = similar.pairs(previous, current, ["doc_id"], ["ordinal"], ["ordinal"])

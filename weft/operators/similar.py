@@ -5,7 +5,7 @@ two ways. Within `NEARBY` places they are met by place: ranges of ordinals are j
 longer one by d(n) edits at most; of any d(n) + 1 pieces of it that do not overlap, one stands unchanged in the longer text, at most d(n) places off. The rarest
 pieces of each text are joined with all runs of as many characters of the longer text, by band of lengths and block of places (where a document has few texts of a
 length, these meet as they are). Both ways lose no pair; what
-they let through is settled by the edit distance, worked out only as far as the floor allows. No key is a document, so a
+they let through is settled by the edit distance (`functions/edits.py`), worked out only as far as the floor allows. No key is a document, so a
 long document is joined by many tasks.
 """
 
@@ -16,12 +16,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FUZZY_FLOOR, LEAST_SIMILARITY, PLACE_WEIGHT, TEXT_WEIGHT, could_match, fuzzy_score
+from ..functions import edits
+from ..functions.text import FUZZY_FLOOR, PLACE_WEIGHT, TEXT_WEIGHT, fuzzy_score
 from . import state
 
 NEARBY = 8
 # Of so few texts each may meet all others of its scope and length.
 FEW = 64
+# Keys of rows to pick that are broadcast at most; and pairs whose texts one task reads.
+BROADCAST, PAIRS_A_TASK = 1 << 18, 1 << 17
 # Edits a character of the longer text, beyond NEARBY.
 EDITS = 1 - (FUZZY_FLOOR - PLACE_WEIGHT / (2 + NEARBY)) / TEXT_WEIGHT
 # Lengths from which pieces have so many characters at least.
@@ -86,64 +89,73 @@ def _cells(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / (1.0001 * math.log(1 / (1 - EDITS)))).cast("int")
 
 
+def _met(both: DataFrame) -> DataFrame:
+    """(c, p, most): pairs of c, n, ordinal, p, p_n and p_ordinal whose lengths and places allow the floor, with the edits that it allows."""
+    least = (FUZZY_FLOOR - PLACE_WEIGHT / (1.0 + F.abs(F.col("ordinal") - F.col("p_ordinal")))) / TEXT_WEIGHT
+    most = F.floor((1 - least) * F.greatest("n", "p_n") + 1e-9).cast("int")
+    return both.withColumn("most", most).filter(F.abs(F.col("n") - F.col("p_n")) <= F.col("most")).select("c", "p", "most")
+
+
+def _of(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose key is among distinct ones, which are broadcast if they are few, so that no text is shuffled to be picked."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, by, "left_semi")
+
+
 def _far(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(c, p): ids of all pairs farther apart than NEARBY that can be similar, and of some others.
+    """(c, p, most): all pairs farther apart than NEARBY that can be similar, and of some others.
 
-    Shorter and longer texts of one scope and narrow band of lengths meet each other if there are FEW of either; where many meet many, by pieces.
+    Texts of one scope and of bands of lengths next to each other meet if there are FEW of either; where many meet many, shorter and longer ones meet by pieces.
     """
-    out = None
-    for shorter, longer in ((current, previous), (previous, current)):
-        s = shorter.withColumn("cell", _cells(F.col("n")))
-        t = longer.withColumn("cell", F.explode(F.array(_cells(F.col("n")), _cells(F.col("n")) - 1)))
-        count = lambda df, name: df.groupBy("_part", "cell").agg(F.count("*").alias(name))
-        both = state.cut(count(s, "ns").join(count(t, "nt"), ["_part", "cell"]).select("_part", "cell", (F.least("ns", "nt") <= FEW).alias("few")))
-        few, many = both.filter("few").drop("few"), both.filter("not few").drop("few")
-        light = lambda df, name: df.select("_part", "cell", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("ordinal").alias(f"{name}_at"))
-        here = light(s, "s").join(few, ["_part", "cell"], "left_semi").join(light(t, "t"), ["_part", "cell"])
-        fits = here.filter((F.col("s_n") <= F.col("t_n")) & (F.col("s_n") >= (1 - EDITS) * F.col("t_n") - 1e-9) & (F.abs(F.col("s_at") - F.col("t_at")) > NEARBY)).select("s", "t")
-        cut = lambda df: df.join(many, ["_part", "cell"], "left_semi").drop("cell").distinct().withColumn("chars", F.split("norm", ""))
-        if many.isEmpty():
-            split = fits.limit(0)
-        else:
-            runs = state.cut(_runs(cut(t)))
-            split = _pieces(cut(s), runs).withColumnRenamed("id", "s").join(runs.withColumnRenamed("id", "t"), "key").select("s", "t")
-        met = fits.union(split) if shorter is current else fits.union(split).select("t", "s")
-        met = met.toDF("c", "p")
-        out = met if out is None else out.union(met)
-    return out
+    light = lambda df, cell: df.select("_part", "id", "n", "ordinal", cell.alias("cell"))
+    now, old = light(current, F.explode(F.sequence(_cells(F.col("n")) - 1, _cells(F.col("n")) + 1))), light(previous, _cells(F.col("n")))
+    count = lambda df, name: df.groupBy("_part", "cell").agg(F.count("*").alias(name))
+    both = state.cut(count(now, "nc").join(count(old, "np"), ["_part", "cell"]).select("_part", "cell", (F.least("nc", "np") <= FEW).alias("few")))
+    few, many = both.filter("few").drop("few"), both.filter("not few").drop("few")
+    then = lambda df: df.withColumnRenamed("id", "p").withColumnRenamed("n", "p_n").withColumnRenamed("ordinal", "p_ordinal")
+    here = now.withColumnRenamed("id", "c").join(few, ["_part", "cell"]).join(then(old), ["_part", "cell"])
+    out = _met(here.filter(F.abs(F.col("ordinal") - F.col("p_ordinal")) > NEARBY))
+    if many.isEmpty():
+        return out
+    ids = lambda df: state.cut(_of(df, many, ["_part", "cell"]).select("id").distinct())
+    cut = lambda df, light: _of(df, ids(light), ["id"]).distinct().withColumn("chars", F.split("norm", ""))
+    now, old = state.cut(cut(current, now)), state.cut(cut(previous, old))
+    split = None
+    for shorter, longer in ((now, old), (old, now)):
+        runs = state.cut(_runs(longer))
+        met = _pieces(shorter, runs).withColumnRenamed("id", "s").join(runs.withColumnRenamed("id", "t"), "key").select("s", "t")
+        met = (met if shorter is now else met.select("t", "s")).toDF("c", "p").distinct()
+        split = met if split is None else split.union(met)
+    named = lambda df: df.select("id", "n", "ordinal")
+    return out.union(_met(split.join(named(now).withColumnRenamed("id", "c"), "c").join(then(named(old)), "p")))
 
 
 def pairs(previous: DataFrame, current: DataFrame, scope: list[str], carry: list[str], p_carry: list[str]) -> DataFrame:
     """All pairs of one scope whose score reaches the floor: scope, the columns to carry of each side (those of previous under p_ names), score.
 
     Both tables have ordinal and norm. Rows of a null scope column pair with none. Repeated rows make repeated pairs. The tables are written
-    while the plan is made, as they are read several times.
+    while the plan is made, as they are read several times; pairs are met by ids, and texts go to them once, on either side.
     """
     known = F.lit(True)
     for k in scope:
         known = known & F.col(k).isNotNull()
-    ways = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out evenly, whatever the scan's or a broadcast's partitions; the number is stated, as few bytes can be much work
     side = lambda df: df.filter(known).withColumn("_part", F.xxhash64(*scope)).withColumn("id", F.xxhash64("_part", "ordinal", "norm")).withColumn("n", F.char_length("norm"))
-    a = state.keep(side(current.select(*dict.fromkeys([*scope, "ordinal", "norm", *carry]))).repartition(ways, "id"))
+    a = state.keep(side(current.select(*dict.fromkeys([*scope, "ordinal", "norm", *carry]))))
     b = side(previous.select(*dict.fromkeys([*scope, "ordinal", "norm", *p_carry])))
-    b = state.keep(b.join(a.select("_part").distinct(), "_part", "left_semi").repartition(ways, "id"))
+    parts = state.cut(a.select("_part").distinct())
+    b = state.keep(_of(b, parts, ["_part"]) if parts.count() <= BROADCAST else b)
     block = lambda c: F.floor(c / (2 * NEARBY)).cast("long")
-    then = b.select("_part", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("ordinal").alias("p_at"), block(F.col("ordinal")).alias("block"))
+    then = b.select("_part", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("ordinal").alias("p_ordinal"), block(F.col("ordinal")).alias("block"))
     here = a.select("_part", F.col("id").alias("c"), "n", "ordinal", F.explode(F.sequence(block(F.col("ordinal") - NEARBY), block(F.col("ordinal") + NEARBY))).alias("block"))
-    fits = F.abs(F.col("n") - F.col("p_n")) <= (1 - LEAST_SIMILARITY) * F.greatest("n", "p_n") + 1e-9
-    near = here.join(then, ["_part", "block"]).filter(fits & (F.abs(F.col("ordinal") - F.col("p_at")) <= NEARBY)).select("c", "p")
-    texts = lambda df: df.select("id", "_part", "ordinal", "norm", "n", *[k for k in scope])
-    met = near.union(_far(texts(b), texts(a))).distinct()
+    near = _met(here.join(then, ["_part", "block"]).filter(F.abs(F.col("ordinal") - F.col("p_ordinal")) <= NEARBY))
+    texts = lambda df: df.select("id", "_part", "ordinal", "norm", "n")
+    met = state.cut(near.union(_far(texts(b), texts(a))).distinct())
+    # dealt out evenly, whatever the scan's or a broadcast's partitions; the number is stated, as few bytes can be much work
+    ways = max(int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // PAIRS_A_TASK))
     named = b.select(*[F.col(c).alias(f"p_{c}") for c in b.columns])
     same = F.lit(True)
     for k in scope:
         same = same & (F.col(k) == F.col(f"p_{k}"))
-    whole = met.join(a, F.col("c") == F.col("id")).join(named, F.col("p") == F.col("p_id")).filter(same & could_match(F.col("norm"), F.col("p_norm")))
-    spread = whole.repartition(ways, *scope, "ordinal")
-    # how far a distance is worked out follows from the place; -1 means it is greater. Exploded, it is worked out once and not again for each filter
-    least = (FUZZY_FLOOR - PLACE_WEIGHT / (1.0 + F.abs(F.col("ordinal") - F.col("p_ordinal")))) / TEXT_WEIGHT
-    within = spread.withColumn("most", F.floor((1 - least) * F.greatest("n", "p_n") + 1e-9).cast("int")).filter(F.abs(F.col("n") - F.col("p_n")) <= F.col("most"))
-    close = within.withColumn("distance", F.explode(F.filter(F.array(F.expr("levenshtein(p_norm, norm, most)")), lambda d: d >= 0)))
+    whole = met.repartition(ways, "c").join(a, F.col("c") == F.col("id")).repartition(ways, "p").join(named, F.col("p") == F.col("p_id")).filter(same)
+    close = whole.withColumn("distance", F.arrow_udf(edits.within, "int")("p_norm", "norm", "most")).filter("distance >= 0")
     scored = close.withColumn("score", fuzzy_score(F.col("p_norm"), F.col("norm"), F.col("p_ordinal") - F.col("ordinal"), F.col("distance"))).filter(F.col("score") >= FUZZY_FLOOR)
     return scored.select(*dict.fromkeys([*scope, *carry]), *[f"p_{c}" for c in p_carry if c not in scope], "score")
