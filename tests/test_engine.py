@@ -207,7 +207,9 @@ def test_similar_texts_are_shuffled_once(spark, monkeypatch):
 
     def pairs():
         before = written()
-        got = similar.pairs(old, new, ["doc_id"], ["ordinal"], ["ordinal"]).collect()
+        found = similar.pairs(old, new, ["doc_id"], ["ordinal"], ["ordinal"])
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        got = found.collect()
         return sorted((r.doc_id, r.ordinal, r.p_ordinal, r.score) for r in got), written() - before
 
     got, moved = pairs()

@@ -41,9 +41,9 @@ def by_text(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def unmatched(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """The rows of current that `by_text` calls no_text_match. Texts meet by 128 bits of hash, so those of previous are not shuffled."""
+    """The rows of current that `by_text` calls no_text_match. Texts meet by 128 bits of hash, so those of previous are not shuffled; counts current first (see `state.spread`)."""
     hashes = {"_h1": F.xxhash64("norm"), "_h2": F.xxhash64(F.lit(1), "norm")}
-    return current.withColumns(hashes).join(previous.withColumns(hashes).select("doc_id", *hashes), ["doc_id", *hashes], "left_anti").drop(*hashes)
+    return state.spread(current.withColumns(hashes), "doc_id", *hashes).join(previous.withColumns(hashes).select("doc_id", *hashes), ["doc_id", *hashes], "left_anti").drop(*hashes)
 
 
 def fuzzy(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -156,6 +156,7 @@ def pairs(previous: DataFrame, current: DataFrame, scope: list[str], carry: list
     for k in scope:
         same = same & (F.col(k) == F.col(f"p_{k}"))
     whole = met.repartition(ways, "c").join(a, F.col("c") == F.col("id")).repartition(ways, "p").join(named, F.col("p") == F.col("p_id")).filter(same)
-    close = whole.withColumn("distance", F.arrow_udf(edits.within, "int")("p_norm", "norm", "most")).filter("distance >= 0")
+    # exploded, it is worked out once and not again for each filter
+    close = whole.withColumn("distance", F.explode(F.array(F.arrow_udf(edits.within, "int")("p_norm", "norm", "most")))).filter("distance >= 0")
     scored = close.withColumn("score", fuzzy_score(F.col("p_norm"), F.col("norm"), F.col("p_ordinal") - F.col("ordinal"), F.col("distance"))).filter(F.col("score") >= FUZZY_FLOOR)
     return scored.select(*dict.fromkeys([*scope, *carry]), *[f"p_{c}" for c in p_carry if c not in scope], "score")
