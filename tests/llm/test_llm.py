@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -251,6 +252,53 @@ def test_quality_tells_accents_and_capitals_apart(spark):
     assert sum(got[i].kept for i in range(300)) >= 297 and not any(r.kept for i, r in got.items() if i >= 500)
 
 
+def _rows_of(texts):
+    """A batch of texts, which may be bytes that are no UTF-8, of two languages in turn."""
+    raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(raw)))
+    return pa.RecordBatch.from_arrays([text, pa.array([i % 2 for i in range(len(raw))], pa.int64())], names=["text", "lang"])
+
+
+def test_quality_long_texts_are_read_in_pieces(monkeypatch):
+    """4-grams of a long text and of many different ones take bounded memory, and the same counts and costs come out however texts are cut."""
+    rng = random.Random(12)
+    long = prose(rng, 400_000)
+    strewn = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA0, 1_500_000).tolist()))
+    for texts, n in (([long], len(long)), ([strewn[i : i + 3000] for i in range(0, len(strewn), 3000)], len(strewn))):
+        batch = _rows_of(texts)
+        tracemalloc.start()
+        total = sum(b.column("n").to_numpy().sum() for b in quality_rules._counts(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == n and peak < 90e6, (n, peak)
+
+    class Part:
+        value = None
+
+    texts = ["", "aé日𝒳" * 50, prose(rng, 60), "x", b"ab\xf0\x80\x80\x80\x80\x80\x80\x80\x80cd\xe6\x97\xe6\xff" * 9, "日本" * 40, ""]
+    batch = _rows_of(texts)
+
+    def counted():
+        out = Counter()
+        for b in quality_rules._counts(iter([batch])):
+            for lang, key, context, last, n in zip(*(b.column(c).to_pylist() for c in ("lang", "key", "context", "last", "n")), strict=True):
+                out[lang, key, context, last] += n
+        return out
+
+    want, lengths = counted(), [len(t.decode("utf-8", "replace") if isinstance(t, bytes) else t) for t in texts]
+    keys = np.array(sorted(k[1] for k in want))
+    Part.value = keys, np.stack([np.arange(len(keys)), keys % 1000]).astype(np.int32)
+    s = next(kit.slices(iter([batch])))
+    costs, n = quality_rules._costs(Part, s)
+    assert sum(want.values()) == sum(lengths) and n.tolist() == lengths and costs.any()
+    for piece in (4, 5, 7, 64):
+        monkeypatch.setattr(quality_rules, "PIECE", piece)
+        monkeypatch.setattr(quality_rules, "MERGE", 3 * piece)
+        got, m = quality_rules._costs(Part, s)
+        assert counted() == want and (got == costs).all() and (m == n).all()
+
+
 def shingle_set(text):
     w = words(lower(text))
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()

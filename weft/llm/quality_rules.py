@@ -7,7 +7,8 @@ three blanks, and makes the model by joins and sums: modified Kneser-Ney (three
 each order's probabilities interpolated with the next lower one's by the back-off weights of its contexts. All texts are counted, so a text has no
 4-gram without a probability, and those of the top order are what scoring needs. They are broadcast as sorted arrays of hashes that are
 searched by bisection, in blocks of at most `BLOCK` entries, each with a pass of its own over its languages' texts. A language with
-more entries is cut into parts by hash, with a pass for each; a text's scores are whole numbers, so their sum is the same however it is cut.
+more entries is cut into parts by hash, with a pass for each; a text's scores are whole numbers, so their sum is the same however it is cut. A long text's 4-grams are made
+piece by piece; only the base rules take memory by the longest text.
 
 All texts count, so a language's junk is known to its model; it stands out by the band. A further pass
 makes a histogram of the cross-entropies of each language's texts of `MIN_WORDS` words and more, and its median
@@ -35,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folded import SIZE, beyond, codes, kneser_ney  # noqa: F401  what the tests compare with
-from .kit import BASE, Scratch, Slice, mix, shingles, slices, prefix_hash, signed, span_hash
+from .kit import BASE, Scratch, Slice, mix, settle, shingles, slices, prefix_hash, signed, span_hash
 
 ORDER = 4
 BITS = 21  # of a code point; a context of three fits a long
 BLOCK = 8 * SIZE
-MERGE = 1 << 20  # counts that a task holds before it sums them up
+MERGE = 1 << 19  # counts that a task holds before it sums them up
+SLICE = 1 << 18  # bytes of texts that are read at a time, or a single longer text
+PIECE = 1 << 16  # characters that are made into 4-grams at a time, twice as many at most; counts in a batch
 MIN_WORDS = 50
 LOW, HIGH, SIGMAS = 0.80, 1.55, 1.0
 SPREADS, ABOVE, ALONE = 3.0, 5.0, 12.0
@@ -64,53 +67,93 @@ def _key(name: Column) -> Column:
 
 @dataclass
 class Grams:
-    """The 4-grams of a slice's texts: the first three characters, the last one, the key, and where each text's begin."""
+    """4-grams of some texts of a slice, or of a piece of one: the first three characters, the last one, the key, where each piece's begin, and the piece's row."""
 
     context: np.ndarray
     last: np.ndarray
     key: np.ndarray
     first: np.ndarray
+    rows: np.ndarray
 
 
-def grams(s: Slice) -> Grams:
-    parts = [np.frombuffer((LEAD + s.text(i).decode("utf-8", "replace")).encode("utf-32-le"), np.uint32) for i in range(s.n)]
+def _pieces(s: Slice) -> Iterator[tuple[int, str]]:
+    """(row, characters): a text of more than PIECE bytes is cut between characters, and each piece is led in by the three characters before it."""
+    for i in range(s.n):
+        at, end, lead = int(s.offsets[i]), int(s.offsets[i + 1]), LEAD
+        while at < end:
+            cut = min(at + PIECE, end)
+            if cut < end:  # four bytes within characters are none of a character's, so any cut among them will do
+                cut -= next((k for k in range(4) if s.data[cut - k] & 0xC0 != 0x80), 0)
+            text = lead + s.data[at:cut].tobytes().decode("utf-8", "replace")
+            yield i, text
+            at, lead = cut, text[-len(LEAD) :]
+
+
+def _grams(s: Slice, pieces: list[tuple[int, str]]) -> Grams:
+    parts = [np.frombuffer(text.encode("utf-32-le"), np.uint32) for _, text in pieces]
+    rows = np.array([i for i, _ in pieces], np.int64)
     lengths = np.array([len(p) - len(LEAD) for p in parts], np.int64)
     first = np.concatenate(([0], np.cumsum(lengths)))
     points = np.concatenate(parts).astype(np.uint64)
-    owner = np.repeat(np.arange(s.n), lengths)
+    owner = np.repeat(np.arange(len(parts)), lengths)
     at = np.arange(first[-1]) + len(LEAD) * owner
     b = np.uint64(BITS)
     context = points[at] << b + b | points[at + 1] << b | points[at + 2]
     last = points[at + 3]
     lang = s.batch.column("lang").to_numpy(zero_copy_only=False).view(np.uint64)
-    return Grams(context, last, mix(mix(context * BASE + last) + mix(lang)[owner]), first)
+    return Grams(context, last, mix(mix(context * BASE + last) + mix(lang[rows])[owner]), first, rows)
+
+
+def grams(s: Slice) -> Iterator[Grams]:
+    """All 4-grams of a slice's texts, so many at a time that memory does not follow a text's length."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, text in _pieces(s):
+        held.append((i, text))
+        size += len(text)
+        if size >= PIECE:
+            yield _grams(s, held)
+            held, size = [], 0
+    if held:
+        yield _grams(s, held)
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The sums by key, in the order of the keys; empties the list, column by column."""
+    columns = list(zip(*held, strict=True))[::-1]
+    held.clear()
+    seen, at, into = np.unique(np.concatenate(columns.pop()), return_index=True, return_inverse=True)
+    rest = [np.concatenate(columns.pop())[at] for _ in range(len(columns) - 1)]
+    return seen, *rest, np.bincount(into, np.concatenate(columns.pop()), len(seen)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, context, last, n): sums over a task's texts, or over as many of them as have MERGE different 4-grams."""
     held: list[tuple[np.ndarray, ...]] = []
-
-    def merged() -> tuple[np.ndarray, ...]:
-        key, *rest, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        seen, at, into = np.unique(key, return_index=True, return_inverse=True)
-        return seen, *(x[at] for x in rest), np.bincount(into, n, len(seen)).astype(np.int64)
-
-    def rows() -> pa.RecordBatch:
-        key, lang, context, last, n = merged()
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(signed(key)), pa.array(signed(context)), pa.array(last.astype(np.int32)), pa.array(n)], names=["lang", "key", "context", "last", "n"])
-
-    for s in slices(batches):
-        g = grams(s)
-        lang = np.repeat(s.batch.column("lang").to_numpy(zero_copy_only=False), np.diff(g.first))
-        seen, at, n = np.unique(g.key, return_index=True, return_counts=True)
-        held.append((seen, lang[at], g.context[at], g.last[at], n))
-        if sum(len(x[0]) for x in held) > MERGE:
-            held[:] = [merged()]
-            if len(held[0][0]) > MERGE // 2:
-                yield rows()
-                held.clear()
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        key, lang, context, last, n = _merged(held)
+        for i in range(0, len(key), PIECE):
+            part = slice(i, i + PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(lang[part]), pa.array(signed(key[part])), pa.array(signed(context[part])), pa.array(last[part]), pa.array(n[part])], names=["lang", "key", "context", "last", "n"])
+
+    for s in slices(batches, limit=SLICE):
+        lang = s.batch.column("lang").to_numpy(zero_copy_only=False)
+        for g in grams(s):
+            seen, at, n = np.unique(g.key, return_index=True, return_counts=True)
+            of = lang[g.rows][np.searchsorted(g.first, at, side="right") - 1]
+            held.append((seen, of, g.context[at], g.last[at].astype(np.int32), n))
+            size += len(seen)
+            if size > MERGE:
+                held[:] = [_merged(held)]
+                size = len(held[0][0])
+                if size > MERGE // 2:
+                    yield from rows()
+                    size = 0
     if held:
-        yield rows()
+        yield from rows()
+    settle()
 
 
 def kneser_ney_tables(counts: DataFrame) -> DataFrame:
@@ -175,31 +218,33 @@ class Block:
         return self.model.sparkSession.sparkContext.broadcast((key[order], np.stack([c[order] for c in costs])))
 
 
-def _costs(part, s: Slice, g: Grams) -> np.ndarray:
-    """The summed costs, of either kind, of each text of a slice: by a part of a model, or as they came with the rows."""
-    if part is None:
-        return np.stack([s.batch.column(c).to_numpy(zero_copy_only=False) for c in COSTS])
-    key, costs = part.value
-    if not len(key) or not len(g.key):
-        return np.zeros((len(COSTS), s.n), np.int64)
-    seen, into = np.unique(signed(g.key), return_inverse=True)
-    at = np.minimum(np.searchsorted(key, seen), len(key) - 1)
-    found = key[at] == seen
-    sums = [np.concatenate(([0], np.cumsum(np.where(found, c[at], 0).astype(np.int64)[into]))) for c in costs]
-    return np.stack([np.diff(x[g.first]) for x in sums])
+def _costs(part, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The summed costs, of either kind, of each text of a slice, by a part of a model or as they came with the rows, and its number of 4-grams."""
+    sums, n = np.zeros((len(COSTS), s.n), np.int64), np.zeros(s.n, np.int64)
+    for g in grams(s):
+        np.add.at(n, g.rows, np.diff(g.first))
+        if part is None or not len(part.value[0]):
+            continue
+        key, costs = part.value
+        seen, into = np.unique(signed(g.key), return_inverse=True)
+        at = np.minimum(np.searchsorted(key, seen), len(key) - 1)
+        found = key[at] == seen
+        for total, c in zip(sums, costs, strict=True):
+            x = np.concatenate(([0], np.cumsum(np.where(found, c[at], 0).astype(np.int64)[into])))
+            np.add.at(total, g.rows, np.diff(x[g.first]))
+    return sums if part is not None else np.stack([s.batch.column(c).to_numpy(zero_copy_only=False) for c in COSTS]), n
 
 
 def _entropies(part, s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """The cross-entropies of each text, 0 for an empty one, and its number of 4-grams."""
-    g = grams(s)
-    n = np.diff(g.first)
-    return _costs(part, s, g) / np.maximum(n, 1) / UNIT, n
+    costs, n = _costs(part, s)
+    return costs / np.maximum(n, 1) / UNIT, n
 
 
 def _parted(part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            yield pa.RecordBatch.from_arrays([s.batch.column("one"), s.batch.column("two"), *map(pa.array, _costs(part, s, grams(s)))], names=["one", "two", *COSTS])
+        for s in slices(batches, limit=SLICE):
+            yield pa.RecordBatch.from_arrays([s.batch.column("one"), s.batch.column("two"), *map(pa.array, _costs(part, s)[0])], names=["one", "two", *COSTS])
 
     return run
 
@@ -243,7 +288,7 @@ def train(docs: DataFrame) -> list[Block]:
 
 def _histogram(part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
+        for s in slices(batches, limit=SLICE):
             rows = np.flatnonzero(np.diff(s.words()[2]) >= MIN_WORDS)
             for kind, x in zip(COSTS, _entropies(part, s)[0], strict=True):
                 bins = (x[rows] * BINS).astype(np.int32)
@@ -335,7 +380,7 @@ def _repeated(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _judge(part, bands: dict[int, Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
+        for s in slices(batches, limit=SLICE):
             b = base(s)
             failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
             (mean, alone), n = _entropies(part, s)
